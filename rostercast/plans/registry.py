@@ -6,7 +6,7 @@ import importlib
 
 from rostercast.plans.catalog import ORACLE, QUERIES
 
-QUERY_MODULES = ["rostercast.plans.queries_core"]
+QUERY_MODULES = ["rostercast.plans.queries_core", "rostercast.plans.queries_explore"]
 
 
 def load_all():
