@@ -6,7 +6,8 @@ import importlib
 
 from rostercast.plans.catalog import ORACLE, QUERIES
 
-QUERY_MODULES = ["rostercast.plans.queries_core", "rostercast.plans.queries_explore"]
+QUERY_MODULES = ["rostercast.plans.queries_core", "rostercast.plans.queries_explore",
+                 "rostercast.plans.queries_learn"]
 
 
 def load_all():
