@@ -158,7 +158,9 @@ def binned_pairs(df: DataFrame, measures: list[str], bins: int = 20) -> DataFram
     def bin_of(m: str) -> F.Column:
         lo, hi = F.col(f"_lo_{m}"), F.col(f"_hi_{m}")
         raw = F.floor(F.try_divide(F.col(m).cast("double") - lo, hi - lo) * bins)
-        return F.when(hi == lo, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
+        binned = F.when(hi == lo, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1)))
+        # least() skips NULLs, so a missing value must stay NULL explicitly
+        return F.when(F.col(m).isNotNull(), binned).cast("int")
 
     entries = []
     for i, a in enumerate(measures):
