@@ -208,3 +208,18 @@ def date_spine(bounds: DataFrame, start_col: str, end_col: str, out_col: str = "
     other = [c for c in bounds.columns if c not in (start_col, end_col)]
     return bounds.select(*other, F.explode(F.sequence(F.col(start_col), F.col(end_col),
                                                       F.expr("INTERVAL 1 DAY"))).alias(out_col))
+
+
+def between_dates(df: DataFrame, start: str | None = None, end: str | None = None,
+                  date_col: str = "date") -> DataFrame:
+    """Inclusive date filters (``<= end``, ``[start, end]``, ``>= start``).
+
+    Plain comparisons on the date column, so Parquet scans receive them as
+    pushed filters (and partition pruning applies when partitioned by date).
+    """
+    d = F.col(date_col)
+    if start is not None:
+        df = df.where(d >= F.lit(start).cast("date"))
+    if end is not None:
+        df = df.where(d <= F.lit(end).cast("date"))
+    return df

@@ -120,3 +120,20 @@ def mse_ranking(metrics: DataFrame, name_col: str = "model") -> DataFrame:
     """V7/O1: model label cut at ``(`` and trimmed, ordered by MSE (ties by name)."""
     return (metrics.withColumn("label", F.trim(F.substring_index(F.col(name_col), "(", 1)))
             .orderBy("mse", "label"))
+
+
+def predictions_wide(long: DataFrame, key_cols: list[str], models: list[str], model_col: str = "model",
+                     pred_col: str = "prediction", suffix: str = "_pred") -> DataFrame:
+    """One column ``<model>_pred`` per model beside the test-row keys.
+
+    The long ``(keys…, model, prediction)`` table is pivoted with the model
+    list given, so no extra job discovers the pivot values.
+    """
+    out = long.groupBy(*key_cols).pivot(model_col, models).agg(F.first(pred_col))
+    return out.withColumnsRenamed({m: f"{m}{suffix}" for m in models})
+
+
+def best_per_group(metrics: DataFrame, group: list[str], order: list[str], out_col: str = "rank") -> DataFrame:
+    """O3: rank candidates per group; rank 1 is the strict arg-min (ties: order columns)."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return metrics.withColumn(out_col, F.row_number().over(w))

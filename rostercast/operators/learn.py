@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rostercast.operators.evaluate import fold_ids, learning_sizes, regression_metrics
+from rostercast.session import cut_lineage
 
 # The feature list of the reference's model search (this order), the
 # holdout-evaluation order and the production order.
@@ -160,7 +162,8 @@ def grid_search(train: DataFrame, features: list[str], candidate: Candidate, lab
     for name, values in grid.items():
         builder = builder.addGrid(est.getParam(name), values)
     maps = builder.build()
-    data = fold_ids(with_label(train, label), k, order_col="date", out_col="_fold")
+    # every grid point re-reads the folds k times: materialise them once
+    data = cut_lineage(fold_ids(with_label(train, label), k, order_col="date", out_col="_fold"))
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, numFolds=k, foldCol="_fold",
                         evaluator=RegressionEvaluator(labelCol="_label", predictionCol="prediction", metricName="mse"),
                         parallelism=parallelism, seed=SEED)
@@ -226,31 +229,38 @@ def search(spark: SparkSession, train: DataFrame, test: DataFrame, config: Searc
 # --- V8: learning curve -------------------------------------------------------------------------------
 
 def learning_curve(spark: SparkSession, train: DataFrame, features: list[str], make_estimator: Callable[[], object],
-                   k: int = 5, label: str = TARGET, fractions=(0.1, 0.325, 0.55, 0.775, 1.0)) -> DataFrame:
+                   k: int = 5, label: str = TARGET, fractions=(0.1, 0.325, 0.55, 0.775, 1.0),
+                   parallelism: int = 4) -> DataFrame:
     """V8: for each validation fold and size, fit on the first ``size`` rows (date order)
     of the other folds; mean train / validation MSE per size.
 
-    The frame is checkpointed once (shared checkpoint folder) before the loop of
-    ``k × sizes`` fits.  Returns ``(train_size, train_mse, val_mse)``.
+    The frame is checkpointed once (shared checkpoint folder) before the
+    ``k × sizes`` fits, which are independent Spark jobs submitted from
+    ``parallelism`` driver threads (as ``CrossValidator`` does).  The prefix
+    rank is a window over one series' training days.  Returns
+    ``(train_size, train_mse, val_mse)``.
     """
-    from rostercast.session import cut_lineage
-
     data = cut_lineage(fold_ids(with_label(train, label), k, order_col="date", out_col="_fold"))
     n = data.count()
     max_train = n - math.ceil(n / k)
     sizes = learning_sizes(max_train, fractions)
+
+    def one(task):
+        s, f = task
+        rest = data.where(F.col("_fold") != f)
+        part = rest.withColumn("_r", F.row_number().over(Window.orderBy("date"))).where(F.col("_r") <= s).drop("_r")
+        model = pipeline(features, make_estimator(), True, label).fit(part)
+        tr = regression_metrics(score(model, part, label), label, "prediction").first()["mse"]
+        va = regression_metrics(score(model, data.where(F.col("_fold") == f), label), label, "prediction").first()["mse"]
+        return s, tr, va
+
+    tasks = [(s, f) for s in sizes for f in range(k)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        results = list(pool.map(one, tasks))
     out = []
     for s in sizes:
-        tr_mse, va_mse = [], []
-        for f in range(k):
-            rest = data.where(F.col("_fold") != f)
-            w = Window.orderBy("date")
-            part = rest.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= s).drop("_r")
-            model = pipeline(features, make_estimator(), True, label).fit(part)
-            tr_mse.append(regression_metrics(score(model, part, label), label, "prediction").first()["mse"])
-            va = data.where(F.col("_fold") == f)
-            va_mse.append(regression_metrics(score(model, va, label), label, "prediction").first()["mse"])
-        out.append((s, sum(tr_mse) / k, sum(va_mse) / k))
+        got = [r for r in results if r[0] == s]
+        out.append((s, sum(r[1] for r in got) / k, sum(r[2] for r in got) / k))
     return spark.createDataFrame(out, "train_size int, train_mse double, val_mse double")
 
 

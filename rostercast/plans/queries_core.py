@@ -240,3 +240,20 @@ SELECT series, date, kind, drivers FROM (
   UNION ALL SELECT series, date, 'current', CAST(90 AS DOUBLE) FROM rates) u""")
 def q_capacity_compare(spark: SparkSession, sf_dir: str):
     return R.capacity_compare(_policy_frame(spark, sf_dir), "roster_adjusted", keys=["series"])
+
+
+# --- S1, S3, S4, P1, P6: CSV round trip through the shared folder ----------------------------------------
+
+@register("s3_csv_roundtrip", f"{S.daily_ops_sql(None)}")
+def q_csv_roundtrip(spark: SparkSession, sf_dir: str):
+    import os
+    import uuid
+
+    from rostercast.session import ensure_checkpoint_dir
+    from rostercast.sources.files import read_daily, write_table
+
+    path = os.path.join(ensure_checkpoint_dir(spark), f"daily-csv-{uuid.uuid4().hex}")
+    raw = daily_ops(spark, sf_dir).withColumn("_idx", F.monotonically_increasing_id())
+    write_table(raw.select("_idx", F.date_format("date", "yyyy-MM-dd").alias("date"), "n_sick", "calls", "n_duty",
+                           "n_sby", "sby_need", "dafted"), path, fmt="csv")
+    return read_daily(spark, path, fmt="csv")

@@ -317,3 +317,49 @@ FROM grid g JOIN vals v ON v.measure = g.measure GROUP BY g.measure, g.gi, g.x,
 @register("r11_density", _density_sql())
 def q_density(spark: SparkSession, sf_dir: str):
     return round4(X.density(modeling(spark, sf_dir), PANEL, 200, 3.0))
+
+
+# --- J5, O3: wide prediction table and arg-min per series ----------------------------------------------
+
+def _model_id(name: str) -> str:
+    return name.split(" (")[0].replace(" ", "_")
+
+
+@register("j5_predictions_wide", _standin_sql() + """
+SELECT series, date, ROUND(y, 4) AS y,
+  ROUND(max(prediction) FILTER (WHERE model = 'calls quarter (1 features)'), 4) AS calls_quarter_pred,
+  ROUND(max(prediction) FILTER (WHERE model = 'sick half (1 features)'), 4) AS sick_half_pred
+FROM lng GROUP BY series, date, y""")
+def q_predictions_wide(spark: SparkSession, sf_dir: str):
+    lng = _standin_long(spark, sf_dir).withColumn("model", F.split("model", r" \(").getItem(0))
+    lng = lng.withColumn("model", F.regexp_replace("model", " ", "_"))
+    return round4(V.predictions_wide(lng, ["series", "date", "y"], ["calls_quarter", "sick_half"]))
+
+
+@register("o3_best_candidate", _standin_sql() + """
+SELECT series, model, ROUND(mse, 4) AS mse,
+  CAST(row_number() OVER (PARTITION BY series ORDER BY mse, model) AS INTEGER) AS rank FROM met""")
+def q_best_candidate(spark: SparkSession, sf_dir: str):
+    met = V.regression_metrics(_standin_long(spark, sf_dir), "y", "prediction", ["series", "model"])
+    return round4(V.best_per_group(met, ["series"], ["mse", "model"]).select("series", "model", "mse", "rank"))
+
+
+# --- P7-P9: inclusive date filters ----------------------------------------------------------------------
+
+@register("p9_date_filters", with_sql(S.daily_cte(SEGMENT)) + f"""
+SELECT 'train' AS part, series, CAST(count(*) AS BIGINT) AS n_days, CAST(sum(calls) AS BIGINT) AS calls
+  FROM daily WHERE date <= DATE '{TRAIN_END}' GROUP BY series
+UNION ALL SELECT 'holdout', series, count(*), sum(calls) FROM daily
+  WHERE date BETWEEN DATE '2001-06-01' AND DATE '2001-06-27' GROUP BY series
+UNION ALL SELECT 'open_ended', series, count(*), sum(calls) FROM daily WHERE date >= DATE '2001-06-01' GROUP BY series""")
+def q_date_filters(spark: SparkSession, sf_dir: str):
+    d = daily_ops(spark, sf_dir, SEGMENT)
+    parts = {"train": cal.between_dates(d, end=TRAIN_END),
+             "holdout": cal.between_dates(d, "2001-06-01", "2001-06-27"),
+             "open_ended": cal.between_dates(d, start="2001-06-01")}
+    out = None
+    for name, part in parts.items():
+        agg = part.groupBy("series").agg(F.count(F.lit(1)).alias("n_days"), F.sum("calls").alias("calls"))
+        agg = agg.select(F.lit(name).alias("part"), "series", "n_days", "calls")
+        out = agg if out is None else out.unionByName(agg)
+    return out

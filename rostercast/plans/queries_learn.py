@@ -219,3 +219,21 @@ def q_monthly_roster(spark: SparkSession, sf_dir: str):
 def q_monthly_roster_weekly(spark: SparkSession, sf_dir: str):
     m = modeling(spark, sf_dir, extended=True)
     return M.monthly_roster(spark, m, [], M.RosterConfig(floor=None))["weekly"]
+
+
+# --- V2, R13: forecast fit on the training days; forecast vs actual with band ---------------------------
+
+@register("v2_forecast_train_fit")
+def q_forecast_train_fit(spark: SparkSession, sf_dir: str):
+    m = _train(modeling(spark, sf_dir, segment=True, extended=True))
+    hist = FC.regressor_frame(m, "calls", FC.CALLS_SPEC.regressors, ["series"])
+    model = FC.fit_forecast(hist, FC.CALLS_SPEC, ["series"])
+    fitted = FC.predict_forecast(model, hist.drop("y"))
+    return FC.forecast_metrics(hist, fitted, ["series"])
+
+
+@register("r13_forecast_vs_actual")
+def q_forecast_vs_actual(spark: SparkSession, sf_dir: str):
+    m, pred = _holdout_forecast(spark, sf_dir, "n_sick", FC.SICK_SPEC)
+    actual = m.select("series", F.col("date").alias("ds"), F.col("n_sick").cast("double").alias("actual"))
+    return pred.select("series", "ds", "yhat", "yhat_lower", "yhat_upper").join(actual, ["series", "ds"], "left")
