@@ -237,3 +237,17 @@ def q_forecast_vs_actual(spark: SparkSession, sf_dir: str):
     m, pred = _holdout_forecast(spark, sf_dir, "n_sick", FC.SICK_SPEC)
     actual = m.select("series", F.col("date").alias("ds"), F.col("n_sick").cast("double").alias("actual"))
     return pred.select("series", "ds", "yhat", "yhat_lower", "yhat_upper").join(actual, ["series", "ds"], "left")
+
+
+# --- entry point A: model search (reduced default plan; the full grid is opt-in) ------------------------
+
+@register("a_model_search")
+def q_a_model_search(spark: SparkSession, sf_dir: str):
+    from rostercast.plans.search import model_search
+    cfg = L.SearchConfig(models=["Random Forest Regressor", "Gradient Boosting Regressor"], feature_counts=[2, 4],
+                         tune=False, defaults={"Random Forest Regressor": {"numTrees": 20, "maxDepth": 5},
+                                               "Gradient Boosting Regressor": {"maxIter": 20, "maxDepth": 3,
+                                                                               "stepSize": 0.1}},
+                         importance_trees=20)
+    out = model_search(spark, modeling(spark, sf_dir, extended=True), cfg, train_end=TRAIN_END)
+    return out["results"]
