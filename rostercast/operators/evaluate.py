@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostercast.functions.scalars import attach_scalars
+
 
 # --- V3 / D5: splits ------------------------------------------------------------------------------
 
@@ -77,10 +79,9 @@ def apply_standardiser(df: DataFrame, stats: DataFrame, cols: list[str], keys: l
                        suffix: str = "") -> DataFrame:
     """V4 transform: ``(x − μ) / σ`` with σ = 0 treated as 1 (scaler semantics).
 
-    The statistics are one row (broadcast cross join) or one row per series.
+    The statistics are one scalar row or one row per series (``attach_scalars``).
     """
-    keys = keys or []
-    joined = df.crossJoin(F.broadcast(stats)) if not keys else df.join(stats, keys, "inner")
+    joined = attach_scalars(df, stats, keys)
     out = joined.withColumns({
         f"{c}{suffix}": (F.col(c).cast("double") - F.col(f"{c}__mu"))
         / F.coalesce(F.when(F.col(f"{c}__sd") != 0, F.col(f"{c}__sd")), F.lit(1.0))

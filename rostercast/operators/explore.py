@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostercast.functions.calendar import weekday_label
+from rostercast.functions.scalars import attach_scalars
 
 
 # --- G1: correlation matrix -----------------------------------------------------------------------
@@ -147,13 +148,13 @@ def measure_panel(df: DataFrame, measures: list[str], keys: list[str] | None = N
 def binned_pairs(df: DataFrame, measures: list[str], bins: int = 20) -> DataFrame:
     """2-D histogram of every measure pair (i < j), bounded output.
 
-    Bin edges come from a one-row min/max aggregate (broadcast); each row is
+    Bin edges come from a one-row min/max aggregate (a scalar subquery); each row is
     expanded into its pairs inside the map stage and immediately partially
     aggregated, so the shuffle carries at most ``pairs × bins²`` rows per task.
     """
     bounds = df.agg(*[F.min(F.col(m).cast("double")).alias(f"_lo_{m}") for m in measures],
                     *[F.max(F.col(m).cast("double")).alias(f"_hi_{m}") for m in measures])
-    staged = df.select(*measures).crossJoin(F.broadcast(bounds))
+    staged = attach_scalars(df.select(*measures), bounds)
 
     def bin_of(m: str) -> F.Column:
         lo, hi = F.col(f"_lo_{m}"), F.col(f"_hi_{m}")

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rostercast.functions.scalars import attach_scalars
+
 EPOCH = "1970-01-01"
 FAR = 1.0e9  # padding for missing changepoints: the hinge stays 0
 
@@ -137,12 +139,14 @@ def _series_params(history: DataFrame, keys: list[str], spec: ForecastSpec, ds:
                  F.count_if(~x.isin(0.0, 1.0)).alias(f"_nb_{r}")]
     base = history.groupBy(*keys).agg(*aggs)
     cps = changepoints(history, keys, ds, spec.n_changepoints, spec.changepoint_range)
+    if not keys:
+        return attach_scalars(base, cps)
     return base.join(cps, keys, "left")
 
 
 def _design(df: DataFrame, params: DataFrame, keys: list[str], spec: ForecastSpec, ds: str) -> DataFrame:
     """Attach the basis column ``_x`` (array<double>) using per-series parameters."""
-    joined = df.join(params, keys, "inner")
+    joined = attach_scalars(df, params, keys)
     span = F.greatest(F.datediff(F.col("_ds1"), F.col("_ds0")).cast("double"), F.lit(1.0))
     t = F.datediff(F.col(ds), F.col("_ds0")).cast("double") / span
     cp_t = F.transform(F.coalesce(F.col("cp_dates"), F.array().cast("array<date>")),
@@ -203,21 +207,23 @@ def fit_forecast(history: DataFrame, spec: ForecastSpec, keys: list[str] | None
 
     Without keys the whole history is one series (a constant group key).
     """
-    user_keys = list(keys or [])
-    keys = user_keys or ["_g"]
-    if not user_keys:
-        history = history.withColumn("_g", F.lit(0))
+    keys = list(keys or [])
     params = _series_params(history, keys, spec, ds, y)
     yv = F.log1p(F.col(y).cast("double")) if spec.mode == "multiplicative" else F.col(y).cast("double")
     design = _design(history.where(F.col(y).isNotNull()), params, keys, spec, ds)
     design = design.withColumn("_ys", yv / F.coalesce(F.when(F.col("_yscale") > 0, F.col("_yscale")), F.lit(1.0)))
+    # the solve needs a group key; a single series is one constant group
+    gkeys = keys or ["_g"]
+    if not keys:
+        design = design.withColumn("_g", F.lit(0))
     types = {f.name: f.dataType for f in design.schema.fields}
-    schema = T.StructType([T.StructField(k, types[k]) for k in keys]
+    schema = T.StructType([T.StructField(k, types[k]) for k in gkeys]
                           + [T.StructField("coef", T.ArrayType(T.DoubleType())),
                              T.StructField("resid_sd", T.DoubleType()), T.StructField("n_obs", T.LongType())])
-    coefs = (design.select(*keys, "_x", "_ys")
-             .groupBy(*keys).applyInPandas(_ridge_solver(keys, _penalties(spec)), schema))
-    return ForecastModel(spec, user_keys, params.join(coefs, keys, "inner"), ds)
+    coefs = (design.select(*gkeys, "_x", "_ys")
+             .groupBy(*gkeys).applyInPandas(_ridge_solver(gkeys, _penalties(spec)), schema))
+    full = attach_scalars(params, coefs.drop("_g")) if not keys else params.join(coefs, keys, "inner")
+    return ForecastModel(spec, keys, full, ds)
 
 
 def predict_forecast(model: ForecastModel, future: DataFrame) -> DataFrame:
@@ -227,10 +233,7 @@ def predict_forecast(model: ForecastModel, future: DataFrame) -> DataFrame:
     parameters are one row per series; they are joined on the keys (broadcast
     when AQE measures them small) and scoring is a native dot product.
     """
-    spec, ds = model.spec, model.ds
-    keys = model.keys or ["_g"]
-    if not model.keys:
-        future = future.withColumn("_g", F.lit(0))
+    spec, ds, keys = model.spec, model.ds, model.keys
     scored = _design(future, model.params, keys, spec, ds)
     dot = F.aggregate(F.zip_with("_x", "coef", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     scale = F.coalesce(F.when(F.col("_yscale") > 0, F.col("_yscale")), F.lit(1.0))
@@ -243,7 +246,7 @@ def predict_forecast(model: ForecastModel, future: DataFrame) -> DataFrame:
     else:
         back = lambda c: c * scale
     passthrough = [c for c in future.columns if c not in keys and c != ds]
-    return scored.select(*model.keys, ds, *passthrough, back(mid).alias("yhat"), back(lo).alias("yhat_lower"),
+    return scored.select(*keys, ds, *passthrough, back(mid).alias("yhat"), back(lo).alias("yhat_lower"),
                          back(hi).alias("yhat_upper"))
 
 

@@ -15,19 +15,7 @@ from pyspark.sql import functions as F
 
 from rostercast.functions.calendar import iso_date_string, iso_week, kw_label
 from rostercast.functions.roster import CURRENT_CAPACITY, apply_policy, roster_activation_rate
-
-
-def attach_scalars(df: DataFrame, scalars: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Attach a per-series scalar table (cut-off, floor …) to every row.
-
-    Without keys ``scalars`` is a one-row aggregate: a broadcast cross join of a
-    single row, the cheapest possible plan.  With keys it is an equi-join on the
-    keys; AQE broadcasts the scalar side when its measured size is small.
-    """
-    keys = keys or []
-    if not keys:
-        return df.crossJoin(F.broadcast(scalars))
-    return df.join(scalars, keys, "inner")
+from rostercast.functions.scalars import attach_scalars
 
 
 def floor_from_history(train: DataFrame, keys: list[str] | None = None, need_col: str = "sby_need",

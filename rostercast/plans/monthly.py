@@ -19,8 +19,9 @@ from rostercast.functions.roster import N_DUTY_DEFAULT, PROD_BUFFER, PROD_FLOOR,
 from rostercast.operators import forecast as FC
 from rostercast.operators import learn as L
 from rostercast.operators import roster as R
+from rostercast.functions.scalars import attach_scalars
 from rostercast.operators.evaluate import regression_metrics
-from rostercast.operators.roster import attach_scalars
+from rostercast.session import cut_lineage
 
 
 @dataclass
@@ -75,6 +76,9 @@ def monthly_roster(spark: SparkSession, history: DataFrame, keys: list[str] | No
     """
     keys = keys or []
     config = config or RosterConfig()
+    # the prepared history feeds cut-off, calendar, two forecasts, training and the
+    # floor: materialise it once in the shared checkpoint folder
+    history = cut_lineage(history)
     train = training_rows(history, keys, config.cutoff_day)
     future = future_frame(history, keys, config.cutoff_day)
     inputs = forecast_inputs(train, future, keys, config, integer_inputs=True)
@@ -106,6 +110,7 @@ def holdout_evaluation(spark: SparkSession, history: DataFrame, train_end: str,
     """
     keys = keys or []
     config = config or RosterConfig()
+    history = cut_lineage(history)
     d0, d1 = F.lit(train_end).cast("date"), (F.lit(holdout[0]).cast("date"), F.lit(holdout[1]).cast("date"))
     train = history.where(F.col("date") <= d0)
     test = history.where(F.col("date").between(*d1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rostercast.functions import calendar as cal
 from rostercast.functions.roster import PROD_BUFFER
+from rostercast.functions.scalars import attach_scalars
 from rostercast.operators import roster as R
 from rostercast.plans import sql_parts as S
 from rostercast.plans.catalog import (HOLDOUT, SEGMENT, TRAIN_END, modeling, register, round4, sql_standin,
@@ -91,7 +92,7 @@ def q_cutoff(spark: SparkSession, sf_dir: str):
     daily = daily_ops(spark, sf_dir, SEGMENT)
     cut = cal.training_cutoff(daily, ["series"])
     start, end = cal.next_month_window("cutoff")
-    n_train = (R.attach_scalars(daily, cut.select("series", "cutoff"), ["series"])
+    n_train = (attach_scalars(daily, cut.select("series", "cutoff"), ["series"])
                .where(F.col("date") <= F.col("cutoff")).groupBy("series").agg(F.count(F.lit(1)).alias("n_train")))
     return (cut.withColumns({"month_start": start, "month_end": end})
             .join(n_train, "series", "left")
