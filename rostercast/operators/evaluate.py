@@ -89,6 +89,20 @@ def apply_standardiser(df: DataFrame, stats: DataFrame, cols: list[str], keys: l
     return out.drop(*[f"{c}__mu" for c in cols], *[f"{c}__sd" for c in cols])
 
 
+def standardise_within(df: DataFrame, cols: list[str], train_cond: F.Column, keys: list[str] | None = None,
+                       suffix: str = "") -> DataFrame:
+    """V4 fit-and-apply in one pass: statistics of each series' training rows
+    (``train_cond``) by a window partitioned by the series keys."""
+    w = Window.partitionBy(*(keys or []))
+    out = {}
+    for c in cols:
+        x = F.col(c).cast("double")
+        mu = F.avg(F.when(train_cond, x)).over(w)
+        sd = F.stddev_pop(F.when(train_cond, x)).over(w)
+        out[f"{c}{suffix}"] = (x - mu) / F.coalesce(F.when(sd != 0, sd), F.lit(1.0))
+    return df.withColumns(out)
+
+
 # --- V1 / V6: metrics --------------------------------------------------------------------------------
 
 def regression_metrics(df: DataFrame, y: str = "y", pred: str = "prediction", by: list[str] | None = None) -> DataFrame:

@@ -193,9 +193,8 @@ def density(df: DataFrame, measures: list[str], grid: int = 200, cut: float = 3.
                                                     / (F.col("n") - 1))))
     stats = stats.withColumn("h", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
     grid_df = (stats.where(F.col("h") > 0)
-               .select("measure", "n", "h",
+               .select("measure", "n", "h", "lo", "hi",
                        F.posexplode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi", "_g"))
-               .join(stats.select("measure", "lo", "hi"), "measure")
                .withColumn("x", F.col("lo") - cut * F.col("h")
                            + (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) * F.col("gi") / (grid - 1))
                .select("measure", "gi", "x", "n", "h"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostercast.functions.calendar import iso_date_string, iso_week, kw_label
@@ -25,6 +25,18 @@ def floor_from_history(train: DataFrame, keys: list[str] | None = None, need_col
     return train.groupBy(*keys).agg(F.ceil(F.avg(need_col)).cast("double").alias(out_col))
 
 
+def with_floor(df: DataFrame, train_cond: Column, keys: list[str] | None = None, need_col: str = "sby_need",
+               out_col: str = "min_driver") -> DataFrame:
+    """G8 in the same pass: ``ceil(mean(need))`` over each series' training rows
+    (``train_cond``) attached to every row of the series.
+
+    A window partitioned by the series keys (no ordering): one exchange of the
+    daily rows, no second scan of the input and no join.
+    """
+    w = Window.partitionBy(*(keys or []))
+    return df.withColumn(out_col, F.ceil(F.avg(F.when(train_cond, F.col(need_col))).over(w)).cast("double"))
+
+
 def roster_with_policy(df: DataFrame, pred_col: str, floor: DataFrame | float, buffer: float = 1.0,
                        keys: list[str] | None = None, out_col: str = "roster",
                        floor_col: str = "min_driver") -> DataFrame:
@@ -101,19 +113,24 @@ def weekly_table(df: DataFrame, value_col: str = "predicted_sby_need_adjusted",
     """Weekly sums, weeks ending Sunday, labelled by that Sunday.
 
     Empty weeks inside each series' range are present with 0 (the resample
-    semantics).  Two small aggregates and a join of pre-aggregated rows: the
-    daily rows are reduced before any shuffle.
+    semantics).  One pass: the daily rows are summed per week (partial
+    aggregation), the weeks of each series are gathered into a map (bounded by
+    the calendar: one entry per week) and the gap-free week spine is exploded
+    from that same row — no self-join, so the input lineage is evaluated once.
     """
     keys = keys or []
     week_end = F.date_add(F.trunc(F.col(date_col), "week"), 6)
     sums = df.groupBy(*keys, week_end.alias("week_end")).agg(F.sum(value_col).alias("_total"))
-    spine = (sums.groupBy(*keys).agg(F.min("week_end").alias("_lo"), F.max("week_end").alias("_hi"))
-             .select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 7 DAYS"))).alias("week_end")))
-    out = spine.join(sums, keys + ["week_end"], "left")
+    per_series = sums.groupBy(*keys).agg(F.min("week_end").alias("_lo"), F.max("week_end").alias("_hi"),
+                                         F.map_from_entries(F.collect_list(F.struct("week_end", "_total")))
+                                         .alias("_weeks"))
+    out = per_series.select(*keys, "_weeks",
+                            F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 7 DAYS"))).alias("week_end"))
     return out.select(*keys, "week_end",
                       iso_week("week_end").alias("week"),
                       kw_label(iso_week("week_end")).alias("week_label"),
-                      F.coalesce(F.col("_total"), F.lit(0)).cast("long").alias("drivers"))
+                      F.coalesce(F.try_element_at("_weeks", F.col("week_end")), F.lit(0)).cast("long")
+                      .alias("drivers"))
 
 
 def activation_compare(df: DataFrame, rates: dict[str, str], keys: list[str] | None = None,

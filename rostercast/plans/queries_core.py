@@ -6,12 +6,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from rostercast.functions import calendar as cal
-from rostercast.functions.roster import PROD_BUFFER
+from rostercast.functions.roster import PROD_BUFFER, apply_policy
 from rostercast.functions.scalars import attach_scalars
 from rostercast.operators import roster as R
 from rostercast.plans import sql_parts as S
 from rostercast.plans.catalog import (HOLDOUT, SEGMENT, TRAIN_END, modeling, register, round4, sql_standin,
                                       standin, with_sql)
+from rostercast.session import cut_lineage
 from rostercast.sources.driver_tables import daily_ops
 
 MODEL_COLS = ("date, n_sick, calls, n_duty, sby_need, dafted, ROUND(activation_rate, 4) AS activation_rate, "
@@ -89,7 +90,7 @@ SELECT c.series, c.max_date, c.cutoff,
   CAST((SELECT count(*) FROM daily d WHERE d.series = c.series AND d.date <= c.cutoff) AS BIGINT) AS n_train
 FROM cut c""")
 def q_cutoff(spark: SparkSession, sf_dir: str):
-    daily = daily_ops(spark, sf_dir, SEGMENT)
+    daily = cut_lineage(daily_ops(spark, sf_dir, SEGMENT))  # read by two branches
     cut = cal.training_cutoff(daily, ["series"])
     start, end = cal.next_month_window("cutoff")
     n_train = (attach_scalars(daily, cut.select("series", "cutoff"), ["series"])
@@ -107,9 +108,9 @@ def _policy_frame(spark: SparkSession, sf_dir: str):
     training rows, the true-input roster (R3: floor only) and the adjusted
     roster (R2: floor + 15 % buffer), and both A2 rates."""
     m = modeling(spark, sf_dir, segment=True).withColumn("pred", standin("calls"))
-    floor = R.floor_from_history(m.where(F.col("date") <= F.lit(TRAIN_END).cast("date")), ["series"])
-    df = R.roster_with_policy(m, "pred", floor, 1.0, ["series"], out_col="roster_true")
-    df = df.withColumn("roster_adjusted", R.apply_policy("pred", F.col("min_driver"), PROD_BUFFER))
+    m = R.with_floor(m, F.col("date") <= F.lit(TRAIN_END).cast("date"), ["series"])
+    df = m.withColumn("roster_true", apply_policy("pred", F.col("min_driver"), 1.0))
+    df = df.withColumn("roster_adjusted", apply_policy("pred", F.col("min_driver"), PROD_BUFFER))
     df = R.with_roster_rate(df, "roster_true", "rate_true")
     return R.with_roster_rate(df, "roster_adjusted", "rate_adjusted")
 

@@ -12,6 +12,7 @@ from rostercast.operators import explore as X
 from rostercast.operators import profile as Q
 from rostercast.plans import sql_parts as S
 from rostercast.plans.catalog import SEGMENT, TRAIN_END, modeling, register, round4, sql_standin, standin, with_sql
+from rostercast.session import cut_lineage
 from rostercast.sources.driver_tables import daily_ops
 
 MEASURES = ["calls", "n_sick", "sby_need"]
@@ -223,8 +224,7 @@ def q_hash_split_exact(spark: SparkSession, sf_dir: str):
           + " FROM sp JOIN st ON st.series = sp.series")
 def q_standardise(spark: SparkSession, sf_dir: str):
     m = V.hash_split(modeling(spark, sf_dir, segment=True), ["series", "date"])
-    stats = V.fit_standardiser(m.where(~F.col("is_test")), FEATURES, ["series"])
-    out = V.apply_standardiser(m, stats, FEATURES, ["series"], suffix="_scaled")
+    out = V.standardise_within(m, FEATURES, ~F.col("is_test"), ["series"], suffix="_scaled")
     return round4(out.select("series", "date", "is_test", *[f"{c}_scaled" for c in FEATURES]))
 
 
@@ -296,7 +296,8 @@ SELECT x, y, x_bin, y_bin, count(*) AS n FROM pr GROUP BY ALL"""
 
 @register("r10_binned_pairs", _pairs_sql())
 def q_binned_pairs(spark: SparkSession, sf_dir: str):
-    return X.binned_pairs(modeling(spark, sf_dir), PANEL, 20)
+    # two passes (bin edges, then bins): read a materialised daily table, not the order lineage twice
+    return X.binned_pairs(cut_lineage(modeling(spark, sf_dir)), PANEL, 20)
 
 
 def _density_sql() -> str:
@@ -353,7 +354,7 @@ UNION ALL SELECT 'holdout', series, count(*), sum(calls) FROM daily
   WHERE date BETWEEN DATE '2001-06-01' AND DATE '2001-06-27' GROUP BY series
 UNION ALL SELECT 'open_ended', series, count(*), sum(calls) FROM daily WHERE date >= DATE '2001-06-01' GROUP BY series""")
 def q_date_filters(spark: SparkSession, sf_dir: str):
-    d = daily_ops(spark, sf_dir, SEGMENT)
+    d = cut_lineage(daily_ops(spark, sf_dir, SEGMENT))  # three filtered branches read it
     parts = {"train": cal.between_dates(d, end=TRAIN_END),
              "holdout": cal.between_dates(d, "2001-06-01", "2001-06-27"),
              "open_ended": cal.between_dates(d, start="2001-06-01")}

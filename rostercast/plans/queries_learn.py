@@ -15,7 +15,7 @@ from rostercast.operators import learn as L
 from rostercast.plans import monthly as M
 from rostercast.plans import sql_parts as S
 from rostercast.plans.catalog import HOLDOUT, SEGMENT, TRAIN_END, modeling, register, round4, with_sql
-from rostercast.session import ensure_checkpoint_dir
+from rostercast.session import cut_lineage, ensure_checkpoint_dir
 
 
 def _train(m):
@@ -122,7 +122,8 @@ def q_model_inputs(spark: SparkSession, sf_dir: str):
 # --- L1: linear baselines ---------------------------------------------------------------------------
 
 def _split(spark, sf_dir):
-    m = V.hash_split(_train(modeling(spark, sf_dir, extended=True)), ["date"])
+    # fitted and scored several times: materialise the split table once
+    m = cut_lineage(V.hash_split(_train(modeling(spark, sf_dir, extended=True)), ["date"]))
     return m.where(~F.col("is_test")), m.where(F.col("is_test"))
 
 
