@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rostercast.functions.scalars import attach_scalars
+from rostercast.session import cut_lineage
 
 EPOCH = "1970-01-01"
 FAR = 1.0e9  # padding for missing changepoints: the hinge stays 0
@@ -203,11 +204,15 @@ class ForecastModel:
 
 def fit_forecast(history: DataFrame, spec: ForecastSpec, keys: list[str] | None = None,
                  ds: str = "ds", y: str = "y") -> ForecastModel:
-    """fit one penalised structural model per series.
+    """fit one penalised structural model per series (eager, like an
+    estimator's ``fit``).
 
     Without keys the whole history is one series (a constant group key).
     """
     keys = list(keys or [])
+    # the history is read by the parameter aggregate, the changepoint window and the
+    # design join: materialise the (series × days) frame once in the shared folder
+    history = cut_lineage(history.select(*keys, ds, y, *spec.regressors))
     params = _series_params(history, keys, spec, ds, y)
     yv = F.log1p(F.col(y).cast("double")) if spec.mode == "multiplicative" else F.col(y).cast("double")
     design = _design(history.where(F.col(y).isNotNull()), params, keys, spec, ds)
@@ -223,7 +228,8 @@ def fit_forecast(history: DataFrame, spec: ForecastSpec, keys: list[str] | None
     coefs = (design.select(*gkeys, "_x", "_ys")
              .groupBy(*gkeys).applyInPandas(_ridge_solver(gkeys, _penalties(spec)), schema))
     full = attach_scalars(params, coefs.drop("_g")) if not keys else params.join(coefs, keys, "inner")
-    return ForecastModel(spec, keys, full, ds)
+    # a fitted model is an artefact: one row per series, materialised like any estimator fit
+    return ForecastModel(spec, keys, cut_lineage(full), ds)
 
 
 def predict_forecast(model: ForecastModel, future: DataFrame) -> DataFrame:

@@ -317,7 +317,7 @@ FROM grid g JOIN vals v ON v.measure = g.measure GROUP BY g.measure, g.gi, g.x,
 
 @register("r11_density", _density_sql())
 def q_density(spark: SparkSession, sf_dir: str):
-    return round4(X.density(modeling(spark, sf_dir), PANEL, 200, 3.0))
+    return round4(X.density(cut_lineage(modeling(spark, sf_dir)), PANEL, 200, 3.0))
 
 
 # --- J5, O3: wide prediction table and arg-min per series ----------------------------------------------

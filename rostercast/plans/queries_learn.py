@@ -82,7 +82,7 @@ def q_future_frame(spark: SparkSession, sf_dir: str):
 # --- F2, F3, F4, F9, A4: input forecasts on the holdout window -----------------------------------------
 
 def _holdout_forecast(spark, sf_dir, target, spec):
-    m = modeling(spark, sf_dir, segment=True, extended=True)
+    m = cut_lineage(modeling(spark, sf_dir, segment=True, extended=True))
     hist = FC.regressor_frame(_train(m), target, spec.regressors, ["series"])
     model = FC.fit_forecast(hist, spec, ["series"])
     bounds = m.select("series").distinct().select(
@@ -113,7 +113,7 @@ def q_forecast_metrics(spark: SparkSession, sf_dir: str):
 
 @register("f8_model_inputs")
 def q_model_inputs(spark: SparkSession, sf_dir: str):
-    m = modeling(spark, sf_dir, segment=True, extended=True)
+    m = cut_lineage(modeling(spark, sf_dir, segment=True, extended=True))
     cfg = M.RosterConfig()
     train = M.training_rows(m, ["series"])
     return M.forecast_inputs(train, M.future_frame(m, ["series"]), ["series"], cfg, integer_inputs=True)
@@ -227,7 +227,7 @@ def q_monthly_roster_weekly(spark: SparkSession, sf_dir: str):
 @register("v2_forecast_train_fit")
 def q_forecast_train_fit(spark: SparkSession, sf_dir: str):
     m = _train(modeling(spark, sf_dir, segment=True, extended=True))
-    hist = FC.regressor_frame(m, "calls", FC.CALLS_SPEC.regressors, ["series"])
+    hist = cut_lineage(FC.regressor_frame(m, "calls", FC.CALLS_SPEC.regressors, ["series"]))
     model = FC.fit_forecast(hist, FC.CALLS_SPEC, ["series"])
     fitted = FC.predict_forecast(model, hist.drop("y"))
     return FC.forecast_metrics(hist, fitted, ["series"])
