@@ -350,9 +350,10 @@ def q_best_candidate(spark: SparkSession, sf_dir: str):
 @register("p9_date_filters", with_sql(S.daily_cte(SEGMENT)) + f"""
 SELECT 'train' AS part, series, CAST(count(*) AS BIGINT) AS n_days, CAST(sum(calls) AS BIGINT) AS calls
   FROM daily WHERE date <= DATE '{TRAIN_END}' GROUP BY series
-UNION ALL SELECT 'holdout', series, count(*), sum(calls) FROM daily
+UNION ALL SELECT 'holdout', series, CAST(count(*) AS BIGINT), CAST(sum(calls) AS BIGINT) FROM daily
   WHERE date BETWEEN DATE '2001-06-01' AND DATE '2001-06-27' GROUP BY series
-UNION ALL SELECT 'open_ended', series, count(*), sum(calls) FROM daily WHERE date >= DATE '2001-06-01' GROUP BY series""")
+UNION ALL SELECT 'open_ended', series, CAST(count(*) AS BIGINT), CAST(sum(calls) AS BIGINT) FROM daily
+  WHERE date >= DATE '2001-06-01' GROUP BY series""")
 def q_date_filters(spark: SparkSession, sf_dir: str):
     d = cut_lineage(daily_ops(spark, sf_dir, SEGMENT))  # three filtered branches read it
     parts = {"train": cal.between_dates(d, end=TRAIN_END),
