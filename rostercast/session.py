@@ -36,19 +36,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint directory.
+    """Return the session's checkpoint directory (a URI).
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when it is unset (local tests) a scratch folder is created and registered.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
+    is.  Only when nothing is configured (local tests) a scratch folder is
+    registered with the SparkContext.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if current:
-        spark.sparkContext.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="rostercast-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rostercast-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
