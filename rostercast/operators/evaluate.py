@@ -59,9 +59,12 @@ def fold_ids(df: DataFrame, k: int = 5, keys: list[str] | None = None, order_col
     return df.withColumn(out_col, (F.ntile(k).over(w) - 1).cast("int"))
 
 
-def learning_sizes(n_train: int, fractions: tuple[float, ...] = (0.1, 0.325, 0.55, 0.775, 1.0)) -> list[int]:
-    """V8: training sizes ``floor(fraction · n_train)`` (evenly spaced 10 %…100 %)."""
-    return [int(math.floor(f * n_train + 1e-9)) for f in fractions]
+def learning_sizes(n_train: int, start: float = 0.1, stop: float = 1.0, num: int = 5) -> list[int]:
+    """V8: training sizes ``int(fraction · n_train)`` for evenly spaced fractions
+    ``start … stop`` (computed as ``start + i · step`` with the end point exact)."""
+    step = (stop - start) / (num - 1)
+    fractions = [start + i * step for i in range(num - 1)] + [stop]
+    return sorted({min(max(int(f * n_train), 1), n_train) for f in fractions})
 
 
 # --- V4: standardisation ----------------------------------------------------------------------------

@@ -229,8 +229,7 @@ def search(spark: SparkSession, train: DataFrame, test: DataFrame, config: Searc
 # --- V8: learning curve -------------------------------------------------------------------------------
 
 def learning_curve(spark: SparkSession, train: DataFrame, features: list[str], make_estimator: Callable[[], object],
-                   k: int = 5, label: str = TARGET, fractions=(0.1, 0.325, 0.55, 0.775, 1.0),
-                   parallelism: int = 4) -> DataFrame:
+                   k: int = 5, label: str = TARGET, parallelism: int = 4) -> DataFrame:
     """V8: for each validation fold and size, fit on the first ``size`` rows (date order)
     of the other folds; mean train / validation MSE per size.
 
@@ -243,7 +242,7 @@ def learning_curve(spark: SparkSession, train: DataFrame, features: list[str], m
     data = cut_lineage(fold_ids(with_label(train, label), k, order_col="date", out_col="_fold"))
     n = data.count()
     max_train = n - math.ceil(n / k)
-    sizes = learning_sizes(max_train, fractions)
+    sizes = learning_sizes(max_train)
 
     def one(task):
         s, f = task
