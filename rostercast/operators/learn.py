@@ -168,7 +168,7 @@ def grid_search(train: DataFrame, features: list[str], candidate: Candidate, lab
                         evaluator=RegressionEvaluator(labelCol="_label", predictionCol="prediction", metricName="mse"),
                         parallelism=parallelism, seed=SEED)
     cvm = cv.fit(data)
-    metrics = list(cvm.avgMetrics)
+    metrics = [float(x) for x in cvm.avgMetrics]
     best_i = min(range(len(metrics)), key=lambda i: (metrics[i], i))
     best = {p.name: v for p, v in maps[best_i].items()}
     return cvm.bestModel, best, metrics
@@ -181,10 +181,11 @@ class SearchConfig:
     models: list[str] = field(default_factory=lambda: list(CANDIDATES))
     feature_counts: list[int] = field(default_factory=lambda: list(range(1, len(ALL_FEATURES) + 1)))
     tune: bool = True
-    grids: dict | None = None          # per model override of the grid (reduced default plans)
+    grids: dict | None = None          # per model grids (reduced plans); None = the reference's full grids
     defaults: dict | None = None       # per model override of the default parameters
     select_on: str = "test"            # "test" (reference parity) or "cv"
     importance_trees: int = 100
+    parallelism: int = 4               # candidate fits submitted concurrently from the driver
 
 
 def search(spark: SparkSession, train: DataFrame, test: DataFrame, config: SearchConfig,
@@ -192,28 +193,35 @@ def search(spark: SparkSession, train: DataFrame, test: DataFrame, config: Searc
     """Every model × feature count × {default, tuned}; best per model.
 
     Importances are fitted once and sliced per count (the reference refits the
-    same forest for every count).  Returns one immutable row per candidate fit
+    same forest for every count).  Candidate fits are independent Spark jobs
+    submitted from ``config.parallelism`` driver threads.  Returns one immutable row per candidate fit
     ``(model, n_features, selected_features, variant, params, mae, mse, rmse,
     r2, cv_mse, is_best)`` — the driver keeps only these metric rows.
     """
     imp = importance(spark, train, features, label, num_trees=config.importance_trees)
     order = top_features(imp, len(features))
-    rows = []
-    for name in config.models:
+
+    def run(task):
+        name, n = task
         cand = CANDIDATES[name]
         defaults = (config.defaults or {}).get(name, cand.defaults)
-        grid = (config.grids or {}).get(name, cand.grid)
-        for n in config.feature_counts:
-            sel = order[:n]
-            variants = [("default", fit(train, sel, cand.make(**defaults), label), defaults, None)]
-            if config.tune and grid:
-                best_model, best_params, cv = grid_search(train, sel, Candidate(name, cand.make, defaults, grid),
-                                                          label)
-                variants.append(("tuned", best_model, {**defaults, **best_params}, min(cv)))
-            for variant, model, params, cv_mse in variants:
-                m = regression_metrics(score(model, test, label), label, "prediction").first()
-                rows.append((name, n, sel, variant, {k: str(v) for k, v in params.items()},
-                             m["mae"], m["mse"], m["rmse"], m["r2"], cv_mse))
+        # an explicit grids mapping restricts tuning to the models it names
+        grid = config.grids.get(name, {}) if config.grids is not None else cand.grid
+        sel = order[:n]
+        variants = [("default", fit(train, sel, cand.make(**defaults), label), defaults, None)]
+        if config.tune and grid:
+            best_model, best_params, cv = grid_search(train, sel, Candidate(name, cand.make, defaults, grid), label)
+            variants.append(("tuned", best_model, {**defaults, **best_params}, float(min(cv))))
+        out = []
+        for variant, model, params, cv_mse in variants:
+            m = regression_metrics(score(model, test, label), label, "prediction").first()
+            out.append((name, n, sel, variant, {k: str(v) for k, v in params.items()},
+                        m["mae"], m["mse"], m["rmse"], m["r2"], cv_mse))
+        return out
+
+    tasks = [(name, n) for name in config.models for n in config.feature_counts]
+    with ThreadPoolExecutor(max_workers=max(1, config.parallelism)) as pool:
+        rows = [r for chunk in pool.map(run, tasks) for r in chunk]
     res = spark.createDataFrame(rows, "model string, n_features int, selected_features array<string>, "
                                       "variant string, params map<string,string>, mae double, mse double, "
                                       "rmse double, r2 double, cv_mse double")

@@ -179,12 +179,19 @@ def q_learning_curve(spark: SparkSession, sf_dir: str):
 
 @register("l11_model_search")
 def q_model_search(spark: SparkSession, sf_dir: str):
+    """All five candidate profiles × two feature counts, default vs tuned for gradient
+    boosting (reduced plan: 20 boosting rounds, 20 trees, a two-point grid)."""
     train, test = _split(spark, sf_dir)
-    cfg = L.SearchConfig(models=["Random Forest Regressor", "Gradient Boosting Regressor"], feature_counts=[2, 4],
-                         tune=False, defaults={"Random Forest Regressor": {"numTrees": 20, "maxDepth": 5},
-                                               "Gradient Boosting Regressor": {"maxIter": 20, "maxDepth": 3,
-                                                                               "stepSize": 0.1}},
-                         importance_trees=20)
+    small = {"maxIter": 20}
+    cfg = L.SearchConfig(
+        feature_counts=[2, 4], tune=True,
+        grids={"Gradient Boosting Regressor": {"maxDepth": [2, 3]}},
+        defaults={"Random Forest Regressor": {"numTrees": 20, "maxDepth": 5},
+                  "Gradient Boosting Regressor": {**L.CANDIDATES["Gradient Boosting Regressor"].defaults, **small},
+                  "XGBoost Regressor": {**L.CANDIDATES["XGBoost Regressor"].defaults, **small},
+                  "LightGBM Regressor": {**L.CANDIDATES["LightGBM Regressor"].defaults, **small},
+                  "CatBoost Regressor": {**L.CANDIDATES["CatBoost Regressor"].defaults, **small}},
+        importance_trees=20)
     return L.search(spark, train, test, cfg)
 
 
