@@ -6,7 +6,6 @@ not a materialised copy, and metrics are one aggregate per group.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

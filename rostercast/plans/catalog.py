@@ -13,7 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostercast.plans import sql_parts as S
 from rostercast.plans.prepare import prepare
 from rostercast.sources.driver_tables import daily_ops
 

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from fixtures import JUNE_ROSTER, JUNE_WEEKLY, d, days
 from rostercast.functions.roster import PROD_BUFFER, PROD_FLOOR, activation_rate, apply_policy
