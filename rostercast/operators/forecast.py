@@ -6,9 +6,10 @@ structure is a penalised linear model fitted per series:
 
 * every basis column is a Spark expression (F5 Fourier terms, F6 trend hinges,
   standardised regressors), so design matrices are built where the data lives;
-* the priors become a ridge penalty per column, ``noise² / prior_scale²``
-  (Gaussian for all blocks; the changepoint prior is Laplace in the original —
-  documented approximation); intercept and slope are almost unpenalised;
+* the priors become a ridge penalty per column, ``σ² / prior_scale²`` with σ
+  re-estimated from the residuals (Gaussian for all blocks; the changepoint
+  prior is Laplace in the original — documented approximation); the intercept
+  is unpenalised and the slope almost so;
 * multiplicative mode is fitted on ``log1p(y)`` and transformed back;
 * the solve runs per series with ``groupBy(keys).applyInPandas``.  A group is
   one series' daily history (bounded by the number of days, not by the size of
@@ -166,27 +167,37 @@ def _design(df: DataFrame, params: DataFrame, keys: list[str], spec: ForecastSpe
     return joined.withColumn("_x", F.array(F.lit(1.0), t, *hinges, *seas, *regs))
 
 
-def _penalties(spec: ForecastSpec) -> np.ndarray:
-    noise2 = spec.noise_sd ** 2
-    pen = [0.0, noise2 / spec.trend_prior_scale ** 2]
-    pen += [noise2 / spec.changepoint_prior_scale ** 2] * spec.n_changepoints
+def _prior_scales(spec: ForecastSpec) -> np.ndarray:
+    """Prior standard deviation of every basis column (intercept: flat)."""
+    scales = [np.inf, spec.trend_prior_scale]
+    scales += [spec.changepoint_prior_scale] * spec.n_changepoints
     for s in spec.seasonalities:
-        ps = s.prior_scale or spec.seasonality_prior_scale
-        pen += [noise2 / ps ** 2] * (2 * s.order)
-    pen += [noise2 / spec.regressor_prior_scale ** 2] * len(spec.regressors)
-    return np.asarray(pen)
+        scales += [s.prior_scale or spec.seasonality_prior_scale] * (2 * s.order)
+    scales += [spec.regressor_prior_scale] * len(spec.regressors)
+    return np.asarray(scales, dtype=float)
 
 
-def _ridge_solver(keys: list[str], penalties: np.ndarray):
+def _ridge_solver(keys: list[str], prior_scales: np.ndarray, noise_sd: float):
+    """MAP of a Gaussian linear model with independent Gaussian priors.
+
+    The penalty of column j is ``σ² / s_j²``.  σ starts at ``noise_sd`` (scaled
+    units) and is then re-estimated from the residuals of the first solve
+    (one refinement step), so the priors weigh against the noise the series
+    actually has.
+    """
+    inv_prior = 1.0 / prior_scales ** 2
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         X = np.vstack(pdf["_x"].to_numpy())
         yv = pdf["_ys"].to_numpy(dtype=float)
-        A = X.T @ X + np.diag(penalties)
-        beta = np.linalg.solve(A, X.T @ yv)
-        resid = yv - X @ beta
+        xtx, xty = X.T @ X, X.T @ yv
+        sigma2 = noise_sd ** 2
+        for _ in range(2):
+            beta = np.linalg.solve(xtx + np.diag(sigma2 * inv_prior), xty)
+            resid = yv - X @ beta
+            sigma2 = max(float(np.mean(resid ** 2)), 1e-12)
         out = {k: [pdf[k].iloc[0]] for k in keys}
-        out.update({"coef": [beta.tolist()], "resid_sd": [float(np.sqrt(np.mean(resid ** 2)))],
-                    "n_obs": [len(yv)]})
+        out.update({"coef": [beta.tolist()], "resid_sd": [float(np.sqrt(sigma2))], "n_obs": [len(yv)]})
         return pd.DataFrame(out)
     return solve
 
@@ -226,7 +237,7 @@ def fit_forecast(history: DataFrame, spec: ForecastSpec, keys: list[str] | None
                           + [T.StructField("coef", T.ArrayType(T.DoubleType())),
                              T.StructField("resid_sd", T.DoubleType()), T.StructField("n_obs", T.LongType())])
     coefs = (design.select(*gkeys, "_x", "_ys")
-             .groupBy(*gkeys).applyInPandas(_ridge_solver(gkeys, _penalties(spec)), schema))
+             .groupBy(*gkeys).applyInPandas(_ridge_solver(gkeys, _prior_scales(spec), spec.noise_sd), schema))
     full = attach_scalars(params, coefs.drop("_g")) if not keys else params.join(coefs, keys, "inner")
     # a fitted model is an artefact: one row per series, materialised like any estimator fit
     return ForecastModel(spec, keys, cut_lineage(full), ds)
