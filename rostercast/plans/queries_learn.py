@@ -22,10 +22,6 @@ def _train(m):
     return m.where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
 
 
-def _holdout(m):
-    return m.where(F.col("date").between(F.lit(HOLDOUT[0]).cast("date"), F.lit(HOLDOUT[1]).cast("date")))
-
-
 # --- F5: Fourier terms of the calls model -------------------------------------------------------------
 
 def _fourier_sql() -> str:
