@@ -176,10 +176,11 @@ def binned_pairs(df: DataFrame, measures: list[str], bins: int = 20) -> DataFram
 def density(df: DataFrame, measures: list[str], grid: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density per measure on a fixed grid (Scott bandwidth).
 
-    Values are first reduced to ``(measure, value, weight)``; each distinct
-    value then meets the ``grid`` points of its own measure through an
-    equi-join on the measure (the grid is bounded by the parameter, not by the
-    data), and the kernel sums are aggregated per grid point.
+    Values are first reduced to ``(measure, value, weight)``.  Each distinct
+    value row gets its measure's grid parameters (one row per measure: a
+    broadcast bounded by the measure list) and generates its kernel weight at
+    the ``grid`` points (a generator, no join of values with grid rows); the
+    contributions are summed per grid point with partial aggregation.
     """
     entries = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]
     vals = (df.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull())
@@ -191,16 +192,15 @@ def density(df: DataFrame, measures: list[str], grid: int = 200, cut: float = 3.
                   F.sum(F.col("w") * F.col("value") * F.col("value")).alias("s2")))
     stats = stats.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"))
                                                     / (F.col("n") - 1))))
-    stats = stats.withColumn("h", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
-    grid_df = (stats.where(F.col("h") > 0)
-               .select("measure", "n", "h", "lo", "hi",
-                       F.posexplode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi", "_g"))
-               .withColumn("x", F.col("lo") - cut * F.col("h")
-                           + (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) * F.col("gi") / (grid - 1))
-               .select("measure", "gi", "x", "n", "h"))
+    stats = (stats.withColumn("h", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
+             .where(F.col("h") > 0).select("measure", "n", "lo", "hi", "h"))
+    points = (vals.join(F.broadcast(stats), "measure")
+              .select("measure", "value", "w", "n", "h", "lo", "hi",
+                      F.posexplode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi", "_g"))
+              .withColumn("x", F.col("lo") - cut * F.col("h")
+                          + (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) * F.col("gi") / (grid - 1)))
     z = (F.col("x") - F.col("value")) / F.col("h")
-    return (grid_df.join(vals, "measure")
-            .groupBy("measure", "gi", "x", "n", "h")
+    return (points.groupBy("measure", "gi", "x", "n", "h")
             .agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("_k"))
             .select("measure", "gi", "x",
                     (F.col("_k") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density")))

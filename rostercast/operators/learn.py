@@ -243,19 +243,27 @@ def learning_curve(spark: SparkSession, train: DataFrame, features: list[str], m
 
     The frame is checkpointed once (shared checkpoint folder) before the
     ``k × sizes`` fits, which are independent Spark jobs submitted from
-    ``parallelism`` driver threads (as ``CrossValidator`` does).  The prefix
-    rank is a window over one series' training days.  Returns
-    ``(train_size, train_mse, val_mse)``.
+    ``parallelism`` driver threads (as ``CrossValidator`` does).  Folds and the
+    date position come from one window pass over the training rows (one
+    series' days, or a pooled set ordered by date); each fit's training prefix
+    is a plain filter.  Returns ``(train_size, train_mse, val_mse)``.
     """
-    data = cut_lineage(fold_ids(with_label(train, label), k, order_col="date", out_col="_fold"))
-    n = data.count()
+    ordered = fold_ids(with_label(train, label), k, order_col="date", out_col="_fold")
+    ordered = ordered.withColumn("_pos", F.row_number().over(Window.orderBy("date")) - 1)
+    data = cut_lineage(ordered)
+    # fold sizes are k numbers: the prefix of "all other folds in date order" then
+    # becomes a filter on the global position, with no window per fit
+    sizes_by_fold = dict(data.groupBy("_fold").count().collect())
+    n = sum(sizes_by_fold.values())
     max_train = n - math.ceil(n / k)
     sizes = learning_sizes(max_train)
 
     def one(task):
         s, f = task
-        rest = data.where(F.col("_fold") != f)
-        part = rest.withColumn("_r", F.row_number().over(Window.orderBy("date"))).where(F.col("_r") <= s).drop("_r")
+        start = sum(sizes_by_fold.get(i, 0) for i in range(f))
+        width = sizes_by_fold.get(f, 0)
+        rest_pos = F.when(F.col("_pos") >= start + width, F.col("_pos") - width).otherwise(F.col("_pos"))
+        part = data.where((F.col("_fold") != f) & (rest_pos < s))
         model = pipeline(features, make_estimator(), True, label).fit(part)
         tr = regression_metrics(score(model, part, label), label, "prediction").first()["mse"]
         va = regression_metrics(score(model, data.where(F.col("_fold") == f), label), label, "prediction").first()["mse"]
