@@ -237,7 +237,7 @@ def search(spark: SparkSession, train: DataFrame, test: DataFrame, config: Searc
 # --- V8: learning curve -------------------------------------------------------------------------------
 
 def learning_curve(spark: SparkSession, train: DataFrame, features: list[str], make_estimator: Callable[[], object],
-                   k: int = 5, label: str = TARGET, parallelism: int = 4) -> DataFrame:
+                   k: int = 5, label: str = TARGET, parallelism: int = 8) -> DataFrame:
     """V8: for each validation fold and size, fit on the first ``size`` rows (date order)
     of the other folds; mean train / validation MSE per size.
 
