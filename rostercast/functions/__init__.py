@@ -1 +1 @@
-
+"""Column expressions: calendar, holidays, rates, roster policy, scalar attachment."""

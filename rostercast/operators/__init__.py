@@ -1 +1 @@
-
+"""DataFrame operators: profiling, exploration, evaluation, forecasting, learners, roster reports."""

@@ -1 +1,7 @@
+"""Structured Streaming: intentionally empty.
 
+The reference has no stream processing — every step is a batch run over a
+closed daily file — so nothing here re-implements or invents one.  The daily
+operators are plain DataFrame code and can be applied inside a
+``foreachBatch`` sink if an incremental setup is ever needed.
+"""
