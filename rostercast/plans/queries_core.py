@@ -58,7 +58,7 @@ SELECT t.date, {S.calendar_cols('t.date')},
   {S.holiday_expr('t.date', 'e.easter')} AS holiday
 FROM daily t JOIN easter e ON e.y = year(t.date)""")
 def q_calendar_extended(spark: SparkSession, sf_dir: str):
-    d = daily_ops(spark, sf_dir).select("date")
+    d = daily_ops(spark, sf_dir, columns=[]).select("date")
     d = cal.with_calendar(d, extended=True)
     return d.select("date", "day_of_week", "week", "month", "season", "year", "day", "week_of_month",
                     "month_day_interaction", "season_label", "weekday_label",
@@ -75,7 +75,7 @@ allh AS (SELECT * FROM fixed UNION ALL SELECT * FROM movable
          UNION ALL SELECT y, DATE '2017-10-31' FROM yrs WHERE y = 2017)
 SELECT date, CAST(count(*) AS BIGINT) AS n_entries FROM allh WHERE y >= 1990 GROUP BY date""")
 def q_holidays(spark: SparkSession, sf_dir: str):
-    years = daily_ops(spark, sf_dir).select(F.year("date").alias("y")).distinct()
+    years = daily_ops(spark, sf_dir, columns=[]).select(F.year("date").alias("y")).distinct()
     return cal.holidays_for_years(years, "y").groupBy("date").agg(F.count(F.lit(1)).alias("n_entries"))
 
 
@@ -144,7 +144,7 @@ SELECT date, ROUND({sql_standin('calls')}, 4) AS predicted_sby_need,
 FROM daily""")
 def q_production_policy(spark: SparkSession, sf_dir: str):
     from rostercast.functions.roster import PROD_FLOOR, apply_policy
-    d = daily_ops(spark, sf_dir).withColumn("predicted_sby_need", standin("calls"))
+    d = daily_ops(spark, sf_dir, columns=["calls"]).withColumn("predicted_sby_need", standin("calls"))
     return round4(d.select("date", "predicted_sby_need",
                            apply_policy("predicted_sby_need", PROD_FLOOR, PROD_BUFFER)
                            .alias("predicted_sby_need_adjusted")))

@@ -37,7 +37,7 @@ def _fourier_sql() -> str:
 @register("f5_fourier", _fourier_sql())
 def q_fourier(spark: SparkSession, sf_dir: str):
     from rostercast.sources.driver_tables import daily_ops
-    d = daily_ops(spark, sf_dir).select("date")
+    d = daily_ops(spark, sf_dir, columns=[]).select("date")
     out = round4(FC.fourier_long(d, FC.CALLS_SPEC.seasonalities))
     return out.withColumns({"sin": F.col("sin") + F.lit(0.0), "cos": F.col("cos") + F.lit(0.0)})
 

@@ -47,37 +47,51 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+MEASURES = ["n_sick", "calls", "n_duty", "n_sby", "sby_need", "dafted"]
+
+
 def daily_ops_from(orders: DataFrame, customer: DataFrame | None = None,
-                   series_col: str | None = None) -> DataFrame:
-    """Daily operations table ``(series?, date, n_sick, calls, n_duty, n_sby, sby_need, dafted)``."""
+                   series_col: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Daily operations table ``(series?, date, n_sick, calls, n_duty, n_sby, sby_need, dafted)``.
+
+    ``columns`` restricts the measures.  Only the distinct-customer count
+    (``n_duty``) and the series join need the ``(customer, day)`` pair stage;
+    a single-series table without ``n_duty`` aggregates orders straight to days
+    (map-side combine leaves at most one row per day and task, so the only
+    exchange is tiny).
+    """
+    wanted = [c for c in MEASURES if columns is None or c in columns]
     prio, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-    pairs = (orders
-             .select("o_custkey", F.col("o_orderdate").cast("date").alias("date"), prio, status)
-             .groupBy("o_custkey", "date")
-             .agg(F.count(F.lit(1)).alias("calls"),
-                  F.count_if(prio == SICK_PRIORITY).alias("n_sick"),
-                  F.count_if(status == STANDBY_STATUS).alias("n_sby"),
-                  F.count_if((status == NEED_STATUS) & prio.isin(NEED_PRIORITIES)).alias("sby_need")))
-    keys: list[str] = []
-    if series_col is not None:
-        if customer is None:
-            raise ValueError("a series column needs the customer table")
-        cust = customer.select(F.col("c_custkey").alias("o_custkey"), F.col(series_col).alias("series"))
-        pairs = pairs.join(cust, "o_custkey", "inner")
-        keys = ["series"]
-    daily = (pairs.groupBy(*keys, "date")
-             .agg(F.sum("n_sick").alias("n_sick"),
-                  F.sum("calls").alias("calls"),
-                  F.count("o_custkey").alias("n_duty"),
-                  F.sum("n_sby").alias("n_sby"),
-                  F.sum("sby_need").alias("sby_need")))
-    return daily.withColumn("dafted", F.greatest(F.col("sby_need") - F.col("n_sby"), F.lit(0)))
-
-
-def daily_ops(spark: SparkSession, sf_dir: str, series_col: str | None = None) -> DataFrame:
+    counts = {
+        "calls": F.count(F.lit(1)),
+        "n_sick": F.count_if(prio == SICK_PRIORITY),
+        "n_sby": F.count_if(status == STANDBY_STATUS),
+        "sby_need": F.count_if((status == NEED_STATUS) & prio.isin(NEED_PRIORITIES)),
+    }
+    base = orders.select("o_custkey", F.col("o_orderdate").cast("date").alias("date"), prio, status)
+    if series_col is None and "n_duty" not in wanted:
+        daily = base.groupBy("date").agg(*[e.alias(c) for c, e in counts.items()])
+    else:
+        pairs = base.groupBy("o_custkey", "date").agg(*[e.alias(c) for c, e in counts.items()])
+        keys: list[str] = []
+        if series_col is not None:
+            if customer is None:
+                raise ValueError("a series column needs the customer table")
+            cust = customer.select(F.col("c_custkey").alias("o_custkey"), F.col(series_col).alias("series"))
+            pairs = pairs.join(cust, "o_custkey", "inner")
+            keys = ["series"]
+        daily = (pairs.groupBy(*keys, "date")
+                 .agg(*[F.sum(c).alias(c) for c in counts], F.count("o_custkey").alias("n_duty")))
+    daily = daily.withColumn("dafted", F.greatest(F.col("sby_need") - F.col("n_sby"), F.lit(0)))
+    keys_out = ["series"] if series_col is not None else []
+    return daily.select(*keys_out, "date", *wanted)
+
+
+def daily_ops(spark: SparkSession, sf_dir: str, series_col: str | None = None,
+              columns: list[str] | None = None) -> DataFrame:
     orders = load_table(spark, sf_dir, "orders")
     customer = load_table(spark, sf_dir, "customer") if series_col else None
-    return daily_ops_from(orders, customer, series_col)
+    return daily_ops_from(orders, customer, series_col, columns)
 
 
 def daily_ops_sql(series_col: str | None = None) -> str:
