@@ -42,8 +42,10 @@ def round4(df: DataFrame) -> DataFrame:
                        for c, t in df.dtypes])
 
 
-def modeling(spark: SparkSession, sf_dir: str, segment: bool = False, extended: bool = False) -> DataFrame:
-    raw = daily_ops(spark, sf_dir, SEGMENT if segment else None)
+def modeling(spark: SparkSession, sf_dir: str, segment: bool = False, extended: bool = False,
+             columns: list[str] | None = None) -> DataFrame:
+    """The prepared daily table; ``columns`` limits the measures derived from the orders."""
+    raw = daily_ops(spark, sf_dir, SEGMENT if segment else None, columns)
     return prepare(raw, ["series"] if segment else [], extended=extended)
 
 

@@ -20,11 +20,19 @@ LONG_COLUMNS = ["n_sick", "calls", "n_duty", "sby_need", "dafted"]
 
 
 def prepare(raw: DataFrame, keys: list[str] | None = None, extended: bool = False) -> DataFrame:
-    """``raw(keys…, date, n_sick, calls, n_duty, n_sby, sby_need, dafted)`` → modeling table."""
+    """``raw(keys…, date, n_sick, calls, n_duty, n_sby, sby_need, dafted)`` → modeling table.
+
+    Measures missing from ``raw`` (a daily table built with a measure subset)
+    are simply absent from the result; the rate needs ``sby_need`` and ``n_sby``.
+    """
     keys = keys or []
-    df = raw.withColumn("activation_rate", activation_rate("sby_need", "n_sby")).drop("n_sby")
+    df = raw
+    if "sby_need" in df.columns and "n_sby" in df.columns:
+        df = df.withColumn("activation_rate", activation_rate("sby_need", "n_sby"))
+    if "n_sby" in df.columns:
+        df = df.drop("n_sby")
     df = with_calendar(df, "date", extended=extended)
-    df = df.withColumns({c: F.col(c).cast("long") for c in LONG_COLUMNS})
+    df = df.withColumns({c: F.col(c).cast("long") for c in LONG_COLUMNS if c in df.columns})
     extra = [c for c in ("day", "week_of_month", "month_day_interaction", "season_label", "weekday_label")
              if extended]
-    return df.select(*keys, *MODELING_COLUMNS, *extra)
+    return df.select(*keys, *[c for c in MODELING_COLUMNS if c in df.columns], *extra)

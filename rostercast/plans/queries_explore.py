@@ -109,7 +109,8 @@ def q_correlation(spark: SparkSession, sf_dir: str):
     f"ROUND(avg({m}) FILTER (WHERE day_of_week = {d}), 4) AS {m}_{d}" for d in range(7) for m in MEASURES)
     + " FROM modeling GROUP BY month")
 def q_pivot_month_weekday(spark: SparkSession, sf_dir: str):
-    return round4(X.pivot_mean(modeling(spark, sf_dir), "month", "day_of_week", list(range(7)), MEASURES))
+    return round4(X.pivot_mean(modeling(spark, sf_dir, columns=MEASURES), "month", "day_of_week", list(range(7)),
+                               MEASURES))
 
 
 SEASON_SQL = ("CASE WHEN month IN (12, 1, 2) THEN 'Wi' WHEN month IN (3, 4, 5) THEN 'Fr' "
@@ -120,7 +121,7 @@ SEASON_SQL = ("CASE WHEN month IN (12, 1, 2) THEN 'Wi' WHEN month IN (3, 4, 5) T
 SELECT {SEASON_SQL} AS season_label, year, """ + ", ".join(f"ROUND(avg({m}), 4) AS {m}" for m in MEASURES)
     + " FROM modeling GROUP BY 1, 2")
 def q_season_year(spark: SparkSession, sf_dir: str):
-    m = modeling(spark, sf_dir).withColumn("season_label", cal.season_label("month"))
+    m = modeling(spark, sf_dir, columns=MEASURES).withColumn("season_label", cal.season_label("month"))
     return round4(X.mean_by(m, ["season_label", "year"], MEASURES))
 
 
@@ -128,21 +129,21 @@ def q_season_year(spark: SparkSession, sf_dir: str):
     f"ROUND(avg({m}) FILTER (WHERE {SEASON_SQL} = '{s}'), 4) AS {m}_{s}" for s in cal.SEASON_ORDER for m in MEASURES)
     + " FROM modeling GROUP BY year")
 def q_season_unstack(spark: SparkSession, sf_dir: str):
-    m = modeling(spark, sf_dir).withColumn("season_label", cal.season_label("month"))
+    m = modeling(spark, sf_dir, columns=MEASURES).withColumn("season_label", cal.season_label("month"))
     return round4(X.pivot_mean(m, "year", "season_label", cal.SEASON_ORDER, MEASURES))
 
 
 @register("g5_month_mean", with_sql(S.modeling_ctes()) + "\nSELECT month, " + ", ".join(
     f"ROUND(avg({m}), 4) AS {m}" for m in MEASURES) + " FROM modeling GROUP BY month")
 def q_month_mean(spark: SparkSession, sf_dir: str):
-    return round4(X.mean_by(modeling(spark, sf_dir), ["month"], MEASURES))
+    return round4(X.mean_by(modeling(spark, sf_dir, columns=MEASURES), ["month"], MEASURES))
 
 
 @register("g6_weekday_mean", with_sql(S.modeling_ctes()) + "\nSELECT day_of_week, " + ", ".join(
     f"ROUND(avg({m}), 4) AS {m}" for m in MEASURES)
     + ", ['Mo', 'Di', 'Mi', 'Do', 'Fr', 'Sa', 'So'][day_of_week + 1] AS weekday_label FROM modeling GROUP BY day_of_week")
 def q_weekday_mean(spark: SparkSession, sf_dir: str):
-    return round4(X.weekday_means(modeling(spark, sf_dir), MEASURES))
+    return round4(X.weekday_means(modeling(spark, sf_dir, columns=MEASURES), MEASURES))
 
 
 # --- W1-W4: decomposition ------------------------------------------------------------------------------
@@ -171,7 +172,7 @@ FROM s3 JOIN ctr ON ctr.measure = s3.measure{' AND ctr.series = s3.series' if ke
 
 @register("w1_decompose", _decompose_sql(False))
 def q_decompose(spark: SparkSession, sf_dir: str):
-    return round4(X.decompose(modeling(spark, sf_dir), MEASURES, 30))
+    return round4(X.decompose(modeling(spark, sf_dir, columns=MEASURES), MEASURES, 30))
 
 
 @register("w4_decompose_segment", _decompose_sql(True))
