@@ -90,7 +90,7 @@ SELECT c.series, c.max_date, c.cutoff,
   CAST((SELECT count(*) FROM daily d WHERE d.series = c.series AND d.date <= c.cutoff) AS BIGINT) AS n_train
 FROM cut c""")
 def q_cutoff(spark: SparkSession, sf_dir: str):
-    daily = cut_lineage(daily_ops(spark, sf_dir, SEGMENT))  # read by two branches
+    daily = cut_lineage(daily_ops(spark, sf_dir, SEGMENT, columns=[]))  # read by two branches
     cut = cal.training_cutoff(daily, ["series"])
     start, end = cal.next_month_window("cutoff")
     n_train = (attach_scalars(daily, cut.select("series", "cutoff"), ["series"])
@@ -107,7 +107,7 @@ def _policy_frame(spark: SparkSession, sf_dir: str):
     """Prepared segment table with a stand-in prediction, the G8 floor from the
     training rows, the true-input roster (R3: floor only) and the adjusted
     roster (R2: floor + 15 % buffer), and both A2 rates."""
-    m = modeling(spark, sf_dir, segment=True).withColumn("pred", standin("calls"))
+    m = modeling(spark, sf_dir, segment=True, columns=["calls", "sby_need", "n_sby"]).withColumn("pred", standin("calls"))
     m = R.with_floor(m, F.col("date") <= F.lit(TRAIN_END).cast("date"), ["series"])
     df = m.withColumn("roster_true", apply_policy("pred", F.col("min_driver"), 1.0))
     df = df.withColumn("roster_adjusted", apply_policy("pred", F.col("min_driver"), PROD_BUFFER))

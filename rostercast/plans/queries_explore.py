@@ -177,7 +177,7 @@ def q_decompose(spark: SparkSession, sf_dir: str):
 
 @register("w4_decompose_segment", _decompose_sql(True))
 def q_decompose_segment(spark: SparkSession, sf_dir: str):
-    return round4(X.decompose(modeling(spark, sf_dir, segment=True), MEASURES, 30, keys=["series"]))
+    return round4(X.decompose(modeling(spark, sf_dir, segment=True, columns=MEASURES), MEASURES, 30, keys=["series"]))
 
 
 # --- W5, W6, V3: positions, folds, splits -----------------------------------------------------------------
@@ -187,7 +187,8 @@ SELECT series, date, CAST(row_number() OVER (PARTITION BY series ORDER BY date)
   CAST(ntile(5) OVER (PARTITION BY series ORDER BY date) - 1 AS INTEGER) AS fold
 FROM daily WHERE date <= DATE '{TRAIN_END}'""")
 def q_fold_ids(spark: SparkSession, sf_dir: str):
-    d = daily_ops(spark, sf_dir, SEGMENT).where(F.col("date") <= F.lit(TRAIN_END).cast("date")).select("series", "date")
+    d = (daily_ops(spark, sf_dir, SEGMENT, columns=[]).where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
+         .select("series", "date"))
     d = X.row_position(d, ["series"])
     return V.fold_ids(d, 5, ["series"]).withColumn("position", F.col("position").cast("long"))
 
@@ -204,13 +205,13 @@ def _split_sql(exact: bool) -> str:
 
 @register("v3_hash_split", _split_sql(False))
 def q_hash_split(spark: SparkSession, sf_dir: str):
-    d = daily_ops(spark, sf_dir, SEGMENT).select("series", "date", "sby_need")
+    d = daily_ops(spark, sf_dir, SEGMENT, columns=["sby_need"]).select("series", "date", "sby_need")
     return V.hash_split(d, ["series", "date"])
 
 
 @register("v3_hash_split_exact", _split_sql(True))
 def q_hash_split_exact(spark: SparkSession, sf_dir: str):
-    d = daily_ops(spark, sf_dir, SEGMENT).select("series", "date", "sby_need")
+    d = daily_ops(spark, sf_dir, SEGMENT, columns=["sby_need"]).select("series", "date", "sby_need")
     return V.hash_split(d, ["series", "date"], keys=["series"], exact=True)
 
 
@@ -232,7 +233,7 @@ def q_standardise(spark: SparkSession, sf_dir: str):
 # --- V1, V6, V7: metrics on stand-in predictions ------------------------------------------------------------
 
 def _standin_long(spark, sf_dir):
-    m = V.hash_split(modeling(spark, sf_dir, segment=True), ["series", "date"])
+    m = V.hash_split(modeling(spark, sf_dir, segment=True, columns=["calls", "n_sick", "sby_need"]), ["series", "date"])
     test = m.where(F.col("is_test"))
     entries = [F.struct(F.lit("calls quarter (1 features)").alias("model"), standin("calls").alias("prediction")),
                F.struct(F.lit("sick half (1 features)").alias("model"),
@@ -356,7 +357,7 @@ UNION ALL SELECT 'holdout', series, CAST(count(*) AS BIGINT), CAST(sum(calls) AS
 UNION ALL SELECT 'open_ended', series, CAST(count(*) AS BIGINT), CAST(sum(calls) AS BIGINT) FROM daily
   WHERE date >= DATE '2001-06-01' GROUP BY series""")
 def q_date_filters(spark: SparkSession, sf_dir: str):
-    d = cut_lineage(daily_ops(spark, sf_dir, SEGMENT))  # three filtered branches read it
+    d = cut_lineage(daily_ops(spark, sf_dir, SEGMENT, columns=["calls"]))  # three filtered branches read it
     parts = {"train": cal.between_dates(d, end=TRAIN_END),
              "holdout": cal.between_dates(d, "2001-06-01", "2001-06-27"),
              "open_ended": cal.between_dates(d, start="2001-06-01")}

@@ -52,7 +52,7 @@ def q_fourier(spark: SparkSession, sf_dir: str):
           + "\nSELECT h.series, h.date AS cp_date FROM h JOIN p ON p.series = h.series AND p.pos = h.pos")
 def q_changepoints(spark: SparkSession, sf_dir: str):
     from rostercast.sources.driver_tables import daily_ops
-    d = _train(daily_ops(spark, sf_dir, SEGMENT)).withColumnRenamed("date", "ds")
+    d = _train(daily_ops(spark, sf_dir, SEGMENT, columns=[])).withColumnRenamed("date", "ds")
     cps = FC.changepoints(d, ["series"], "ds", 25, 0.8)
     return cps.select("series", F.explode("cp_dates").alias("cp_date"))
 
@@ -70,7 +70,7 @@ SELECT t.series, t.date, {S.calendar_cols('t.date')}, {S.holiday_expr('t.date',
 FROM sp t JOIN easter e ON e.y = year(t.date)""")
 def q_future_frame(spark: SparkSession, sf_dir: str):
     from rostercast.sources.driver_tables import daily_ops
-    fut = M.future_frame(daily_ops(spark, sf_dir, SEGMENT).select("series", "date"), ["series"])
+    fut = M.future_frame(daily_ops(spark, sf_dir, SEGMENT, columns=[]).select("series", "date"), ["series"])
     return fut.select("series", "date", "day_of_week", "week", "month", "season", "year", "holiday", "day",
                       "week_of_month")
 
@@ -78,7 +78,7 @@ def q_future_frame(spark: SparkSession, sf_dir: str):
 # --- F2, F3, F4, F9, A4: input forecasts on the holdout window -----------------------------------------
 
 def _holdout_forecast(spark, sf_dir, target, spec):
-    m = cut_lineage(modeling(spark, sf_dir, segment=True, extended=True))
+    m = cut_lineage(modeling(spark, sf_dir, segment=True, extended=True, columns=["calls", "n_sick"]))
     hist = FC.regressor_frame(_train(m), target, spec.regressors, ["series"])
     model = FC.fit_forecast(hist, spec, ["series"])
     bounds = m.select("series").distinct().select(
@@ -109,7 +109,7 @@ def q_forecast_metrics(spark: SparkSession, sf_dir: str):
 
 @register("f8_model_inputs")
 def q_model_inputs(spark: SparkSession, sf_dir: str):
-    m = cut_lineage(modeling(spark, sf_dir, segment=True, extended=True))
+    m = cut_lineage(modeling(spark, sf_dir, segment=True, extended=True, columns=["calls", "n_sick"]))
     cfg = M.RosterConfig()
     train = M.training_rows(m, ["series"])
     return M.forecast_inputs(train, M.future_frame(m, ["series"]), ["series"], cfg, integer_inputs=True)
@@ -229,7 +229,7 @@ def q_monthly_roster_weekly(spark: SparkSession, sf_dir: str):
 
 @register("v2_forecast_train_fit")
 def q_forecast_train_fit(spark: SparkSession, sf_dir: str):
-    m = _train(modeling(spark, sf_dir, segment=True, extended=True))
+    m = _train(modeling(spark, sf_dir, segment=True, extended=True, columns=["calls"]))
     hist = cut_lineage(FC.regressor_frame(m, "calls", FC.CALLS_SPEC.regressors, ["series"]))
     model = FC.fit_forecast(hist, FC.CALLS_SPEC, ["series"])
     fitted = FC.predict_forecast(model, hist.drop("y"))

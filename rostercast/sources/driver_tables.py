@@ -55,10 +55,9 @@ def daily_ops_from(orders: DataFrame, customer: DataFrame | None = None,
     """Daily operations table ``(series?, date, n_sick, calls, n_duty, n_sby, sby_need, dafted)``.
 
     ``columns`` restricts the measures.  Only the distinct-customer count
-    (``n_duty``) and the series join need the ``(customer, day)`` pair stage;
-    a single-series table without ``n_duty`` aggregates orders straight to days
-    (map-side combine leaves at most one row per day and task, so the only
-    exchange is tiny).
+    (``n_duty``) needs the ``(customer, day)`` pair stage; without it the order
+    rows are aggregated straight to days (and series): map-side combine leaves
+    at most one row per series, day and task, so the only exchange is small.
     """
     wanted = [c for c in MEASURES if columns is None or c in columns]
     prio, status = F.col("o_orderpriority"), F.col("o_orderstatus")
@@ -69,14 +68,21 @@ def daily_ops_from(orders: DataFrame, customer: DataFrame | None = None,
         "sby_need": F.count_if((status == NEED_STATUS) & prio.isin(NEED_PRIORITIES)),
     }
     base = orders.select("o_custkey", F.col("o_orderdate").cast("date").alias("date"), prio, status)
-    if series_col is None and "n_duty" not in wanted:
-        daily = base.groupBy("date").agg(*[e.alias(c) for c, e in counts.items()])
+    if series_col is not None and customer is None:
+        raise ValueError("a series column needs the customer table")
+    keys: list[str] = []
+    if "n_duty" not in wanted:
+        if series_col is not None:
+            # no distinct count: join the order rows to their series directly (a broadcast
+            # when the customer side measures small; otherwise a sort-merge join whose hot
+            # customer partitions AQE splits) and aggregate straight to (series, day)
+            cust = customer.select(F.col("c_custkey").alias("o_custkey"), F.col(series_col).alias("series"))
+            base = base.join(cust, "o_custkey", "inner")
+            keys = ["series"]
+        daily = base.groupBy(*keys, "date").agg(*[e.alias(c) for c, e in counts.items()])
     else:
         pairs = base.groupBy("o_custkey", "date").agg(*[e.alias(c) for c, e in counts.items()])
-        keys: list[str] = []
         if series_col is not None:
-            if customer is None:
-                raise ValueError("a series column needs the customer table")
             cust = customer.select(F.col("c_custkey").alias("o_custkey"), F.col(series_col).alias("series"))
             pairs = pairs.join(cust, "o_custkey", "inner")
             keys = ["series"]
