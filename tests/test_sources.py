@@ -64,6 +64,23 @@ def test_daily_ops_with_hot_customer_matches_brute_force(spark):
             assert (got[c].to_numpy() == ref[c].to_numpy()).all(), c
 
 
+def test_daily_ops_measure_subset_direct_path(spark):
+    pdf = _orders(seed=9)
+    cust = pd.DataFrame({"c_custkey": np.arange(1, 400, dtype="int64"),
+                         "c_mktsegment": np.array(["A", "B", "C"])[np.arange(1, 400) % 3]})
+    orders, customer = spark.createDataFrame(pdf), spark.createDataFrame(cust)
+    cols = ["calls", "sby_need", "n_sby", "dafted"]
+    for series in (None, "c_mktsegment"):
+        got = daily_ops_from(orders, customer if series else None, series, cols).toPandas()
+        ref = _brute(pdf, cust if series else None)
+        keys = ["series", "date"] if series else ["date"]
+        assert list(got.columns) == keys + cols
+        got = got.sort_values(keys).reset_index(drop=True)
+        ref = ref.sort_values(keys).reset_index(drop=True)
+        for c in cols:
+            assert (got[c].to_numpy() == ref[c].to_numpy()).all(), c
+
+
 def test_daily_ops_row_counts_at_sf001(spark):
     assert daily_ops(spark, CHECK_DIR).count() == 2399
     assert daily_ops(spark, CHECK_DIR, "c_mktsegment").count() == 8537
