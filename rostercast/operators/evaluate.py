@@ -105,6 +105,13 @@ def standardise_within(df: DataFrame, cols: list[str], train_cond: F.Column, key
     return df.withColumns(out)
 
 
+def standardise(df: DataFrame, cols: list[str], train_cond: F.Column | None = None,
+                keys: list[str] | None = None, suffix: str = "") -> DataFrame:
+    """V4 entry point: fit on the training rows (``train_cond``, default all rows)
+    and apply to every row, per series."""
+    return standardise_within(df, cols, train_cond if train_cond is not None else F.lit(True), keys, suffix)
+
+
 # --- V1 / V6: metrics --------------------------------------------------------------------------------
 
 def regression_metrics(df: DataFrame, y: str = "y", pred: str = "prediction", by: list[str] | None = None) -> DataFrame:

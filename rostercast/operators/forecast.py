@@ -130,6 +130,30 @@ def changepoints(history: DataFrame, keys: list[str], ds: str = "ds", n_changepo
     return picked.groupBy(*keys).agg(F.sort_array(F.collect_set(ds)).alias("cp_dates"))
 
 
+def trend_basis(df: DataFrame, history: DataFrame, keys: list[str] | None = None, ds: str = "ds",
+                n_changepoints: int = 25, changepoint_range: float = 0.8) -> DataFrame:
+    """F6 as columns: scaled time ``t`` (0 at the first, 1 at the last history day
+    of the series) and hinges ``cp_j = max(t − t_j, 0)`` at the changepoints.
+
+    The per-series parameters (first/last day, changepoint dates) are one row
+    per series, attached by ``attach_scalars``.
+    """
+    keys = keys or []
+    bounds = history.groupBy(*keys).agg(F.min(ds).alias("_ds0"), F.max(ds).alias("_ds1"))
+    cps = changepoints(history, keys, ds, n_changepoints, changepoint_range)
+    params = bounds.join(cps, keys, "left") if keys else attach_scalars(bounds, cps)
+    staged = attach_scalars(df, params, keys)
+    span = F.greatest(F.datediff(F.col("_ds1"), F.col("_ds0")).cast("double"), F.lit(1.0))
+    t = F.datediff(F.col(ds), F.col("_ds0")).cast("double") / span
+    cp_t = F.transform(F.coalesce(F.col("cp_dates"), F.array().cast("array<date>")),
+                       lambda c: F.datediff(c, F.col("_ds0")).cast("double") / span)
+    cols = {"t": t}
+    for j in range(n_changepoints):
+        cols[f"cp_{j + 1}"] = F.greatest(t - F.coalesce(F.try_element_at(cp_t, F.lit(j + 1)), F.lit(FAR)),
+                                         F.lit(0.0))
+    return staged.withColumns(cols).drop("_ds0", "_ds1", "cp_dates")
+
+
 # --- fit parameters per series --------------------------------------------------------------------
 
 def _series_params(history: DataFrame, keys: list[str], spec: ForecastSpec, ds: str, y: str) -> DataFrame:

@@ -54,6 +54,16 @@ def training_rows(history: DataFrame, keys: list[str] | None = None, cutoff_day:
     return attach_scalars(history, cut, keys).where(F.col("date") <= F.col("cutoff")).drop("cutoff")
 
 
+def train_full(history: DataFrame, keys: list[str] | None = None, config: RosterConfig | None = None):
+    """The production pipeline (scaler + boosting) fitted on every row up to
+    the dynamic cut-off, saved to ``config.model_path`` when given (S5)."""
+    config = config or RosterConfig()
+    model = L.fit(training_rows(history, keys, config.cutoff_day), config.features, L._gbt(**config.model_params))
+    if config.model_path:
+        L.save_model(model, config.model_path)
+    return model
+
+
 def forecast_inputs(train: DataFrame, future: DataFrame, keys: list[str], config: RosterConfig,
                     integer_inputs: bool = True, with_week: bool = False) -> DataFrame:
     """F1-F4 + F8: forecast calls and n_sick over ``future`` and build the model inputs."""

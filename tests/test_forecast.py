@@ -59,3 +59,13 @@ def test_combine_inputs_prod_and_dev(spark):
     assert (r["calls"], r["n_sick"], r["n_duty"], r["year"]) == (10, 70, 1900, 2019)
     dev = FC.combine_inputs(a, b, integer_inputs=False, with_week=True)
     assert dev.columns == ["date", "calls", "year", "week", "n_duty", "n_sick"] and dev.first()["calls"] == 10.7
+
+
+def test_trend_basis_columns(spark):
+    df = spark.createDataFrame([("k", x) for x in days("2019-01-01", 101)], "series string, ds date")
+    out = FC.trend_basis(df, df, ["series"], "ds").orderBy("ds").collect()
+    assert out[0]["t"] == 0.0 and out[-1]["t"] == 1.0
+    assert all(r["cp_1"] >= 0 for r in out) and out[0]["cp_25"] == 0.0
+    # a hinge starts at its changepoint: zero before, linear after
+    first_cp = next(i for i, r in enumerate(out) if r["cp_1"] > 0) - 1
+    assert abs(out[-1]["cp_1"] - (1.0 - first_cp / 100)) < 1e-12

@@ -68,3 +68,15 @@ def test_model_search_entry(spark):
     lc = out["learning_curves"].orderBy("train_size").collect()
     assert len(lc) == 5 and lc[-1]["train_size"] > lc[0]["train_size"]
     assert len(out["predictions"].columns) == 4  # date, y, baseline_pred, <best>_pred
+
+
+def test_train_full_saves_pipeline(spark, tmp_path):
+    from rostercast.operators.learn import load_model, score
+    from rostercast.plans.monthly import train_full
+    hist = _history(spark, segment=False)
+    path = str(tmp_path / "prod-model")
+    model = train_full(hist, [], RosterConfig(model_params=SMALL, model_path=path))
+    again = load_model(path)
+    a = [r["prediction"] for r in score(model, hist).orderBy("date").collect()]
+    b = [r["prediction"] for r in score(again, hist).orderBy("date").collect()]
+    assert a == b and len(model.stages) == 3  # assembler, scaler, learner travel together
