@@ -69,3 +69,11 @@ def test_grid_search_and_search(spark):
     best_row = [r for r in res if r["is_best"]][0]
     assert best_row["mse"] == min(r["mse"] for r in res)
     assert best_row["key"].startswith("Gradient Boosting Regressor (")
+
+
+def test_fits_are_deterministic_under_seed(spark):
+    df = _planted(spark, 300).cache()
+    for make in (lambda: L._gbt(maxIter=5, maxDepth=3), lambda: L._rf(numTrees=5, maxDepth=3)):
+        a = [r["prediction"] for r in L.score(L.fit(df, L.PROD_FEATURES, make()), df).orderBy("date").collect()]
+        b = [r["prediction"] for r in L.score(L.fit(df, L.PROD_FEATURES, make()), df).orderBy("date").collect()]
+        assert a == b
