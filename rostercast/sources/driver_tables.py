@@ -26,6 +26,9 @@ Plan shape (the only step that touches the big tables):
    join;
 4. aggregate the pairs to ``(series, date)``: the distinct-customer count is a
    plain ``count`` of pairs, so no Expand and no second distinct pass.
+
+Steps 2-4 are only needed for ``n_duty``.  Callers that ask for a subset of the
+measures without it get one aggregation straight to ``(series, date)``.
 """
 
 from __future__ import annotations
