@@ -54,13 +54,16 @@ MEASURES = ["n_sick", "calls", "n_duty", "n_sby", "sby_need", "dafted"]
 
 
 def daily_ops_from(orders: DataFrame, customer: DataFrame | None = None,
-                   series_col: str | None = None, columns: list[str] | None = None) -> DataFrame:
+                   series_col: str | None = None, columns: list[str] | None = None,
+                   approx_duty_rsd: float | None = None) -> DataFrame:
     """Daily operations table ``(series?, date, n_sick, calls, n_duty, n_sby, sby_need, dafted)``.
 
     ``columns`` restricts the measures.  Only the distinct-customer count
     (``n_duty``) needs the ``(customer, day)`` pair stage; without it the order
     rows are aggregated straight to days (and series): map-side combine leaves
     at most one row per series, day and task, so the only exchange is small.
+    ``approx_duty_rsd`` (opt-in, e.g. 0.01) computes ``n_duty`` with HyperLogLog++
+    in that same single aggregation instead of the exact pair stage.
     """
     wanted = [c for c in MEASURES if columns is None or c in columns]
     prio, status = F.col("o_orderpriority"), F.col("o_orderstatus")
@@ -74,9 +77,11 @@ def daily_ops_from(orders: DataFrame, customer: DataFrame | None = None,
     if series_col is not None and customer is None:
         raise ValueError("a series column needs the customer table")
     keys: list[str] = []
-    if "n_duty" not in wanted:
+    if "n_duty" not in wanted or approx_duty_rsd is not None:
+        if "n_duty" in wanted:
+            counts["n_duty"] = F.approx_count_distinct("o_custkey", approx_duty_rsd)
         if series_col is not None:
-            # no distinct count: join the order rows to their series directly (a broadcast
+            # no exact distinct count: join the order rows to their series directly (a broadcast
             # when the customer side measures small; otherwise a sort-merge join whose hot
             # customer partitions AQE splits) and aggregate straight to (series, day)
             cust = customer.select(F.col("c_custkey").alias("o_custkey"), F.col(series_col).alias("series"))
@@ -97,10 +102,10 @@ def daily_ops_from(orders: DataFrame, customer: DataFrame | None = None,
 
 
 def daily_ops(spark: SparkSession, sf_dir: str, series_col: str | None = None,
-              columns: list[str] | None = None) -> DataFrame:
+              columns: list[str] | None = None, approx_duty_rsd: float | None = None) -> DataFrame:
     orders = load_table(spark, sf_dir, "orders")
     customer = load_table(spark, sf_dir, "customer") if series_col else None
-    return daily_ops_from(orders, customer, series_col, columns)
+    return daily_ops_from(orders, customer, series_col, columns, approx_duty_rsd)
 
 
 def daily_ops_sql(series_col: str | None = None) -> str:

@@ -105,3 +105,11 @@ def test_iso_weeks_of_may_2019_golden(spark):
     df = spark.range(27).select(F.date_add(F.lit("2019-05-01").cast("date"), F.col("id").cast("int")).alias("d"))
     weeks = [r["w"] for r in df.select(iso_week("d").alias("w")).orderBy("d").collect()]
     assert weeks == [18] * 5 + [19] * 7 + [20] * 7 + [21] * 7 + [22]
+
+
+def test_daily_ops_approximate_duty_is_close(spark):
+    exact = {(r["series"], r["date"]): r["n_duty"] for r in daily_ops(spark, CHECK_DIR, "c_mktsegment").collect()}
+    approx = daily_ops(spark, CHECK_DIR, "c_mktsegment", approx_duty_rsd=0.01).collect()
+    assert len(approx) == len(exact)
+    errs = [abs(r["n_duty"] - exact[(r["series"], r["date"])]) / exact[(r["series"], r["date"])] for r in approx]
+    assert max(errs) <= 0.05 and sum(e == 0 for e in errs) / len(errs) > 0.95
