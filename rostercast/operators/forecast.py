@@ -23,7 +23,7 @@ Intervals are ``ŷ ± z·σ_resid`` of the fit (no trend simulation).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -130,6 +130,18 @@ def changepoints(history: DataFrame, keys: list[str], ds: str = "ds", n_changepo
     return picked.groupBy(*keys).agg(F.sort_array(F.collect_set(ds)).alias("cp_dates"))
 
 
+def _time_and_hinges(ds: str, n_changepoints: int) -> tuple[Column, list[Column]]:
+    """``t`` scaled to the series' history (columns ``_ds0``, ``_ds1``) and the hinge
+    columns at ``cp_dates``; missing changepoints give a constant 0 hinge."""
+    span = F.greatest(F.datediff(F.col("_ds1"), F.col("_ds0")).cast("double"), F.lit(1.0))
+    t = F.datediff(F.col(ds), F.col("_ds0")).cast("double") / span
+    cp_t = F.transform(F.coalesce(F.col("cp_dates"), F.array().cast("array<date>")),
+                       lambda c: F.datediff(c, F.col("_ds0")).cast("double") / span)
+    hinges = [F.greatest(t - F.coalesce(F.try_element_at(cp_t, F.lit(j + 1)), F.lit(FAR)), F.lit(0.0))
+              for j in range(n_changepoints)]
+    return t, hinges
+
+
 def trend_basis(df: DataFrame, history: DataFrame, keys: list[str] | None = None, ds: str = "ds",
                 n_changepoints: int = 25, changepoint_range: float = 0.8) -> DataFrame:
     """F6 as columns: scaled time ``t`` (0 at the first, 1 at the last history day
@@ -143,14 +155,8 @@ def trend_basis(df: DataFrame, history: DataFrame, keys: list[str] | None = None
     cps = changepoints(history, keys, ds, n_changepoints, changepoint_range)
     params = bounds.join(cps, keys, "left") if keys else attach_scalars(bounds, cps)
     staged = attach_scalars(df, params, keys)
-    span = F.greatest(F.datediff(F.col("_ds1"), F.col("_ds0")).cast("double"), F.lit(1.0))
-    t = F.datediff(F.col(ds), F.col("_ds0")).cast("double") / span
-    cp_t = F.transform(F.coalesce(F.col("cp_dates"), F.array().cast("array<date>")),
-                       lambda c: F.datediff(c, F.col("_ds0")).cast("double") / span)
-    cols = {"t": t}
-    for j in range(n_changepoints):
-        cols[f"cp_{j + 1}"] = F.greatest(t - F.coalesce(F.try_element_at(cp_t, F.lit(j + 1)), F.lit(FAR)),
-                                         F.lit(0.0))
+    t, hinges = _time_and_hinges(ds, n_changepoints)
+    cols = {"t": t, **{f"cp_{j + 1}": h for j, h in enumerate(hinges)}}
     return staged.withColumns(cols).drop("_ds0", "_ds1", "cp_dates")
 
 
@@ -173,12 +179,7 @@ def _series_params(history: DataFrame, keys: list[str], spec: ForecastSpec, ds:
 def _design(df: DataFrame, params: DataFrame, keys: list[str], spec: ForecastSpec, ds: str) -> DataFrame:
     """Attach the basis column ``_x`` (array<double>) using per-series parameters."""
     joined = attach_scalars(df, params, keys)
-    span = F.greatest(F.datediff(F.col("_ds1"), F.col("_ds0")).cast("double"), F.lit(1.0))
-    t = F.datediff(F.col(ds), F.col("_ds0")).cast("double") / span
-    cp_t = F.transform(F.coalesce(F.col("cp_dates"), F.array().cast("array<date>")),
-                       lambda c: F.datediff(c, F.col("_ds0")).cast("double") / span)
-    n_cp = spec.n_changepoints
-    hinges = [F.greatest(t - F.coalesce(F.try_element_at(cp_t, F.lit(j + 1)), F.lit(FAR)), F.lit(0.0)) for j in range(n_cp)]
+    t, hinges = _time_and_hinges(ds, spec.n_changepoints)
     seas = []
     for s in spec.seasonalities:
         seas += fourier_terms(F.col(ds), s.period, s.order)
@@ -234,7 +235,6 @@ class ForecastModel:
     keys: list[str]
     params: DataFrame
     ds: str = "ds"
-    extra: dict = field(default_factory=dict)
 
 
 def fit_forecast(history: DataFrame, spec: ForecastSpec, keys: list[str] | None = None,
