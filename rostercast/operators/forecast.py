@@ -119,6 +119,10 @@ def changepoints(history: DataFrame, keys: list[str], ds: str = "ds", n_changepo
     history).  Returns ``(keys…, cp_dates array<date>)``; at most
     ``n_changepoints`` entries per series.
     """
+    if n_changepoints <= 0:
+        # no trend changes: one row per series without changepoint dates
+        return (history.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                .select(*keys, F.lit(None).cast("array<date>").alias("cp_dates")))
     w = Window.partitionBy(*keys).orderBy(ds)
     staged = history.select(*keys, ds).withColumns({
         "_pos": F.row_number().over(w) - 1,

@@ -69,3 +69,13 @@ def test_trend_basis_columns(spark):
     # a hinge starts at its changepoint: zero before, linear after
     first_cp = next(i for i, r in enumerate(out) if r["cp_1"] > 0) - 1
     assert abs(out[-1]["cp_1"] - (1.0 - first_cp / 100)) < 1e-12
+
+
+def test_linear_series_is_recovered(spark):
+    spec = FC.ForecastSpec(n_changepoints=0, seasonalities=(), regressors=())
+    recs = [("k", dd, 3.0 + 2.0 * i) for i, dd in enumerate(days("2019-01-01", 60))]
+    h = spark.createDataFrame(recs, "series string, ds date, y double")
+    model = FC.fit_forecast(h, spec, ["series"])
+    fut = spark.createDataFrame([("k", x) for x in days("2019-03-02", 5)], "series string, ds date")
+    got = [r["yhat"] for r in FC.predict_forecast(model, fut).orderBy("ds").collect()]
+    assert np.allclose(got, [3.0 + 2.0 * i for i in range(60, 65)], atol=1e-6)
