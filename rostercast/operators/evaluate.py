@@ -32,7 +32,9 @@ def hash_split(df: DataFrame, key_cols: list[str], test_fraction: float = 0.2, s
     """
     h = split_hash(key_cols, seed)
     if not exact:
-        threshold = format(int(test_fraction * 16 ** 8), "08x")
+        if test_fraction >= 1.0:
+            return df.withColumn(out_col, F.lit(True))
+        threshold = format(int(max(test_fraction, 0.0) * 16 ** 8), "08x")
         return df.withColumn(out_col, h < F.lit(threshold))
     keys = keys or []
     w = Window.partitionBy(*keys).orderBy(h, *key_cols)
