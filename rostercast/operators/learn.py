@@ -50,12 +50,17 @@ class Candidate:
     grid: dict = field(default_factory=dict)
 
 
+# Spark bins continuous features; the reference's learners split on exact values.
+# 256 bins keeps high-cardinality inputs such as `calls` close to exact splits.
+MAX_BINS = 256
+
+
 def _rf(**kw):
-    return RandomForestRegressor(seed=SEED, featureSubsetStrategy="all", **kw)
+    return RandomForestRegressor(seed=SEED, featureSubsetStrategy="all", **{"maxBins": MAX_BINS, **kw})
 
 
 def _gbt(**kw):
-    return GBTRegressor(seed=SEED, **kw)
+    return GBTRegressor(seed=SEED, **{"maxBins": MAX_BINS, **kw})
 
 
 def leaves_to_depth(leaves: int) -> int:
