@@ -80,3 +80,12 @@ def test_train_full_saves_pipeline(spark, tmp_path):
     a = [r["prediction"] for r in score(model, hist).orderBy("date").collect()]
     b = [r["prediction"] for r in score(again, hist).orderBy("date").collect()]
     assert a == b and len(model.stages) == 3  # assembler, scaler, learner travel together
+
+
+def test_future_frame_june_2019_golden(spark):
+    # golden: history up to late May 2019 → cut-off 2019-05-14 → forecast month 1…30 June 2019
+    hist = spark.createDataFrame([(dt.date(2019, 5, 1) + dt.timedelta(days=i),) for i in range(27)], "date date")
+    rows = future_frame(hist).orderBy("date").collect()
+    assert [r["date"] for r in rows] == [dt.date(2019, 6, 1) + dt.timedelta(days=i) for i in range(30)]
+    assert [r["date"] for r in rows if r["holiday"] == 1] == [dt.date(2019, 6, 10)]   # Whit Monday
+    assert {r["year"] for r in rows} == {2019} and rows[0]["week_of_month"] == 1 and rows[-1]["week_of_month"] == 5
