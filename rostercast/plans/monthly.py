@@ -9,6 +9,7 @@ driver-side values are the parameters.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,13 +68,18 @@ def train_full(history: DataFrame, keys: list[str] | None = None, config: Roster
 def forecast_inputs(train: DataFrame, future: DataFrame, keys: list[str], config: RosterConfig,
                     integer_inputs: bool = True, with_week: bool = False) -> DataFrame:
     """F1-F4 + F8: forecast calls and n_sick over ``future`` and build the model inputs."""
-    out = {}
-    for target, spec in (("calls", config.calls_spec), ("n_sick", config.sick_spec)):
+    def one(target, spec):
         hist = FC.regressor_frame(train, target, spec.regressors, keys)
         model = FC.fit_forecast(hist, spec, keys)
         fut = future.select(*keys, F.col("date").alias("ds"), *spec.regressors)
-        out[target] = FC.predict_forecast(model, fut)
-    return FC.combine_inputs(out["calls"], out["n_sick"], keys, config.n_duty, integer_inputs, with_week)
+        return FC.predict_forecast(model, fut)
+
+    # the two fits are independent Spark jobs: submit them side by side
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        calls = pool.submit(one, "calls", config.calls_spec)
+        sick = pool.submit(one, "n_sick", config.sick_spec)
+        calls_fc, sick_fc = calls.result(), sick.result()
+    return FC.combine_inputs(calls_fc, sick_fc, keys, config.n_duty, integer_inputs, with_week)
 
 
 def monthly_roster(spark: SparkSession, history: DataFrame, keys: list[str] | None = None,
