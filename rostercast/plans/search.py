@@ -9,6 +9,8 @@ Spark ML job and the driver keeps only metric rows.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,18 +37,26 @@ def model_search(spark: SparkSession, prepared: DataFrame, config: L.SearchConfi
                                         F.lit("baseline").alias("model"), "prediction")]
     candidates = L.search(spark, train, test, config, features)
     best = candidates.where("is_best").collect()
-    curves = []
-    for row in best:
+
+    def refit(row):
         cand = L.CANDIDATES[row["model"]]
         # parameters travel as strings in the candidate table; restore their types
         params = {k: type(cand.defaults[k])(float(v)) for k, v in row["params"].items()}
         sel = list(row["selected_features"])
         model = L.fit(train, sel, cand.make(**params))
-        preds.append(L.score(model, test).select("date", F.col("sby_need").cast("double").alias("y"),
-                                                 F.lit(row["key"]).alias("model"), "prediction"))
+        pred = L.score(model, test).select("date", F.col("sby_need").cast("double").alias("y"),
+                                           F.lit(row["key"]).alias("model"), "prediction")
+        curve = None
         if learning_curves:
-            lc = L.learning_curve(spark, train, sel, lambda c=cand, p=params: c.make(**p))
-            curves.append(lc.withColumn("model", F.lit(row["model"])))
+            curve = (L.learning_curve(spark, train, sel, lambda: cand.make(**params), parallelism=4)
+                     .withColumn("model", F.lit(row["model"])))
+        return pred, curve
+
+    # the best models are independent: refit them (and their curves) side by side
+    with ThreadPoolExecutor(max_workers=max(1, min(len(best), 2))) as pool:
+        done = list(pool.map(refit, best))
+    preds += [p for p, _ in done]
+    curves = [c for _, c in done if c is not None]
     long = preds[0]
     for p in preds[1:]:
         long = long.unionByName(p)
