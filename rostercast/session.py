@@ -35,19 +35,33 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint directory (a URI).
+def shared_dir(spark: SparkSession) -> str:
+    """URI of the folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when nothing is configured (local tests) a scratch folder is
-    registered with the SparkContext.
+    On a cluster the setting must be present: a machine-local folder would not be
+    seen by the executors, so a missing setting raises.  Only a ``local`` master,
+    where driver and executors are one process, gets a scratch folder.
     """
     sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
     current = sc.getCheckpointDir()
     if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rostercast-ckpt-"))
+        return current.rstrip("/")
+    if sc.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder shared by the driver and all executors")
+    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rostercast-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Register :func:`shared_dir` with the SparkContext unless it has a checkpoint folder already."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = shared_dir(spark)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -55,7 +69,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (survives executor loss).
 
     Used before loops that reuse one frame many times (grid search, learning
-    curves); never ``localCheckpoint``.
+    curves).
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
