@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rostercast.llm import pfor_files, ring_shards
+from rostercast.llm import fit_packing, pfor_files, ring_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fit_packing": fit_packing.op2_fit_packing,
     "op6_ring_shards": ring_shards.op6_ring_shards,
     "op8_pfor_token_files": pfor_files.op8_pfor_token_files,
 }
