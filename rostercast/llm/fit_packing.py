@@ -9,6 +9,9 @@ long to short, combinations of one, two or three shorter lengths that fill its g
 exactly are looked up by their sum and consumed as often as all of their lengths
 are available.  What has no exact complement goes, from long to short, to the open
 sequence with the smallest gap that still takes it, and only then to a new one.
+Pairs and triples can spend short pieces that best fit would have used better, so
+the plan is made for combinations of up to three, two and one, and the one with
+the fewest sequences is carried out.
 Every step uses up a length or a kind of open sequence, so the plan is a bounded
 list of patterns, each with a number of sequences.
 
@@ -59,12 +62,13 @@ class Complements:
         free = (self.n[a] > 0) & (self.n[total - a] > 0) & ((a * 2 != total) | (self.n[a] > 1))
         return (int(total - a[free][0]), int(a[free][0])) if free.any() else None
 
-    def find(self, gap: int) -> tuple[int, ...] | None:
+    def find(self, gap: int, parts: int = 3) -> tuple[int, ...] | None:
+        """A combination of at most ``parts`` available lengths whose sum is ``gap``."""
         if gap > 0 and self.n[gap]:
             return (gap,)
-        if found := self.pair(gap):
+        if parts > 1 and (found := self.pair(gap)):
             return found
-        for c in np.flatnonzero(self.n[: gap // 3 + 1]).tolist():  # the shortest of three
+        for c in () if parts < 3 else np.flatnonzero(self.n[: gap // 3 + 1]).tolist():  # the shortest of three
             self.n[c] -= 1
             found = self.pair(gap - c, c)
             self.n[c] += 1
@@ -81,16 +85,36 @@ class Complements:
         return times
 
 
-def plan_patterns(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """``(lengths, sequences)``: patterns that use every piece exactly once."""
+Patterns = list[tuple[tuple[int, ...], int]]
+
+
+def plan_patterns(counts: dict[int, int], size: int = SEQUENCE) -> Patterns:
+    """``(lengths, sequences)``: patterns that use every piece exactly once.
+
+    Complements of up to three, two and one lengths are planned; the plan with the
+    fewest sequences is taken, the first one that reaches the lower bound ends the search.
+    """
+    least = -(-sum(x * k for x, k in counts.items()) // size)
+    best: Patterns | None = None
+    for parts in (3, 2, 1):
+        plan = plan_with(counts, size, parts)
+        if best is None or sum(k for _, k in plan) < sum(k for _, k in best):
+            best = plan
+        if sum(k for _, k in best) == least:
+            break
+    return best
+
+
+def plan_with(counts: dict[int, int], size: int, parts: int) -> Patterns:
+    """One plan, with exact complements of at most ``parts`` lengths."""
     left = Complements(counts, size)
-    patterns: list[tuple[tuple[int, ...], int]] = []
+    patterns: Patterns = []
     if left.n[size]:
         patterns.append(((size,), left.take((size,))))
     for length in range(size - 1, 0, -1):
         while left.n[length]:
             left.n[length] -= 1  # the piece itself is no part of its complement
-            found = left.find(size - length)
+            found = left.find(size - length, parts)
             left.n[length] += 1
             if not found:
                 break
@@ -121,7 +145,7 @@ def plan_patterns(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tu
     return patterns + [(held, times) for own in gaps.values() for held, times in own]
 
 
-def plan_intervals(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
+def plan_intervals(patterns: Patterns) -> dict[int, np.ndarray]:
     """By length: rows ``(first rank, first sequence, offset, copies in a sequence)`` in rank order."""
     used: dict[int, int] = defaultdict(int)
     rows: dict[int, list] = defaultdict(list)
