@@ -41,7 +41,7 @@ from rostercast.llm.tokens import END_ID, vocabulary_path, word_ids
 
 BLOCK = 128
 WIDTH_PERCENTILE = 90
-SEGMENT_IDS = 1 << 20  # a segment is closed once it holds so many ids
+SEGMENT_IDS = 1 << 17  # a segment is closed once it holds so many ids
 MAGIC = b"PFOR"
 HEAD = struct.Struct("<4sHQI")
 INDEX = np.dtype([("start", "<u8"), ("low", "<u4"), ("width", "u1"), ("odd", "u1")])

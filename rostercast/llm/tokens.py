@@ -17,7 +17,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-MAX_WORDS = 1_000_000  # words kept for each Python worker; beyond that the store starts anew
+MAX_WORDS = 300_000  # words in each of the two generations that a Python worker keeps
 
 _stores: dict[str, "WordIds"] = {}
 
@@ -39,11 +39,16 @@ class WordIds(dict):
         self.whole = Tokenizer.from_file(path)
         self.merge = self.whole.model.tokenize
         self.letters = _byte_letters()
+        self.older: dict[str, bytes] = {}
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MAX_WORDS:
+            self.older = dict(self)
             self.clear()
+        if (got := self.older.get(word)) is not None:
+            self[word] = got
+            return got
         core = word.rstrip(",.")
         if core and core.isalpha() and max(core) < "ɐ":
             if core == word:
