@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rostercast.llm import fit_packing, minhash_dedup, pfor_files, pu_quality, random_secrets, ring_shards
+from rostercast.llm import fit_packing, minhash_dedup, pfor_files, pu_quality, random_secrets, range_dedup, ring_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fit_packing": fit_packing.op2_fit_packing,
@@ -14,7 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_random_secrets": random_secrets.op5_random_secrets,
     "op6_ring_shards": ring_shards.op6_ring_shards,
     "op8_pfor_token_files": pfor_files.op8_pfor_token_files,
+    "op9_range_dedup": range_dedup.op9_range_dedup,
     "op10_pu_quality": pu_quality.op10_pu_quality,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_range_dedup": range_dedup.SQL,
+}
