@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rostercast.llm import fit_packing, minhash_dedup, pfor_files, pu_quality, random_secrets, range_dedup, ring_shards
+from rostercast.llm import fit_packing, minhash_dedup, pfor_files, pu_quality, random_secrets, range_dedup, ring_shards, tree_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fit_packing": fit_packing.op2_fit_packing,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op5_random_secrets": random_secrets.op5_random_secrets,
     "op6_ring_shards": ring_shards.op6_ring_shards,
+    "op7_tree_search": tree_search.op7_tree_search,
     "op8_pfor_token_files": pfor_files.op8_pfor_token_files,
     "op9_range_dedup": range_dedup.op9_range_dedup,
     "op10_pu_quality": pu_quality.op10_pu_quality,
