@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rostercast.llm import fit_packing, minhash_dedup, pfor_files, pu_quality, random_secrets, range_dedup, ring_shards, sampled_pieces, tree_search
+from rostercast.llm import block_labeller, fit_packing, minhash_dedup, pfor_files, pu_quality, random_secrets, range_dedup, ring_shards, sampled_pieces, tree_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sampled_pieces": sampled_pieces.op1_sampled_pieces,
     "op2_fit_packing": fit_packing.op2_fit_packing,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
+    "op4_block_labeller": block_labeller.op4_block_labeller,
     "op5_random_secrets": random_secrets.op5_random_secrets,
     "op6_ring_shards": ring_shards.op6_ring_shards,
     "op7_tree_search": tree_search.op7_tree_search,
