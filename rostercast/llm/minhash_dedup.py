@@ -15,10 +15,12 @@ Candidates are confirmed on the full shingle sets.  Inside a bucket only stars a
 compared, never all pairs: first every document with the least document of its
 fullest shared buckets, then with the least one of all its buckets, and then, in
 buckets that still hold several components, with a hashed share of the members
-that grows eightfold each round until it holds all of them.  Pairs that are known
-to be connected, were compared before or differ too much in size are left out, so
-no candidate link between different components is lost and large groups of copies
-cost a few rounds of linear size.
+that grows eightfold each round until it holds all of them.  Pairs are left out if
+they are known to be connected, were compared before, or cannot meet the threshold:
+because of their sizes, or because of shingles that no other document in these
+buckets has (a copy with too many changes of its own links with nothing, whatever
+its neighbours are).  So no candidate link between different components is lost,
+and large groups of copies cost a few rounds of linear size.
 
 Null and empty texts have no shingles and are linked with nothing, and so are rows
 without an id; repeated rows count once as nodes and come out as often as they
@@ -171,6 +173,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
                   .select("a", "b", "x", "y").mapInArrow(meet, "a long, b long"), "links")
 
 
+def own_shingles(ids: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """``(doc_id, own)``: for documents ``ids``, how many of their shingles none of the others has."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingles((t.as_py() or "").encode().lower().split(), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s)], ["doc_id", "s"])
+
+    held = (docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).join(ids, "doc_id")
+            .mapInArrow(rows, "doc_id long, s long"))
+    single = held.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
+    return staged(single.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own")), "own")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row."""
     signed = signature_table(docs, key, text, words, share)
@@ -178,12 +195,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     first = staged(signed.join(nodes.select("sequence", F.col("node").alias("doc_id")), ["sequence", "doc_id"])
                    .select("doc_id", "n", "bands").distinct(), "first")
     members = first.select("doc_id", "n", F.explode("bands").alias("band"))
-    close = lambda a, b: f"100 * least({a}, {b}) >= {share} * greatest({a}, {b})"
+    close = f"100 * least(n, nb) >= {share} * greatest(n, nb)"
 
-    # every document with the least one of each of its buckets, and how many buckets they share
+    # buckets of several documents, and the least document of each
     least = (members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("b"), F.min_by("n", "doc_id").alias("nb"))
              .where("size > 1"))
-    stars = staged(members.join(least, "band").where(f"doc_id <> b and {close('n', 'nb')}")
+    members = staged(members.join(least, "band"), "buckets")
+    stars = staged(members.where(f"doc_id <> b and {close}")
                    .groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared")), "stars")
     check = lambda pairs: confirmed(pairs, docs, key, text, words, share)
     done = staged(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "pairs")
@@ -200,29 +218,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     def joined(pairs: DataFrame) -> None:
         nonlocal done, links, root
+        if pairs.isEmpty():
+            return
         found = check(pairs)
         done = done.select("a", "b").union(pairs)
         if not found.isEmpty():
             links = links.union(found)
             root = connected_components(links, "a", "b")
 
-    pairs = apart(stars)
-    if not pairs.isEmpty():
-        joined(pairs)
+    def still_open(rows: DataFrame) -> DataFrame:
+        """The members of buckets that hold several components, with their roots."""
+        own = (rows.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+               .withColumn("root", F.coalesce("root", "doc_id")))
+        several = (own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+                   .where("size > 2 and r0 <> r1").select("band", "size"))
+        return staged(own.join(several, "band"), "open")
+
+    joined(apart(stars))
+    open_ = still_open(members.select("doc_id", "n", "band"))
+    own = own_shingles(open_.select("doc_id").distinct(), docs, key, text, words)
+    # documents that have too much of their own for any other one are out
+    rest = staged(open_.select("doc_id", "n", "band").join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+                  .where(f"100 * (n - own) >= {share} * n"), "rest")
+    most = "least(n - own, nb - ownb)"  # shingles that both can hold
     share_of = GROWTH
     while True:
-        own = members.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        mixed_ = (own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-                  .where("size > 2 and r0 <> r1").select("band", "size"))
-        open_ = staged(own.join(mixed_, "band"), "buckets")
+        open_ = still_open(rest)
         largest = open_.agg(F.max("size")).first()[0]
         if largest is None:
             break
         chance = F.pmod(F.xxhash64("doc_id", "band"), F.lit(1 << 20)) * F.col("size") < share_of * (1 << 20)
-        some = open_.where(chance).select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        pairs = apart(open_.join(some, "band").where(f"root <> rb and {close('n', 'nb')}").select(F.col("doc_id").alias("a"), "b"))
-        if not pairs.isEmpty():
-            joined(pairs)
+        some = open_.where(chance).select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ownb"), F.col("root").alias("rb"))
+        joined(apart(open_.join(some, "band").where(f"root <> rb and 100 * {most} >= {share} * (n + nb - {most})")
+                     .select(F.col("doc_id").alias("a"), "b")))
         if share_of >= largest:
             break
         share_of *= GROWTH
