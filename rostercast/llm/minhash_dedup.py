@@ -15,12 +15,14 @@ Candidates are confirmed on the full shingle sets.  Inside a bucket only stars a
 compared, never all pairs: first every document with the least document of its
 fullest shared buckets, then with the least one of all its buckets, and then, in
 buckets that still hold several components, with a hashed share of the members
-that grows eightfold each round until it holds all of them.  Pairs are left out if
-they are known to be connected, were compared before, or cannot meet the threshold:
-because of their sizes, or because of shingles that no other document in these
-buckets has (a copy with too many changes of its own links with nothing, whatever
-its neighbours are).  So no candidate link between different components is lost,
-and large groups of copies cost a few rounds of linear size.
+that grows eightfold each round until it holds all of them.  Before these rounds,
+pairs that share a rare shingle (one that at most ``RARE`` of the documents in such
+buckets have) are compared; any other pair can have in common only what is left
+after both lose their rare shingles.  Pairs are left out if they are known to be
+connected, were compared before, or cannot meet the threshold, because of their
+sizes or because of their rare shingles (a copy with too many changes links with
+nothing, however many copies there are).  So no candidate link between different
+components is lost, and large groups of copies cost a few rounds of linear size.
 
 Null and empty texts have no shingles and are linked with nothing, and so are rows
 without an id; repeated rows count once as nodes and come out as often as they
@@ -43,6 +45,7 @@ WORDS, SHARE = 3, 85  # per cent of the union that both must hold
 ROWS, MISS = 5, 1e-7
 CHUNK = 100_000  # shingles that go through SuperMinHash together
 GROWTH = 8
+RARE = 64
 
 FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -148,14 +151,22 @@ def signature_table(docs: DataFrame, key: str, text: str, words: int, share: int
                   .mapInArrow(signed, "doc_id long, n long, sequence binary, bands array<long>"), "signatures")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, share: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets meet the threshold, as a staged table."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """``(id, s)``: the shingle sets of the documents ``ids`` as 64-bit hashes, staged; the one time that texts are shuffled."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles((t.as_py() or "").encode().lower().split(), words).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["id", "s"])
 
+    # a merge join at every size: the ids grow with the documents
+    return staged(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids.hint("merge"), "id")
+                  .mapInArrow(sets, "id long, s binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full shingle sets meet the threshold, as a staged table."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -165,27 +176,24 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
                 keep.append(100 * both >= share * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    full = staged(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id")
-                  .mapInArrow(sets, "id long, s binary"), "sets")
-    return staged(pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-                  .join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return staged(pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
+                  .join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
                   .select("a", "b", "x", "y").mapInArrow(meet, "a long, b long"), "links")
 
 
-def own_shingles(ids: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``(doc_id, own)``: for documents ``ids``, how many of their shingles none of the others has."""
+def rare_shingles(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(doc_id, s)``: the shingles of documents ``ids`` that ``RARE`` of them have at most, staged."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles((t.as_py() or "").encode().lower().split(), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s)], ["doc_id", "s"])
+            own = [np.frombuffer(v.as_py(), np.int64) for v in batch.column(1)]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])),
+                                                  pa.array(np.concatenate(own))], ["doc_id", "s"])
 
-    held = (docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).join(ids, "doc_id")
-            .mapInArrow(rows, "doc_id long, s long"))
-    single = held.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
-    return staged(single.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own")), "own")
+    held = sets.join(ids.select(F.col("doc_id").alias("id")), "id").mapInArrow(rows, "doc_id long, s long")
+    few = held.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE).select("s")
+    return staged(held.join(few, "s"), "rare")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -203,7 +211,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     members = staged(members.join(least, "band"), "buckets")
     stars = staged(members.where(f"doc_id <> b and {close}")
                    .groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared")), "stars")
-    check = lambda pairs: confirmed(pairs, docs, key, text, words, share)
+    sets = shingle_sets(docs, members.select(F.col("doc_id").alias("id")).distinct(), key, text, words)
+    check = lambda pairs: confirmed(pairs, sets, share)
     done = staged(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "pairs")
     links = check(done)
     root = connected_components(links, "a", "b")
@@ -236,24 +245,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     joined(apart(stars))
     open_ = still_open(members.select("doc_id", "n", "band"))
-    own = own_shingles(open_.select("doc_id").distinct(), docs, key, text, words)
-    # documents that have too much of their own for any other one are out
-    rest = staged(open_.select("doc_id", "n", "band").join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-                  .where(f"100 * (n - own) >= {share} * n"), "rest")
-    most = "least(n - own, nb - ownb)"  # shingles that both can hold
-    share_of = GROWTH
-    while True:
-        open_ = still_open(rest)
-        largest = open_.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        chance = F.pmod(F.xxhash64("doc_id", "band"), F.lit(1 << 20)) * F.col("size") < share_of * (1 << 20)
-        some = open_.where(chance).select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ownb"), F.col("root").alias("rb"))
-        joined(apart(open_.join(some, "band").where(f"root <> rb and 100 * {most} >= {share} * (n + nb - {most})")
-                     .select(F.col("doc_id").alias("a"), "b")))
-        if share_of >= largest:
-            break
-        share_of *= GROWTH
+    if not open_.isEmpty():
+        ids = staged(open_.select("doc_id", "n").distinct(), "ids")
+        rare = rare_shingles(ids.select("doc_id"), sets)
+        # documents with their number of rare shingles, for either side of a pair
+        known = staged(ids.join(rare.groupBy("doc_id").agg(F.count(F.lit(1)).alias("r")), "doc_id", "left").withColumn("r", F.coalesce("r", F.lit(0))), "known")
+        a_side, b_side = (known.select(*[F.col(c).alias(d) for c, d in zip(("doc_id", "n", "r"), names)]) for names in (("a", "n", "r"), ("b", "nb", "rb")))
+        # pairs that share a rare shingle: RARE partners for each at most
+        first_of, second_of = rare.select(F.col("doc_id").alias("a"), "s"), rare.select(F.col("doc_id").alias("b"), "s")
+        both = "least(n - r, nb - rb) + shared"  # shingles that both can hold
+        joined(apart(first_of.join(second_of, "s").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+                     .join(a_side, "a").join(b_side, "b").where(f"{close} and 100 * ({both}) >= {share} * (n + nb - ({both}))")))
+        # the others share none: what is left after their rare shingles must do
+        rest = staged(open_.select("doc_id", "band").join(known, "doc_id").where(f"100 * (n - r) >= {share} * n"), "rest")
+        most = "least(n - r, nb - rb)"
+        share_of = GROWTH
+        while True:
+            open_ = still_open(rest)
+            largest = open_.agg(F.max("size")).first()[0]
+            if largest is None:
+                break
+            chance = F.pmod(F.xxhash64("doc_id", "band"), F.lit(1 << 20)) * F.col("size") < share_of * (1 << 20)
+            some = open_.where(chance).select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("root").alias("rootb"))
+            joined(apart(open_.join(some, "band").where(f"root <> rootb and 100 * {most} >= {share} * (n + nb - {most})")
+                         .select(F.col("doc_id").alias("a"), "b")))
+            if share_of >= largest:
+                break
+            share_of *= GROWTH
     out = (signed.select("doc_id", "n", "sequence").join(nodes, "sequence", "left")
            .join(root, "node", "left"))
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "node")).otherwise(F.col("doc_id"))
