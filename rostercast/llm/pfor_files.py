@@ -53,6 +53,21 @@ def bit_length(x: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def bits_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each value along a new last axis, high ones first."""
+    size = 2 if width <= 16 else 4
+    raw = x.astype(f">u{size}").view(np.uint8).reshape(*x.shape, size)
+    return np.unpackbits(raw, axis=-1)[..., 8 * size - width :]
+
+
+def values_of(bits: np.ndarray) -> np.ndarray:
+    """The values of bits as :func:`bits_of` gives them."""
+    size = 2 if bits.shape[-1] <= 16 else 4
+    full = np.zeros((*bits.shape[:-1], 8 * size), np.uint8)
+    full[..., 8 * size - bits.shape[-1] :] = bits
+    return np.packbits(full, axis=-1).view(f">u{size}")[..., 0]
+
+
 def pack_image(doc_ids: list, lengths: list, ids: np.ndarray) -> bytes:
     """The image of documents ``doc_ids`` whose ids, one after another, are ``ids`` (unsigned 32 bit)."""
     n, blocks = len(ids), -(-len(ids) // BLOCK)
@@ -71,8 +86,7 @@ def pack_image(doc_ids: list, lengths: list, ids: np.ndarray) -> bytes:
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
         if w:
-            bits = (diff[own, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+            packed = np.packbits(bits_of(diff[own], int(w)).reshape(len(own), -1), axis=1)
             for i, row in zip(own.tolist(), packed, strict=True):
                 at = int(index["start"][i])
                 data[at : at + len(row)] = row.tobytes()
@@ -102,8 +116,7 @@ def read_image(image: bytes, first: int = 0, last: int | None = None) -> tuple[n
         own = np.flatnonzero(index["width"] == w)
         if w:
             at = index["start"][own].astype(np.int64)[:, None] + np.arange(int(w) * block // 8)
-            bits = np.unpackbits(data[at], axis=1, bitorder="little").reshape(len(own), block, w)
-            out[own] = bits @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
+            out[own] = values_of(np.unpackbits(data[at], axis=1).reshape(len(own), block, w))
     for i in np.flatnonzero(index["odd"]).tolist():
         at = int(index["start"][i]) + int(index["width"][i]) * block // 8
         patch = data[at : at + int(index["odd"][i]) * ODD.itemsize].view(ODD)

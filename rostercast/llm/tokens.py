@@ -17,7 +17,10 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-MAX_WORDS = 300_000  # words in each of the two generations that a Python worker keeps
+MAX_WORDS = 600_000  # words in each of the two generations that a Python worker keeps
+
+# white space before a space: the run is one word to the library, and not cut at its spaces
+BEFORE_SPACE = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 
 _stores: dict[str, "WordIds"] = {}
 
@@ -50,9 +53,9 @@ class WordIds(dict):
             self[word] = got
             return got
         core = word.rstrip(",.")
-        if core and core.isalpha() and max(core) < "ɐ":
+        if core.isalpha() and ((plain := core.isascii()) or max(core) < "ɐ"):
             if core == word:
-                got = self._merged(" " + word)
+                got = self._ids("Ġ" + word) if plain else self._merged(" " + word)
             else:
                 got = self[core] + self._tail(word[len(core):])
         elif len(lines := word.split("\n")) == 2 and word.split() == lines:
@@ -63,8 +66,11 @@ class WordIds(dict):
         return got
 
     def _merged(self, word: str) -> bytes:
-        known = word.encode().decode("latin-1").translate(self.letters)
-        return struct.pack(f"<{len(ids := [t.id for t in self.merge(known)])}I", *ids)
+        return self._ids(word.encode().decode("latin-1").translate(self.letters))
+
+    def _ids(self, letters: str) -> bytes:
+        ids = [t.id for t in self.merge(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _tail(self, signs: str) -> bytes:
         key = " " + signs  # words never hold spaces, so these keys are free
@@ -86,7 +92,7 @@ class WordIds(dict):
         """Ids of ``text`` as little-endian unsigned 32-bit bytes."""
         if not text:
             return b""
-        if "  " in text or any(s in text for s in self.special):
+        if any(s in text for s in BEFORE_SPACE) or any(s in text for s in self.special):
             return self.encode_whole(text)
         first, *rest = text.split(" ")
         return (self.encode_whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
