@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rostercast.functions.scalars import attach_scalars
+
 # Nationwide German public holidays (no state given), as the
 # reference's holiday calendar defines them.
 #   fixed dates (month, day): New Year 1-1, Labour Day 5-1, German Unity Day 10-3,
@@ -187,13 +189,17 @@ def holidays_for_years(years: DataFrame, year_col: str = "y") -> DataFrame:
 
 
 def training_cutoff(df: DataFrame, keys: list[str] | None = None, day: int = 14,
-                    date_col: str = "date") -> DataFrame:
-    """Per series, the ``day``-th of the month of the last date.
+                    date_col: str = "date", per_series: bool = False) -> DataFrame:
+    """The ``day``-th of the month of the last date.
 
-    Returns ``(keys…, max_date, cutoff)``; one row per series.
+    The last date is that of the whole table, so that all series are rostered for
+    the same month; ``per_series=True`` takes each series' own.  Returns
+    ``(keys…, max_date, cutoff)``; one row per series.
     """
     keys = keys or []
     agg = df.groupBy(*keys).agg(F.max(date_col).alias("max_date"))
+    if keys and not per_series:
+        agg = attach_scalars(agg.drop("max_date"), agg.agg(F.max("max_date").alias("max_date")))
     return agg.withColumn("cutoff", F.date_add(F.trunc("max_date", "month"), day - 1))
 
 

@@ -41,8 +41,3 @@ def apply_policy(pred: Column | str, floor: Column | float, buffer: Column | flo
     floor_c = floor if isinstance(floor, Column) else F.lit(float(floor))
     buf = buffer if isinstance(buffer, Column) else F.lit(float(buffer))
     return F.ceil(F.when(p < floor_c, floor_c).otherwise(p * buf)).cast("double")
-
-
-def residual(y: Column | str, pred: Column | str) -> Column:
-    """A5: signed ``y - ŷ``."""
-    return (_c(y) - _c(pred)).cast("double")

@@ -1,12 +1,15 @@
 """Attaching per-series scalars (cut-off, floor, scaler statistics, bin edges).
 
-J4 of the inventory: a one-row aggregate used against every row.  Without
-series keys the scalar side is exactly one row (an aggregate without
-grouping), so it is broadcast — a proven size bound — and joined on a
-constant key: the large side is never shuffled.  With keys it is an equi-join
-on the keys; the scalar side has one row per series and AQE broadcasts it when
-its measured size is below ``spark.sql.autoBroadcastJoinThreshold``, otherwise
-it is a sort-merge join on the keys.
+J4 of the inventory: a small aggregate used against every row.  No row of the
+large side is ever lost: a series without a scalar row, and a NULL key without
+one, comes out with NULL scalars; NULL keys match NULL keys.
+
+Without series keys the scalar side must be one row.  It is reduced by an
+aggregate without grouping, which proves that bound (a second row raises), so it
+is broadcast: the large side is never shuffled.  With keys it is an equi-join;
+the scalar side has one row per series and AQE broadcasts it when its measured
+size is below ``spark.sql.autoBroadcastJoinThreshold``, otherwise it is a
+sort-merge join on the keys.
 """
 
 from __future__ import annotations
@@ -15,9 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join in which NULL keys match each other; the keys come from ``left``."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    cond = [left[k].eqNullSafe(right[f"_right_{k}"]) for k in keys]
+    return left.join(right, cond, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def attach_scalars(df: DataFrame, scalars: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    keys = keys or []
+    """Every row of ``df`` with the columns of ``scalars`` of its series (NULL where there are none)."""
     if keys:
-        return df.join(scalars, keys, "inner")
-    one_row = F.broadcast(scalars.withColumn("_one", F.lit(1)))
-    return df.withColumn("_one", F.lit(1)).join(one_row, "_one", "inner").drop("_one")
+        return join_on_keys(df, scalars, keys)
+    rows = F.count(F.lit(1))
+    one_row = (scalars.groupBy().agg(*[F.first(c).alias(c) for c in scalars.columns], rows.alias("_rows"))
+               .withColumn("_one", F.when(F.col("_rows") > 1, F.raise_error(F.lit("more than one scalar row without keys")))
+                           .otherwise(F.lit(1)).cast("int")).drop("_rows"))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row), "_one", "left").drop("_one")

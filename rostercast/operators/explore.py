@@ -120,10 +120,11 @@ def decompose(df: DataFrame, measures: list[str], period: int = 30, keys: list[s
     staged = staged.withColumns({"_pm": F.avg(x - F.col("trend")).over(wp),
                                  "_pc": F.count(F.lit(1)).over(wp)})
     wall = Window.partitionBy(*part)
-    # mean of the phase means, each phase counted once
-    staged = staged.withColumn("_centre", F.sum(F.col("_pm") / F.col("_pc")).over(wall)
-                               / F.least(F.col("_n"), F.lit(period)))
-    staged = staged.withColumn("seasonal", F.col("_pm") - F.col("_centre"))
+    # mean of the phase means, each phase that has one counted once; fewer than two
+    # whole periods do not tell trend from season: seasonal and resid are NULL
+    weight = F.when(F.col("_pm").isNotNull(), 1 / F.col("_pc"))
+    staged = staged.withColumn("_centre", F.sum(F.col("_pm") * weight).over(wall) / F.sum(weight).over(wall))
+    staged = staged.withColumn("seasonal", F.when(F.col("_n") >= 2 * period, F.col("_pm") - F.col("_centre")))
     return staged.select(*keys, "measure", date_col, "observed", "trend", "seasonal",
                          (x - F.col("trend") - F.col("seasonal")).alias("resid"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostercast.functions.scalars import attach_scalars
+from rostercast.functions.scalars import attach_scalars, join_on_keys
 from rostercast.session import cut_lineage
 
 EPOCH = "1970-01-01"
@@ -98,13 +98,12 @@ def fourier_terms(ds: Column | str, period: float, order: int) -> list[Column]:
 
 def fourier_long(df: DataFrame, seasonalities: tuple[Seasonality, ...], date_col: str = "date") -> DataFrame:
     """F5 as a long table ``(…, component, k, sin, cos)``."""
-    t = days_since_epoch(date_col)
     entries = []
     for s in seasonalities:
+        terms = fourier_terms(date_col, s.period, s.order)
         for k in range(1, s.order + 1):
-            arg = F.lit(2.0 * math.pi * k) * t / F.lit(float(s.period))
             entries.append(F.struct(F.lit(s.name).alias("component"), F.lit(k).alias("k"),
-                                    F.sin(arg).alias("sin"), F.cos(arg).alias("cos")))
+                                    terms[2 * k - 2].alias("sin"), terms[2 * k - 1].alias("cos")))
     return df.select("*", F.inline(F.array(*entries)))
 
 
@@ -157,7 +156,7 @@ def trend_basis(df: DataFrame, history: DataFrame, keys: list[str] | None = None
     keys = keys or []
     bounds = history.groupBy(*keys).agg(F.min(ds).alias("_ds0"), F.max(ds).alias("_ds1"))
     cps = changepoints(history, keys, ds, n_changepoints, changepoint_range)
-    params = bounds.join(cps, keys, "left") if keys else attach_scalars(bounds, cps)
+    params = attach_scalars(bounds, cps, keys)
     staged = attach_scalars(df, params, keys)
     t, hinges = _time_and_hinges(ds, n_changepoints)
     cols = {"t": t, **{f"cp_{j + 1}": h for j, h in enumerate(hinges)}}
@@ -175,9 +174,7 @@ def _series_params(history: DataFrame, keys: list[str], spec: ForecastSpec, ds:
                  F.count_if(~x.isin(0.0, 1.0)).alias(f"_nb_{r}")]
     base = history.groupBy(*keys).agg(*aggs)
     cps = changepoints(history, keys, ds, spec.n_changepoints, spec.changepoint_range)
-    if not keys:
-        return attach_scalars(base, cps)
-    return base.join(cps, keys, "left")
+    return attach_scalars(base, cps, keys)
 
 
 def _design(df: DataFrame, params: DataFrame, keys: list[str], spec: ForecastSpec, ds: str) -> DataFrame:
@@ -266,7 +263,7 @@ def fit_forecast(history: DataFrame, spec: ForecastSpec, keys: list[str] | None
                              T.StructField("resid_sd", T.DoubleType()), T.StructField("n_obs", T.LongType())])
     coefs = (design.select(*gkeys, "_x", "_ys")
              .groupBy(*gkeys).applyInPandas(_ridge_solver(gkeys, _prior_scales(spec), spec.noise_sd), schema))
-    full = attach_scalars(params, coefs.drop("_g")) if not keys else params.join(coefs, keys, "inner")
+    full = attach_scalars(params, coefs if keys else coefs.drop("_g"), keys)
     # a fitted model is an artefact: one row per series, materialised like any estimator fit
     return ForecastModel(spec, keys, cut_lineage(full), ds)
 
@@ -305,19 +302,24 @@ def regressor_frame(df: DataFrame, target: str, regressors: tuple[str, ...], key
 
 
 def combine_inputs(calls_fc: DataFrame, sick_fc: DataFrame, keys: list[str] | None = None,
-                   n_duty: int = 1900, integer_inputs: bool = True, with_week: bool = False) -> DataFrame:
+                   n_duty: int | DataFrame = 1900, integer_inputs: bool = True, with_week: bool = False) -> DataFrame:
     """The model-input table ``date, calls, n_sick, year, n_duty``.
 
     The two forecasts are aligned by an equi-join on ``(keys, ds)`` (the
     reference aligns by position).  ``integer_inputs`` truncates the forecasts
     as production does; the evaluation track keeps them as doubles and adds
-    the ISO week.
+    the ISO week.  ``n_duty`` is one number for all series, or a table with a row
+    per series.
     """
     keys = keys or []
     a = calls_fc.select(*keys, "ds", F.col("yhat").alias("calls"))
     b = sick_fc.select(*keys, "ds", F.col("yhat").alias("n_sick"))
-    out = a.join(b, keys + ["ds"], "inner").withColumnRenamed("ds", "date")
-    cols = {"year": F.year("date").cast("int"), "n_duty": F.lit(n_duty).cast("int")}
+    out = join_on_keys(a, b, keys + ["ds"]).withColumnRenamed("ds", "date")
+    cols = {"year": F.year("date").cast("int")}
+    if isinstance(n_duty, DataFrame):
+        out = attach_scalars(out, n_duty, keys)
+    else:
+        cols["n_duty"] = F.lit(n_duty).cast("int")
     if integer_inputs:
         cols.update({"calls": F.col("calls").cast("int"), "n_sick": F.col("n_sick").cast("int")})
     if with_week:
@@ -333,8 +335,8 @@ def forecast_metrics(actual: DataFrame, forecast: DataFrame, keys: list[str] | N
                      y: str = "y", ds: str = "ds") -> DataFrame:
     """MSE, RMSE, MAE and mean ratio actual/forecast per series (joined on date)."""
     keys = keys or []
-    j = actual.select(*keys, ds, F.col(y).cast("double").alias("_y")).join(
-        forecast.select(*keys, ds, "yhat"), keys + [ds], "inner")
+    j = join_on_keys(actual.select(*keys, ds, F.col(y).cast("double").alias("_y")),
+                     forecast.select(*keys, ds, "yhat"), keys + [ds], "inner")
     e = F.col("_y") - F.col("yhat")
     g = j.groupBy(*keys) if keys else j.groupBy()
     return (g.agg(F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),

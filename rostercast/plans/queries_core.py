@@ -82,8 +82,8 @@ def q_holidays(spark: SparkSession, sf_dir: str):
 # --- P10, C13, C14, G7: cut-off per series and the next month ---------------------------------------
 
 @register("p10_cutoff_next_month", with_sql(S.daily_cte(SEGMENT)) + """,
-cut AS (SELECT series, max(date) AS max_date, CAST(date_trunc('month', max(date)) AS DATE) + 13 AS cutoff
-        FROM daily GROUP BY series)
+cut AS (SELECT DISTINCT series, max(date) OVER () AS max_date,
+        CAST(date_trunc('month', max(date) OVER ()) AS DATE) + 13 AS cutoff FROM daily)
 SELECT c.series, c.max_date, c.cutoff,
   CAST(date_trunc('month', c.cutoff + INTERVAL 1 MONTH) AS DATE) AS month_start,
   CAST(last_day(c.cutoff + INTERVAL 1 MONTH) AS DATE) AS month_end,

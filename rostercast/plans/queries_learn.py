@@ -15,7 +15,7 @@ from rostercast.operators import learn as L
 from rostercast.plans import monthly as M
 from rostercast.plans import sql_parts as S
 from rostercast.plans.catalog import HOLDOUT, SEGMENT, TRAIN_END, modeling, register, round4, with_sql
-from rostercast.session import cut_lineage, ensure_checkpoint_dir
+from rostercast.session import cut_lineage, ensure_checkpoint_dir, right_sized
 
 
 def _train(m):
@@ -59,8 +59,8 @@ def q_changepoints(spark: SparkSession, sf_dir: str):
 
 # --- C15/C16: future calendar frame per segment ---------------------------------------------------------
 
-@register("c16_future_frame", with_sql(S.daily_cte(SEGMENT), """cut AS (SELECT series,
-  CAST(date_trunc('month', max(date)) AS DATE) + 13 AS cutoff FROM daily GROUP BY series)""",
+@register("c16_future_frame", with_sql(S.daily_cte(SEGMENT), """cut AS (SELECT DISTINCT series,
+  CAST(date_trunc('month', max(date) OVER ()) AS DATE) + 13 AS cutoff FROM daily)""",
                                        """sp AS (SELECT series, CAST(unnest(generate_series(
   CAST(date_trunc('month', cutoff + INTERVAL 1 MONTH) AS DATE),
   CAST(last_day(cutoff + INTERVAL 1 MONTH) AS DATE), INTERVAL 1 DAY)) AS DATE) AS date FROM cut)""",
@@ -70,7 +70,8 @@ SELECT t.series, t.date, {S.calendar_cols('t.date')}, {S.holiday_expr('t.date',
 FROM sp t JOIN easter e ON e.y = year(t.date)""")
 def q_future_frame(spark: SparkSession, sf_dir: str):
     from rostercast.sources.driver_tables import daily_ops
-    fut = M.future_frame(daily_ops(spark, sf_dir, SEGMENT, columns=[]).select("series", "date"), ["series"])
+    days = cut_lineage(daily_ops(spark, sf_dir, SEGMENT, columns=[]).select("series", "date"))  # series and last date read it
+    fut = M.future_frame(days, ["series"])
     return fut.select("series", "date", "day_of_week", "week", "month", "season", "year", "holiday", "day",
                       "week_of_month")
 
@@ -109,7 +110,7 @@ def q_forecast_metrics(spark: SparkSession, sf_dir: str):
 
 @register("f8_model_inputs")
 def q_model_inputs(spark: SparkSession, sf_dir: str):
-    m = cut_lineage(modeling(spark, sf_dir, segment=True, extended=True, columns=["calls", "n_sick"]))
+    m = cut_lineage(modeling(spark, sf_dir, segment=True, extended=True, columns=["calls", "n_sick", "n_duty"]))
     cfg = M.RosterConfig()
     train = M.training_rows(m, ["series"])
     return M.forecast_inputs(train, M.future_frame(m, ["series"]), ["series"], cfg, integer_inputs=True)
@@ -119,7 +120,7 @@ def q_model_inputs(spark: SparkSession, sf_dir: str):
 
 def _split(spark, sf_dir):
     # fitted and scored several times: materialise the split table once
-    m = cut_lineage(V.hash_split(_train(modeling(spark, sf_dir, extended=True)), ["date"]))
+    m = right_sized(V.hash_split(_train(modeling(spark, sf_dir, extended=True)), ["date"]))
     return m.where(~F.col("is_test")), m.where(F.col("is_test"))
 
 
@@ -155,7 +156,7 @@ def q_importance(spark: SparkSession, sf_dir: str):
 
 # --- L9, V8, L11: grid search, learning curve, model search --------------------------------------------
 
-@register("l9_grid_search")
+@register("l9_grid_search_reduced")
 def q_grid_search(spark: SparkSession, sf_dir: str):
     train, _ = _split(spark, sf_dir)
     cand = L.CANDIDATES["Gradient Boosting Regressor"]
@@ -167,13 +168,13 @@ def q_grid_search(spark: SparkSession, sf_dir: str):
                                  "point int, params map<string,string>, cv_mse double, is_best boolean")
 
 
-@register("v8_learning_curve")
+@register("v8_learning_curve_reduced")
 def q_learning_curve(spark: SparkSession, sf_dir: str):
     train, _ = _split(spark, sf_dir)
     return L.learning_curve(spark, train, L.HOLDOUT_FEATURES, lambda: L._gbt(maxIter=10, maxDepth=4, stepSize=0.1))
 
 
-@register("l11_model_search")
+@register("l11_model_search_reduced")
 def q_model_search(spark: SparkSession, sf_dir: str):
     """All five candidate profiles × two feature counts, default vs tuned for gradient
     boosting (reduced plan: 20 boosting rounds, 20 trees, a two-point grid)."""
@@ -209,10 +210,26 @@ def q_model_roundtrip(spark: SparkSession, sf_dir: str):
 
 @register("b_holdout_evaluation")
 def q_holdout_evaluation(spark: SparkSession, sf_dir: str):
+    """Five scenario rows: the partial model on its test rows, and both models on the holdout, with true and with estimated inputs."""
     m = modeling(spark, sf_dir, extended=True)
     return M.holdout_evaluation(spark, m, TRAIN_END, HOLDOUT)["metrics"]
 
 
+HOLDOUT_ROUNDS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1}  # the reports on a holdout frame, with fewer boosting rounds
+
+
+@register("b_holdout_frame_reduced")
+def q_holdout_frame(spark: SparkSession, sf_dir: str):
+    m = modeling(spark, sf_dir, extended=True)
+    return M.holdout_evaluation(spark, m, TRAIN_END, HOLDOUT, config=M.RosterConfig(model_params=HOLDOUT_ROUNDS), partial=False)["frame"]
+
+
+@register("b_holdout_summary_reduced")
+def q_holdout_summary(spark: SparkSession, sf_dir: str):
+    m = modeling(spark, sf_dir, extended=True)
+    return M.holdout_evaluation(spark, m, TRAIN_END, HOLDOUT, config=M.RosterConfig(model_params=HOLDOUT_ROUNDS), partial=False)["summary"]
+
+
 @register("c_monthly_roster")
 def q_monthly_roster(spark: SparkSession, sf_dir: str):
     m = modeling(spark, sf_dir, segment=True, extended=True)
@@ -245,7 +262,7 @@ def q_forecast_vs_actual(spark: SparkSession, sf_dir: str):
 
 # --- entry point A: model search (reduced default plan; the full grid is opt-in) ------------------------
 
-@register("a_model_search")
+@register("a_model_search_reduced")
 def q_a_model_search(spark: SparkSession, sf_dir: str):
     from rostercast.plans.search import model_search
     cfg = L.SearchConfig(models=["Random Forest Regressor", "Gradient Boosting Regressor"], feature_counts=[2, 4],
@@ -253,5 +270,5 @@ def q_a_model_search(spark: SparkSession, sf_dir: str):
                                                "Gradient Boosting Regressor": {"maxIter": 20, "maxDepth": 3,
                                                                                "stepSize": 0.1}},
                          importance_trees=20)
-    out = model_search(spark, modeling(spark, sf_dir, extended=True), cfg, train_end=TRAIN_END)
+    out = model_search(spark, modeling(spark, sf_dir, extended=True), cfg, train_end=TRAIN_END, learning_curves=False)
     return out["results"]

@@ -7,7 +7,7 @@ import importlib
 from rostercast.plans.catalog import ORACLE, QUERIES
 
 QUERY_MODULES = ["rostercast.plans.queries_core", "rostercast.plans.queries_explore",
-                 "rostercast.plans.queries_learn"]
+                 "rostercast.plans.queries_learn", "rostercast.plans.queries_given"]
 
 
 def load_all():

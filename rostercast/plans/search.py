@@ -18,7 +18,7 @@ from rostercast.functions.calendar import between_dates
 from rostercast.operators import evaluate as V
 from rostercast.operators import learn as L
 from rostercast.plans.monthly import training_rows
-from rostercast.session import cut_lineage
+from rostercast.session import right_sized
 
 
 def model_search(spark: SparkSession, prepared: DataFrame, config: L.SearchConfig | None = None,
@@ -29,7 +29,7 @@ def model_search(spark: SparkSession, prepared: DataFrame, config: L.SearchConfi
     and ``learning_curves`` (V8, long with the model key)."""
     config = config or L.SearchConfig()
     data = between_dates(prepared, end=train_end) if train_end else training_rows(prepared)
-    data = cut_lineage(V.hash_split(data, ["date"]))
+    data = right_sized(V.hash_split(data, ["date"]))
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
 
     base = L.fit(train, features, L.linear_baseline())

@@ -73,3 +73,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def right_sized(df: DataFrame, rows_each: int = 20_000) -> DataFrame:
+    """``df`` materialised in partitions of about ``rows_each`` rows.
+
+    A layout for iterative fits: every tree level runs a task for each partition, so
+    a few thousand daily rows must not keep the partition count of the shuffle that
+    made them.  Large frames keep their partitions.
+    """
+    kept = cut_lineage(df)
+    n = max(1, -(-kept.count() // rows_each))
+    return kept.coalesce(n) if n < kept.rdd.getNumPartitions() else kept

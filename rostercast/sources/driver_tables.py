@@ -27,8 +27,9 @@ Plan shape (the only step that touches the big tables):
 4. aggregate the pairs to ``(series, date)``: the distinct-customer count is a
    plain ``count`` of pairs, so no Expand and no second distinct pass.
 
-Steps 2-4 are only needed for ``n_duty``.  Callers that ask for a subset of the
-measures without it get one aggregation straight to ``(series, date)``.
+A single series without ``n_duty`` needs no pairs: its rows are aggregated straight
+to days.  Per series the pairs come first always, so that no raw order row is
+shuffled on a customer key that may be hot.
 """
 
 from __future__ import annotations
@@ -58,10 +59,10 @@ def daily_ops_from(orders: DataFrame, customer: DataFrame | None = None,
                    approx_duty_rsd: float | None = None) -> DataFrame:
     """Daily operations table ``(series?, date, n_sick, calls, n_duty, n_sby, sby_need, dafted)``.
 
-    ``columns`` restricts the measures.  Only the distinct-customer count
-    (``n_duty``) needs the ``(customer, day)`` pair stage; without it the order
-    rows are aggregated straight to days (and series): map-side combine leaves
-    at most one row per series, day and task, so the only exchange is small.
+    ``columns`` restricts the measures.  The distinct-customer count (``n_duty``) and
+    the join to series need the ``(customer, day)`` pair stage; a single series
+    without ``n_duty`` is aggregated straight to days: map-side combine leaves at
+    most one row per day and task, so the only exchange is small.
     ``approx_duty_rsd`` (opt-in, e.g. 0.01) computes ``n_duty`` with HyperLogLog++
     in that same single aggregation instead of the exact pair stage.
     """
@@ -77,13 +78,11 @@ def daily_ops_from(orders: DataFrame, customer: DataFrame | None = None,
     if series_col is not None and customer is None:
         raise ValueError("a series column needs the customer table")
     keys: list[str] = []
-    if "n_duty" not in wanted or approx_duty_rsd is not None:
+    if series_col is None and "n_duty" not in wanted or approx_duty_rsd is not None:
         if "n_duty" in wanted:
             counts["n_duty"] = F.approx_count_distinct("o_custkey", approx_duty_rsd)
         if series_col is not None:
-            # no exact distinct count: join the order rows to their series directly (a broadcast
-            # when the customer side measures small; otherwise a sort-merge join whose hot
-            # customer partitions AQE splits) and aggregate straight to (series, day)
+            # a sketch of the customers needs the order rows themselves at their series
             cust = customer.select(F.col("c_custkey").alias("o_custkey"), F.col(series_col).alias("series"))
             base = base.join(cust, "o_custkey", "inner")
             keys = ["series"]
@@ -94,8 +93,8 @@ def daily_ops_from(orders: DataFrame, customer: DataFrame | None = None,
             cust = customer.select(F.col("c_custkey").alias("o_custkey"), F.col(series_col).alias("series"))
             pairs = pairs.join(cust, "o_custkey", "inner")
             keys = ["series"]
-        daily = (pairs.groupBy(*keys, "date")
-                 .agg(*[F.sum(c).alias(c) for c in counts], F.count("o_custkey").alias("n_duty")))
+        duty = [F.count("o_custkey").alias("n_duty")] if "n_duty" in wanted else []
+        daily = pairs.groupBy(*keys, "date").agg(*[F.sum(c).alias(c) for c in counts], *duty)
     daily = daily.withColumn("dafted", F.greatest(F.col("sby_need") - F.col("n_sby"), F.lit(0)))
     keys_out = ["series"] if series_col is not None else []
     return daily.select(*keys_out, "date", *wanted)

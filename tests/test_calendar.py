@@ -71,10 +71,12 @@ def test_holiday_flag_matches_dimension(spark):
 def test_cutoff_and_next_month(spark):
     df = spark.createDataFrame([("a", d("2019-05-27")), ("a", d("2019-05-01")), ("b", d("2019-06-10"))],
                                "k string, date date")
-    cut = cal.training_cutoff(df, ["k"])
+    cut = cal.training_cutoff(df, ["k"], per_series=True)
     start, end = cal.next_month_window("cutoff")
     rows = {r["k"]: r for r in cut.withColumns({"s": start, "e": end}).collect()}
     assert rows["a"]["cutoff"] == d("2019-05-14") and rows["a"]["s"] == d("2019-06-01")
     assert rows["a"]["e"] == d("2019-06-30")
     # last day before the 14th: the cut-off lies after the data and keeps all rows
     assert rows["b"]["cutoff"] == d("2019-06-14") and rows["b"]["e"] == d("2019-07-31")
+    # by default all series are rostered for the same month
+    assert {r["cutoff"] for r in cal.training_cutoff(df, ["k"]).collect()} == {d("2019-06-14")}

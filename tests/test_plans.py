@@ -25,7 +25,7 @@ def test_monthly_roster_per_segment(spark):
     preds = out["predictions"].collect()
     fut = future_frame(hist, ["series"]).groupBy("series").count().collect()
     assert len(preds) == sum(r["count"] for r in fut) and len(fut) == 5
-    assert all(r["predicted_sby_need_adjusted"] >= 1 and r["n_duty"] == 1900 for r in preds)
+    assert all(r["predicted_sby_need_adjusted"] >= 1 and 0 < r["n_duty"] < 100 for r in preds)
     assert all(r["predicted_sby_need_adjusted"] == int(r["predicted_sby_need_adjusted"]) for r in preds)
     daily_total = out["daily"].groupBy("series").agg(F.sum("drivers").alias("t")).collect()
     weekly_total = out["weekly"].groupBy("series").agg(F.sum("drivers").alias("t")).collect()
@@ -41,7 +41,7 @@ def test_monthly_roster_production_floor(spark):
 
 def test_training_rows_dynamic_cutoff(spark):
     hist = _history(spark)
-    cut = training_rows(hist, ["series"]).groupBy("series").agg(F.max("date").alias("m")).collect()
+    cut = training_rows(hist, ["series"], per_series=True).groupBy("series").agg(F.max("date").alias("m")).collect()
     last = hist.groupBy("series").agg(F.max("date").alias("m")).collect()
     lim = {r["series"]: dt.date(r["m"].year, r["m"].month, 14) for r in last}
     assert all(r["m"] <= lim[r["series"]] for r in cut)
@@ -52,7 +52,7 @@ def test_holdout_evaluation(spark):
     out = holdout_evaluation(spark, hist, "2001-05-14", ("2001-06-01", "2001-06-27"),
                              config=RosterConfig(model_params=SMALL))
     scen = {r["scenario"] for r in out["metrics"].collect()}
-    assert scen == {"true_inputs", "estimated_inputs"}
+    assert scen == {"partial_test", "partial_true_inputs", "partial_estimated_inputs", "true_inputs", "estimated_inputs"}
     summary = {r["scenario"]: r for r in out["summary"].collect()}
     assert set(summary) == {"actual", "true_inputs", "adjusted"}
     frame = out["frame"].collect()
