@@ -22,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_minhash_dedup": minhash_dedup.SQL,
     "op9_range_dedup": range_dedup.SQL,
 }
