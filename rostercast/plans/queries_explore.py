@@ -226,7 +226,7 @@ def q_hash_split_exact(spark: SparkSession, sf_dir: str):
           + " FROM sp JOIN st ON st.series = sp.series")
 def q_standardise(spark: SparkSession, sf_dir: str):
     m = V.hash_split(modeling(spark, sf_dir, segment=True), ["series", "date"])
-    out = V.standardise_within(m, FEATURES, ~F.col("is_test"), ["series"], suffix="_scaled")
+    out = V.standardise(m, FEATURES, ~F.col("is_test"), ["series"], suffix="_scaled")
     return round4(out.select("series", "date", "is_test", *[f"{c}_scaled" for c in FEATURES]))
 
 

@@ -136,6 +136,16 @@ def q_given_forecast(spark: SparkSession, sf_dir: str):
                   .select("series", "ds", F.col("y_pred").alias("yhat"), F.col("y").alias("actual"), "residual"))
 
 
+# --- D5: the last days as test set -----------------------------------------------------------------------
+
+@register("v3_chrono_split", with_sql(S.daily_cte(SEGMENT)) + """
+SELECT series, date, row_number() OVER (PARTITION BY series ORDER BY date DESC)
+  <= ceil(count(*) OVER (PARTITION BY series) * CAST(0.2 AS DOUBLE)) AS is_test FROM daily""")
+def q_chrono_split(spark: SparkSession, sf_dir: str):
+    days = daily_ops(spark, sf_dir, SEGMENT, columns=[]).select("series", "date")
+    return V.chrono_split(days, keys=["series"])
+
+
 # --- S2, S4: written with the key first, read again ----------------------------------------------------------
 
 @register("s2_table_roundtrip", with_sql(S.modeling_ctes(SEGMENT)) + """
