@@ -122,6 +122,13 @@ def chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time: the words of a whole batch as Python objects would take much memory."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def band_hashes(signatures: np.ndarray) -> np.ndarray:
     d, m = signatures.shape
     parts = signatures.reshape(d, m // ROWS, ROWS)
@@ -138,7 +145,7 @@ def signature_table(docs: DataFrame, key: str, text: str, words: int, share: int
         from xxhash import xxh3_128_digest
 
         m = band_count(share) * ROWS
-        for batch in batches:
+        for batch in pieces_of(batches):
             tokens = [(t.as_py() or "").encode().lower().split() for t in batch.column(1)]
             sets = [shingles(w, words) for w in tokens]
             bands = band_hashes(superminhash(sets, m))
@@ -155,7 +162,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, words: in
     """``(id, s)``: the shingle sets of the documents ``ids`` as 64-bit hashes, staged; the one time that texts are shuffled."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             own = [shingles((t.as_py() or "").encode().lower().split(), words).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["id", "s"])
 
@@ -168,7 +175,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets meet the threshold, as a staged table."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
@@ -185,7 +192,7 @@ def rare_shingles(ids: DataFrame, sets: DataFrame) -> DataFrame:
     """``(doc_id, s)``: the shingles of documents ``ids`` that ``RARE`` of them have at most, staged."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             own = [np.frombuffer(v.as_py(), np.int64) for v in batch.column(1)]
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])),
