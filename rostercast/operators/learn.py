@@ -188,7 +188,7 @@ class SearchConfig:
     tune: bool = True
     grids: dict | None = None          # per model grids (reduced plans); None = the reference's full grids
     defaults: dict | None = None       # per model override of the default parameters
-    select_on: str = "test"            # "test" (reference parity) or "cv"
+    select_on: str = "cv"              # "cv", or "test" as the reference selects
     importance_trees: int = 100
     parallelism: int = 4               # candidate fits submitted concurrently from the driver
 
@@ -213,7 +213,13 @@ def search(spark: SparkSession, train: DataFrame, test: DataFrame, config: Searc
         # an explicit grids mapping restricts tuning to the models it names
         grid = config.grids.get(name, {}) if config.grids is not None else cand.grid
         sel = order[:n]
-        variants = [("default", fit(train, sel, cand.make(**defaults), label), defaults, None)]
+        if config.select_on == "cv":
+            # the untuned candidate is scored on the same folds: a grid of its own parameters
+            first = next(iter(defaults))
+            model, _, cv = grid_search(train, sel, Candidate(name, cand.make, defaults), label, grid={first: [defaults[first]]})
+            variants = [("default", model, defaults, cv[0])]
+        else:
+            variants = [("default", fit(train, sel, cand.make(**defaults), label), defaults, None)]
         if config.tune and grid:
             best_model, best_params, cv = grid_search(train, sel, Candidate(name, cand.make, defaults, grid), label)
             variants.append(("tuned", best_model, {**defaults, **best_params}, float(min(cv))))

@@ -181,7 +181,7 @@ def q_model_search(spark: SparkSession, sf_dir: str):
     train, test = _split(spark, sf_dir)
     small = {"maxIter": 20}
     cfg = L.SearchConfig(
-        feature_counts=[2, 4], tune=True,
+        feature_counts=[2, 4], tune=True, select_on="test",
         grids={"Gradient Boosting Regressor": {"maxDepth": [2, 3]}},
         defaults={"Random Forest Regressor": {"numTrees": 20, "maxDepth": 5},
                   "Gradient Boosting Regressor": {**L.CANDIDATES["Gradient Boosting Regressor"].defaults, **small},
@@ -266,7 +266,7 @@ def q_forecast_vs_actual(spark: SparkSession, sf_dir: str):
 def q_a_model_search(spark: SparkSession, sf_dir: str):
     from rostercast.plans.search import model_search
     cfg = L.SearchConfig(models=["Random Forest Regressor", "Gradient Boosting Regressor"], feature_counts=[2, 4],
-                         tune=False, defaults={"Random Forest Regressor": {"numTrees": 20, "maxDepth": 5},
+                         tune=False, select_on="test", defaults={"Random Forest Regressor": {"numTrees": 20, "maxDepth": 5},
                                                "Gradient Boosting Regressor": {"maxIter": 20, "maxDepth": 3,
                                                                                "stepSize": 0.1}},
                          importance_trees=20)
