@@ -12,10 +12,10 @@ share a band's hash are candidates.  The number of bands keeps the chance that a
 pair at the threshold shares none under ``MISS``.
 
 Candidates are confirmed on the full shingle sets.  Inside a bucket only stars are
-compared, never all pairs: first every document with the least document of its
-fullest shared buckets, then with the least one of all its buckets, and then, in
-buckets that still hold several components, with a hashed share of the members
-that grows eightfold each round until it holds all of them.  Before these rounds,
+compared, never all pairs: first every document with that least document of its
+buckets with which it shares most of them, and then, in buckets that still hold
+several components, with a hashed share of the members that grows eightfold each
+round until it holds all of them.  Before these rounds,
 pairs that share a rare shingle (one that at most ``RARE`` of the documents in such
 buckets have) are compared; any other pair can have in common only what is left
 after both lose their rare shingles.  Pairs are left out if they are known to be
@@ -216,55 +216,53 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     least = (members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("b"), F.min_by("n", "doc_id").alias("nb"))
              .where("size > 1"))
     members = staged(members.join(least, "band"), "buckets")
-    stars = staged(members.where(f"doc_id <> b and {close}")
-                   .groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared")), "stars")
     sets = shingle_sets(docs, members.select(F.col("doc_id").alias("id")).distinct(), key, text, words)
-    check = lambda pairs: confirmed(pairs, sets, share)
-    done = staged(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "pairs")
-    links = check(done)
+    stars = members.where(f"doc_id <> b and {close}").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
+    done = staged(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = confirmed(done, sets, share)
     root = connected_components(links, "a", "b")
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """New pairs ``a < b`` whose documents are in different components."""
-        new = (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-               .join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        for c in ("a", "b"):
-            new = new.join(root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
-        return staged(new.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "pairs")
-
     def joined(pairs: DataFrame) -> None:
+        """Confirm pairs of different components that were not compared before, and join what is linked."""
         nonlocal done, links, root
-        if pairs.isEmpty():
+        new = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                     .join(done, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
             return
-        found = check(pairs)
-        done = done.select("a", "b").union(pairs)
+        found = confirmed(new, sets, share)
+        done = done.union(new)
         if not found.isEmpty():
             links = links.union(found)
             root = connected_components(links, "a", "b")
 
+    def with_root(rows: DataFrame) -> DataFrame:
+        return (rows.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+                .withColumn("root", F.coalesce("root", "doc_id")))
+
     def still_open(rows: DataFrame) -> DataFrame:
         """The members of buckets that hold several components, with their roots."""
-        own = (rows.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
-               .withColumn("root", F.coalesce("root", "doc_id")))
+        own = with_root(rows)
         several = (own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-                   .where("size > 2 and r0 <> r1").select("band", "size"))
+                   .where("r0 <> r1").select("band", "size"))
         return staged(own.join(several, "band"), "open")
 
-    joined(apart(stars))
     open_ = still_open(members.select("doc_id", "n", "band"))
     if not open_.isEmpty():
-        ids = staged(open_.select("doc_id", "n").distinct(), "ids")
+        ids = staged(open_.select("doc_id", "n", "root").distinct(), "ids")
         rare = rare_shingles(ids.select("doc_id"), sets)
         # documents with their number of rare shingles, for either side of a pair
         known = staged(ids.join(rare.groupBy("doc_id").agg(F.count(F.lit(1)).alias("r")), "doc_id", "left").withColumn("r", F.coalesce("r", F.lit(0))), "known")
-        a_side, b_side = (known.select(*[F.col(c).alias(d) for c, d in zip(("doc_id", "n", "r"), names)]) for names in (("a", "n", "r"), ("b", "nb", "rb")))
+        a_side = known.select(F.col("doc_id").alias("a"), "n", "r", "root")
+        b_side = known.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("root").alias("rootb"))
         # pairs that share a rare shingle: RARE partners for each at most
         first_of, second_of = rare.select(F.col("doc_id").alias("a"), "s"), rare.select(F.col("doc_id").alias("b"), "s")
         both = "least(n - r, nb - rb) + shared"  # shingles that both can hold
-        joined(apart(first_of.join(second_of, "s").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-                     .join(a_side, "a").join(b_side, "b").where(f"{close} and 100 * ({both}) >= {share} * (n + nb - ({both}))")))
+        joined(first_of.join(second_of, "s").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+               .join(a_side, "a").join(b_side, "b")
+               .where(f"root <> rootb and {close} and 100 * ({both}) >= {share} * (n + nb - ({both}))"))
         # the others share none: what is left after their rare shingles must do
-        rest = staged(open_.select("doc_id", "band").join(known, "doc_id").where(f"100 * (n - r) >= {share} * n"), "rest")
+        rest = staged(open_.select("doc_id", "band").join(known.drop("root"), "doc_id").where(f"100 * (n - r) >= {share} * n"), "rest")
         most = "least(n - r, nb - rb)"
         share_of = GROWTH
         while True:
@@ -274,8 +272,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                 break
             chance = F.pmod(F.xxhash64("doc_id", "band"), F.lit(1 << 20)) * F.col("size") < share_of * (1 << 20)
             some = open_.where(chance).select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("root").alias("rootb"))
-            joined(apart(open_.join(some, "band").where(f"root <> rootb and 100 * {most} >= {share} * (n + nb - {most})")
-                         .select(F.col("doc_id").alias("a"), "b")))
+            joined(open_.join(some, "band").where(f"root <> rootb and 100 * {most} >= {share} * (n + nb - {most})")
+                   .select(F.col("doc_id").alias("a"), "b"))
             if share_of >= largest:
                 break
             share_of *= GROWTH
