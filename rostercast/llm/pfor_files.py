@@ -60,12 +60,16 @@ def bits_of(x: np.ndarray, width: int) -> np.ndarray:
     return np.unpackbits(raw, axis=-1)[..., 8 * size - width :]
 
 
-def values_of(bits: np.ndarray) -> np.ndarray:
-    """The values of bits as :func:`bits_of` gives them."""
-    size = 2 if bits.shape[-1] <= 16 else 4
-    full = np.zeros((*bits.shape[:-1], 8 * size), np.uint8)
-    full[..., 8 * size - bits.shape[-1] :] = bits
-    return np.packbits(full, axis=-1).view(f">u{size}")[..., 0]
+def values_of(raw: np.ndarray, width: int, block: int) -> np.ndarray:
+    """The values of packed rows: each lies in the five bytes from the one that holds its first bit."""
+    bit = np.arange(block) * width
+    padded = np.pad(raw, ((0, 0), (0, 4)))
+    value = np.zeros((len(raw), block), np.uint64 if width > 24 else np.uint32)
+    size = 5 if width > 24 else 4
+    for i in range(size):
+        value = (value << value.dtype.type(8)) | padded[:, (bit >> 3) + i]
+    shift = (8 * size - width - (bit & 7)).astype(value.dtype)
+    return (value >> shift) & value.dtype.type((1 << width) - 1)
 
 
 def pack_image(doc_ids: list, lengths: list, ids: np.ndarray) -> bytes:
@@ -116,7 +120,7 @@ def read_image(image: bytes, first: int = 0, last: int | None = None) -> tuple[n
         own = np.flatnonzero(index["width"] == w)
         if w:
             at = index["start"][own].astype(np.int64)[:, None] + np.arange(int(w) * block // 8)
-            out[own] = values_of(np.unpackbits(data[at], axis=1).reshape(len(own), block, w))
+            out[own] = values_of(data[at], int(w), block)
     for i in np.flatnonzero(index["odd"]).tolist():
         at = int(index["start"][i]) + int(index["width"][i]) * block // 8
         patch = data[at : at + int(index["odd"][i]) * ODD.itemsize].view(ODD)
