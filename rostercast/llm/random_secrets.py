@@ -11,8 +11,10 @@ about the middle of the alphabet and a test of the serial correlation, and
 Fisher's method combines the three.  A run counts as a secret if randomness is not
 rejected at ``FLOOR`` and if its class (encoding and length) keeps the share of
 false discoveries under ``FDR``: every candidate brings a decoy, as many letters of
-the ordinary words around it, which undergoes the same tests, and the class's
-threshold is the least p at which decoys are at most that share of candidates.
+the ordinary words of its text, which undergoes the same tests and counts in the
+candidate's class, and the class's threshold is the least p at which decoys are at
+most that share of candidates.  Ordinary words lie outside base spans and outside
+every run of ``MIN_RUN`` signs, and no two decoys of a text share a word's letter.
 Counts by class and p over the whole corpus, a bounded table, set the thresholds.
 
 Null texts count as empty and have no spans; repeated rows are judged alike; an
@@ -50,7 +52,8 @@ ENCODINGS = [DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF", UPPER + "234567", DIG
              UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_"]
 
 RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_RUN},}}")
-NO_LETTER = re.compile("[^A-Za-z]+")
+WORD = re.compile(r"[^\W_]+")
+ORDINARY = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 SETS = [frozenset(e) for e in ENCODINGS]
 VALUE = np.zeros((len(ENCODINGS), 128), np.int64)
 for _i, _e in enumerate(ENCODINGS):
@@ -70,19 +73,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """``(start, end, decoy)`` of whole runs that touch no base span."""
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """``(start, end)`` of whole runs that touch no base span."""
     out = []
     for m in RUN.finditer(text):
         a, b = m.span()
-        if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()) or any(s < b and a < e for s, _, e in base):
-            continue
-        n = b - a
-        around = NO_LETTER.sub("", text[max(0, a - 3 * n) : a] + text[b : b + 3 * n])
-        out.append((a, b, around[:n]))
+        if not ((a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()) or any(s < b and a < e for s, _, e in base)):
+            out.append((a, b))
     return out
 
 
+def ordinary_words(text: str, base: list[tuple[int, int, int]]) -> list[str]:
+    """The words of a text that lie outside base spans and outside every run."""
+    out, at = [], 0
+    for a, b in sorted([(s, e) for s, _, e in base] + [m.span() for m in RUN.finditer(text)] + [(len(text), len(text))]):
+        if a > at:
+            out += [w for w in WORD.findall(text[at:a]) if ORDINARY.fullmatch(w)]
+        at = max(at, b)
+    return out
+
+
+class Decoys:
+    """Hands out the letters of a text's ordinary words, each once."""
+
+    def __init__(self, words: list[str]):
+        self.signs, self.at = "".join(words), 0
+
+    def next(self, run: str) -> str:
+        self.at += len(run)
+        return self.signs[self.at - len(run) : self.at]
+
+
 def encoding(run: str) -> int | None:
     """The first (smallest) alphabet that holds every sign, or None for a mixture."""
     signs = set(run)
@@ -137,17 +158,21 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = [base_spans(t) for t in texts]
         runs, kinds, of = [], [], []
         for i, t in enumerate(texts):
-            for a, b, decoy in candidates(t, base[i]):
-                for run, is_decoy in ((t[a:b], False), (decoy, True)):
-                    if len(run) >= MIN_RUN and (e := encoding(run)) is not None:
+            found = candidates(t, base[i])
+            decoys = Decoys(ordinary_words(t, base[i]) if found else [])
+            for a, b in found:
+                if (e := encoding(t[a:b])) is None:
+                    continue
+                for run, is_decoy in ((t[a:b], False), (decoys.next(t[a:b]), True)):
+                    if len(run) == b - a:
                         runs.append(run)
-                        kinds.append(e)
-                        of.append((i, a, b, is_decoy))
+                        kinds.append(encoding(run))
+                        of.append((i, a, b, e, is_decoy))
         trials: list[list[dict]] = [[] for _ in texts]
         if runs:
             bins = np.minimum((randomness(runs, kinds) * BINS).astype(int), BINS - 1).tolist()
-            for (i, a, b, is_decoy), run, e, p in zip(of, runs, kinds, bins, strict=True):
-                trials[i].append({"start": a, "end": b, "class": e * 10 + length_class(len(run)), "bin": p, "decoy": is_decoy})
+            for (i, a, b, e, is_decoy), p in zip(of, bins, strict=True):
+                trials[i].append({"start": a, "end": b, "class": e * 10 + length_class(b - a), "bin": p, "decoy": is_decoy})
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([[dict(zip(("start", "kind", "end"), s)) for s in x] for x in base], span), pa.array(trials, trial)],
             ["doc", "base", "trials"])

@@ -64,6 +64,34 @@ def test_random_keys_are_found_and_words_are_not(spark):
     assert not any(got[i] for i in range(0, 400, 2))
 
 
+def spans_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secrets.find_secrets(docs).select("doc.doc_id", "spans").collect()}
+
+
+def plain_words(seed, n):
+    rng = random.Random(seed)
+    return [rng.choice(PLAIN) for _ in range(n)]
+
+
+PLAIN = ("the of and to in is that for it was on are as with they be at one have this from by had not but what all were when we there can "
+         "an your which their said if do will each about how up out them then she many some so these would other into has more two like "
+         "him see time could no make than first been its who now people my made over did down only way find use may water long little "
+         "very after words called just where most know").split()
+
+
+def test_keys_among_keys_and_paths_are_found(spark):
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice(secrets.ENCODINGS[6]) for _ in range(rng.randint(36, 44)))
+    path = lambda i: "/".join(plain_words(i, 9))
+    lists = ["\n".join(f"{plain_words(i * 20 + j, 1)[0]} {key()}" for j in range(8)) for i in range(60)]
+    paths = [" ".join([*plain_words(i, 30), *(path(i * 9 + j) for j in range(4)), *plain_words(-i, 30)]) for i in range(1, 120)]
+    got = spans_of(spark, lists + paths)
+    assert sum(len(got[i]) for i in range(60)) >= 0.95 * 480
+    for t in lists:  # no word of a decoy is a part of a key
+        assert set(secrets.ordinary_words(t, secrets.base_spans(t))) <= set(PLAIN)
+
+
 def test_redaction_keeps_rows_and_columns(odd_docs, no_docs):
     got = secrets.redact(odd_docs)
     assert got.schema == odd_docs.schema and got.count() == odd_docs.count()
