@@ -10,11 +10,15 @@ that alphabet it undergoes a chi-squared test of the symbol counts, a runs test
 about the middle of the alphabet and a test of the serial correlation, and
 Fisher's method combines the three.  A run counts as a secret if randomness is not
 rejected at ``FLOOR`` and if its class (encoding and length) keeps the share of
-false discoveries under ``FDR``: every candidate brings a decoy, as many letters of
-the ordinary words of its text, which undergoes the same tests and counts in the
-candidate's class, and the class's threshold is the least p at which decoys are at
-most that share of candidates.  Ordinary words lie outside base spans and outside
-every run of ``MIN_RUN`` signs, and no two decoys of a text share a word's letter.
+false discoveries under ``FDR``: every candidate brings a decoy of its own length
+and encoding, which undergoes the same tests and counts in the same class, and the
+class's threshold is the least p at which decoys are at most that share of
+candidates.  A decoy is made of the ordinary words and numbers of its text, those
+outside base spans and outside every run of ``MIN_RUN`` signs, written in the
+candidate's alphabet: in its case, words joined by its sign where it has signs, for
+digits the numbers first and then letters by their place; what the alphabet lacks
+falls out.  No two decoys of a text share a word; where its words are used up,
+fixed ones follow in an order that depends on the candidate.
 Counts by class and p over the whole corpus, a bounded table, set the thresholds.
 
 Null texts count as empty and have no spans; repeated rows are judged alike; an
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +42,7 @@ from rostercast.llm.common import staged, table
 MIN_RUN = 20
 FLOOR = 0.01
 FDR = 0.01
-BINS = 50  # of the combined p-value
+BINS = 100  # of the combined p-value; FLOOR is an edge
 KINDS = ["assign", "access", "hex", "random"]
 MASK = "[SECRET]"
 
@@ -53,8 +58,16 @@ ENCODINGS = [DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF", UPPER + "234567", DIG
 
 RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_RUN},}}")
 WORD = re.compile(r"[^\W_]+")
-ORDINARY = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+ORDINARY = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+# Words for decoys of texts that have too few; their count is prime.
+SPARE = ("the of and to in is that for it was on are as with they be at one have this from by had not but what all were when we there can an "
+         "your which their said if do will each about how up out them then she many some so these would other into has more two like him see "
+         "time could no make than first been its who now people my made over did down only way find use may water long little very after "
+         "words called just where most know get through back much before go good new write our").split()
+CASE = [str, str.lower, str.upper, str.upper, str.lower, str.upper, str, str, str]  # by encoding
 SETS = [frozenset(e) for e in ENCODINGS]
+FOREIGN = [re.compile(f"[^{re.escape(e)}]+") for e in ENCODINGS]
+BY_PLACE = str.maketrans({c: DIGITS[i % 10] for x in (LOWER, UPPER) for i, c in enumerate(x)})
 VALUE = np.zeros((len(ENCODINGS), 128), np.int64)
 for _i, _e in enumerate(ENCODINGS):
     VALUE[_i, [ord(c) for c in _e]] = np.arange(len(_e))
@@ -93,15 +106,33 @@ def ordinary_words(text: str, base: list[tuple[int, int, int]]) -> list[str]:
     return out
 
 
+def written(words: list[str], kind: int, sign: str) -> str:
+    """Words in the alphabet of an encoding, each followed by ``sign``."""
+    if kind == 0:
+        return "".join(sorted(words, key=str.isalpha)).translate(BY_PLACE)
+    return FOREIGN[kind].sub("", CASE[kind](f"{sign}\0".join([*words, ""])))
+
+
 class Decoys:
-    """Hands out the letters of a text's ordinary words, each once."""
+    """Hands out the ordinary words of a text as decoys, each word once for an encoding and sign."""
 
     def __init__(self, words: list[str]):
-        self.signs, self.at = "".join(words), 0
-
-    def next(self, run: str) -> str:
-        self.at += len(run)
-        return self.signs[self.at - len(run) : self.at]
+        self.words = words
+        self.left: dict[tuple[int, str], list] = {}  # text and place in it
+
+    def next(self, run: str, kind: int) -> str:
+        sign = max("+/-_", key=run.count) if kind > 6 else ""
+        if (kind, sign) not in self.left:
+            self.left[kind, sign] = [written(self.words, kind, sign), 0]
+        own = self.left[kind, sign]
+        out = own[0][own[1] : own[1] + len(run)]
+        own[1] += len(run)
+        if len(out) < len(run):
+            seed = zlib.crc32(run.encode())
+            at, step = seed % len(SPARE), 1 + seed // len(SPARE) % (len(SPARE) - 1)
+            spare = written([SPARE[(at + i * step) % len(SPARE)] for i in range(len(SPARE))], kind, sign)
+            out += spare * ((len(run) - len(out)) // len(spare) + 1)
+        return out[: len(run)]
 
 
 def encoding(run: str) -> int | None:
@@ -163,11 +194,10 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in found:
                 if (e := encoding(t[a:b])) is None:
                     continue
-                for run, is_decoy in ((t[a:b], False), (decoys.next(t[a:b]), True)):
-                    if len(run) == b - a:
-                        runs.append(run)
-                        kinds.append(encoding(run))
-                        of.append((i, a, b, e, is_decoy))
+                for run, is_decoy in ((t[a:b], False), (decoys.next(t[a:b], e), True)):
+                    runs.append(run)
+                    kinds.append(e)
+                    of.append((i, a, b, e, is_decoy))
         trials: list[list[dict]] = [[] for _ in texts]
         if runs:
             bins = np.minimum((randomness(runs, kinds) * BINS).astype(int), BINS - 1).tolist()
@@ -189,7 +219,7 @@ def thresholds(trials: DataFrame) -> dict[int, int]:
             if r["class"] == c:
                 decoys[r["bin"]], runs[r["bin"]] = r["decoys"], r["runs"]
         over = lambda x: np.cumsum(x[::-1])[::-1]
-        good = (over(decoys) <= FDR * over(runs)) & (over(runs) > 0) & (np.arange(BINS) >= FLOOR * BINS)
+        good = (over(decoys) <= FDR * over(runs)) & (over(runs) > 0) & (np.arange(BINS) / BINS >= FLOOR)
         if good.any():
             out[c] = int(np.flatnonzero(good)[0])
     return out

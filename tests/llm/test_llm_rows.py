@@ -92,6 +92,29 @@ def test_keys_among_keys_and_paths_are_found(spark):
         assert set(secrets.ordinary_words(t, secrets.base_spans(t))) <= set(PLAIN)
 
 
+def test_numbers_and_paths_of_clean_documents_are_no_secrets(spark):
+    rng = random.Random(7)
+    number = lambda: "".join(rng.choice("0123456789") for _ in range(rng.randint(20, 23)))
+    token = lambda i, sign: sign.join(plain_words(i, 5))[:27].ljust(20, "s")
+    texts = [" ".join([*plain_words(i, 40), number(), *plain_words(i + 1000, 20), token(i, "/"), *plain_words(i + 2000, 20), token(-i, "_")]) for i in range(400)]
+    assert sum(k == 3 for x in spans_of(spark, texts).values() for _, k, _ in x) <= 12  # of 1200 runs
+
+
+def test_every_encoding_has_decoys_and_finds_long_keys(spark):
+    rng = random.Random(8)
+    kinds = [3, 4, 5, 6, 7, 8]
+    keys = {k: ["".join(rng.choice(secrets.ENCODINGS[k]) for _ in range(70)) for _ in range(60)] for k in kinds}
+    texts = [f"{' '.join(plain_words(i, 40))} {key} {' '.join(plain_words(-i, 40))}" for k in kinds for i, key in enumerate(keys[k])]
+    got = spans_of(spark, texts)
+    assert all(sum(bool(got[n * 60 + i]) for i in range(60)) >= 54 for n in range(len(kinds)))
+    for k in range(len(secrets.ENCODINGS)):
+        run = "".join(rng.choice(secrets.ENCODINGS[k]) for _ in range(300)) + ("" if k < 7 else secrets.ENCODINGS[k][-1])
+        for words in ([], plain_words(k, 10), ["2019", *plain_words(k, 500)]):
+            decoy = secrets.Decoys(words).next(run, k)
+            assert len(decoy) == len(run) and set(decoy) <= secrets.SETS[k]
+    assert 1 / secrets.BINS == secrets.FLOOR
+
+
 def test_redaction_keeps_rows_and_columns(odd_docs, no_docs):
     got = secrets.redact(odd_docs)
     assert got.schema == odd_docs.schema and got.count() == odd_docs.count()
