@@ -12,8 +12,10 @@ until ``RECALL`` of those neighbours lie in the leaves visited.  A query that ha
 met too few rows for its neighbours goes on regardless.
 
 Rows and queries meet by leaf and block: leaves with many rows are cut into blocks
-of about ``BLOCK`` rows, each gives a query its best ``k``, and the best ``k`` of
-those stay.  Distances are Euclidean, in double precision on the original vectors.
+of about ``BLOCK`` rows, the queries that visit a leaf into groups of about ``GROUP``,
+and every block meets every group.  Each block gives a query its best ``k``, and the
+best ``k`` of those stay.  Distances are worked out for ``STRIPE`` queries at a time,
+so that no task's memory grows with the queries.  Distances are Euclidean, in double precision on the original vectors.
 
 Vectors that are null, zero or hold null or non-finite components take no part,
 nor do rows without an id or vectors of another length than most; a query's own
@@ -39,7 +41,7 @@ SAMPLE = 20_000
 BRANCH, LEAF, LEAST = 8, 1024, 8  # children of a node, rows of a leaf, sample rows that a split needs
 ROUNDS = 8
 TRIALS, RECALL = 200, 0.97
-BLOCK = 4096
+BLOCK, GROUP, STRIPE = 4096, 4096, 256
 EVERY = 100  # ids divisible by this are queries
 K = 10
 
@@ -111,10 +113,11 @@ class Tree:
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """``(query, id, score)`` of each query's ``k`` nearest among ``x``, ties to smaller ids."""
     out = []
-    approx = distances(q, x)
     slack = 1e-9 * (1 + (q * q).sum(1) + (x * x).sum(1).max(initial=0))
     for i, qid in enumerate(q_ids.tolist()):
-        d = np.where(ids == qid, np.inf, approx[i])
+        if i % STRIPE == 0:
+            approx = distances(q[i : i + STRIPE], x)
+        d = np.where(ids == qid, np.inf, approx[i % STRIPE])
         n = min(k, int(np.isfinite(d).sum()))
         if not n:
             continue
@@ -184,30 +187,36 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
 
     def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, leaves = [], []
-            for i, q in enumerate(matrix(b.column(1))):
-                met = 0
+            rows = []
+            for q in matrix(b.column(1)):
+                met, leaves = 0, []
                 for n, leaf in enumerate(tree.walk(q)):
                     if n >= visits and met > k:
                         break
                     if filled.get(leaf):
                         met += filled[leaf]
-                        row.append(i)
                         leaves.append(leaf)
-            got = b.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(leaves, pa.int64())], ["query_id", "q", "leaf"])
-
-    blocks = spark.createDataFrame([(leaf, -(-n // BLOCK)) for leaf, n in sorted(filled.items())], "leaf long, blocks int")  # one row for each leaf
-    visited = (queries.mapInArrow(walks, "query_id long, q binary, leaf long").join(F.broadcast(blocks), "leaf")
-               .select("leaf", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "query_id", "q"))
-    held = placed.join(F.broadcast(blocks), "leaf").select("leaf", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), "id", "v")
+                rows.append(leaves)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.int64()))], ["query_id", "q", "leaves"])
+
+    # one row for each query, so that its vector is staged once
+    walked = staged(queries.mapInArrow(walks, "query_id long, q binary, leaves array<long>"), "visits")
+    visitors = {r.leaf: r["count"] for r in walked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
+    blocks = spark.createDataFrame([(leaf, -(-n // BLOCK), -(-visitors.get(leaf, 0) // GROUP)) for leaf, n in sorted(filled.items())],
+                                   "leaf long, blocks int, groups int")  # one row for each leaf
+    # blocks and groups by hash; each of a leaf's groups of queries meets each of its blocks
+    visited = (walked.select("query_id", "q", F.explode("leaves").alias("leaf")).join(F.broadcast(blocks), "leaf").withColumn("part", F.expr("cast(pmod(xxhash64(query_id), groups) as int)"))
+               .select("leaf", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "part", "query_id", "q"))
+    held = (placed.join(F.broadcast(blocks), "leaf").where("groups > 0").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+            .select("leaf", "block", F.explode(F.expr("sequence(0, groups - 1)")).alias("part"), "id", "v"))
+    keys = ["leaf", "block", "part"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return found_table([])
         return found_table(best(left["query_id"].to_numpy(), matrix(left["q"]), right["id"].to_numpy(), matrix(right["v"]), k))
 
-    found = visited.groupBy("leaf", "block").cogroup(held.groupBy("leaf", "block")).applyInArrow(search, FOUND)
+    found = visited.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(search, FOUND)
     return top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -233,6 +233,36 @@ def test_ties_go_to_the_smaller_id(spark, monkeypatch):
     assert [v for _, v in sorted(got[100])] == [0, 2, 4, 6, 8, 10, 12, 14, 16, 18]
 
 
+def test_queries_of_a_leaf_come_in_groups(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 4))
+    real = search.best
+
+    def limited(q_ids, q, ids, rows, k):
+        assert len(q) <= 64, "too many queries at once"
+        return real(q_ids, q, ids, rows, k)
+
+    monkeypatch.setattr(search, "best", limited)
+    for name, value in (("BLOCK", 100), ("GROUP", 16), ("TRIALS", 20)):
+        monkeypatch.setattr(search, name, value, raising=False)
+    got = defaultdict(list)
+    for r in search.nearest(vector_table(spark, [(i, v.tolist()) for i, v in enumerate(x)]), every=1).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    d = ((x[:, None] - x) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert all([v for _, v in sorted(got[i])] == np.argsort(d[i])[:10].tolist() for i in range(600))
+
+
+def test_distances_are_worked_out_in_stripes(monkeypatch):
+    rng = np.random.default_rng(10)
+    q, x, seen, real = rng.normal(size=(1000, 3)), rng.normal(size=(50, 3)), [], search.distances
+    monkeypatch.setattr(search, "distances", lambda a, b: seen.append(len(a)) or real(a, b))
+    got = search.best(np.arange(1000) + 100, q, np.arange(50), x, 3)
+    assert max(seen) <= 256 and sum(seen) == 1000
+    want = np.argsort(((q[:, None] - x) ** 2).sum(2), axis=1)[:, :3]
+    assert [v for _, v, _ in got] == want.ravel().tolist() and [i for i, _, _ in got] == np.repeat(np.arange(1000) + 100, 3).tolist()
+
+
 def test_queries_read_the_whole_tables(spark):
     assert near.op3_minhash_dedup(spark, SMOKE_DIR).count() == table(spark, SMOKE_DIR, "documents").count()
     assert ranges.op9_range_dedup(spark, SMOKE_DIR).count() == table(spark, SMOKE_DIR, "embeddings").count()
