@@ -17,7 +17,8 @@ deals the pages out.
 Every page is read whole.  Character references are decoded, white space inside a
 block becomes one space, blocks are joined by an empty line.  Null and empty pages
 have an empty text; markup that is cut off or never closed is read as far as it
-goes; repeated rows are judged alike; an empty table gives an empty result.
+goes (only script, style, textarea, iframe and noscript run to the end of the page);
+repeated rows are judged alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,16 +41,17 @@ PATH, WORD, SHAPE = 160, 32, 10
 HIDDEN, EPOCHS, PAGES_EACH, RATE = 12, 8, 48, 0.02
 TOGETHER = 20_000  # blocks that are labelled together
 
-# HTML's void, raw-text, inline and paragraph-ending elements.
+# HTML's void, raw-text, inline and paragraph-ending elements; elements without main text that count if they are closed.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|svg|iframe|select|object"
+RAW = "script|style|noscript|textarea|iframe"
+EMBEDDED = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("svg", "object", "template", "select")}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 # Names in paths that tell the teacher what a block is.
 FURNITURE = frozenset("nav header footer aside form menu dialog title head button ad ads adv advert advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay sidebar side rail widget breadcrumb breadcrumbs pagination pager toolbar navbar navigation topbar masthead copyright legal disclaimer share sharing social related recommended subscribe subscription newsletter signup login search comment comments commentlist respond reply replies discussion disqus".split())
 ARTICLE = frozenset("article main content body-text story post entry text articlebody".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
@@ -70,6 +72,7 @@ def blocks(page: str) -> list[Block]:
     path: list[tuple[str, ...]] = []
     held: list[str] = []
     links, in_link = 0, 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal links
@@ -80,7 +83,9 @@ def blocks(page: str) -> list[Block]:
             held.clear()
             links = 0
 
-    for m in TOKEN.finditer(page):
+    at = 0
+    while m := TOKEN.match(page, at):
+        at = m.end()
         if text := m["text"]:
             held.append(text)
             if in_link:
@@ -95,6 +100,14 @@ def blocks(page: str) -> list[Block]:
             elif tag == "br":
                 held.append(" ")
             continue
+        if tag in EMBEDDED and not m["end"]:
+            if m["rest"].endswith("/"):
+                continue
+            if tag not in unclosed:
+                if close := EMBEDDED[tag].search(page, at):
+                    at = close.end()
+                    continue
+                unclosed.add(tag)  # from here on
         flush()
         if m["end"]:
             for i in range(len(path) - 1, -1, -1):

@@ -225,6 +225,22 @@ def test_labeller_reads_other_layouts(spark):
         "The story", "First paragraph of the story with several words in it.", "Second & last paragraph, with a break é and more words."]
 
 
+@pytest.mark.parametrize("before", [
+    '<svg class="i"/>', '<object data="x" />', '<svg-icon name="x"></svg-icon>', "<select-box></select-box>", "<template-x>", "<script-loader src=a></script-loader>",
+    "<svg><g>", "<object>", "<template>", "<select>", "<svg><text>not read</text></svg>", "<template><p>not read</p></template>", "<SELECT><option>not read</SELECT >",
+    "<script>if (a < b) not read()</script>", "<style >p { }</style>", "<iframe src=x>not read</iframe>", "<noscript>not read</noscript>", "<textarea>not read</textarea>"])
+@pytest.mark.parametrize("after", ["", "<svg><path/></svg><object></object><template></template><select></select>"])
+def test_elements_before_the_article_do_not_swallow_it(before, after):
+    closed_later = after and before in ("<svg><g>", "<object>", "<template>", "<select>")
+    assert [t for t, _, _ in pages.blocks(f"{before}<article><p>All of it</p></article>{after}")] == ([] if closed_later else ["All of it"])
+
+
+def test_raw_text_runs_to_the_end_and_many_open_elements_are_read():
+    for tag in ("script", "style", "textarea", "iframe", "noscript"):
+        assert pages.blocks(f"<p>read<{tag} x>not <p>read") == [("read", (("p",),), 0.0)]
+    assert len(pages.blocks("<svg><p>x" * 20_000)) == 20_000
+
+
 def test_gradients_of_the_labeller():
     rng = np.random.default_rng(0)
     net = pages.Labeller()
