@@ -9,7 +9,8 @@ what surrounds it.
 
 The network is trained on a hashed sample of about ``TRAIN_PAGES`` pages.  A
 transparent teacher marks their blocks by telling names in the tag path, and by
-length and links where the path says nothing; variants of the pages with renamed
+length, links and place where the path says nothing: long unlinked blocks, the blocks
+between two of them in the same parent, and headings right above; variants of the pages with renamed
 wrappers and with inserted sidebars, notices, adverts, forms and reader comments
 teach it layouts that the sample lacks.  Training and labelling are numpy; Spark
 deals the pages out.
@@ -48,6 +49,7 @@ EMBEDDED = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("svg", "object",
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 # Names in paths that tell the teacher what a block is.
 FURNITURE = frozenset("nav header footer aside form menu dialog title head button ad ads adv advert advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay sidebar side rail widget breadcrumb breadcrumbs pagination pager toolbar navbar navigation topbar masthead copyright legal disclaimer share sharing social related recommended subscribe subscription newsletter signup login search comment comments commentlist respond reply replies discussion disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main content body-text story post entry text articlebody".split())
 
 TOKEN = re.compile(
@@ -123,9 +125,8 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def told(block: Block) -> bool:
-    """The teacher's mark: is this block part of the article?"""
-    text, path, linked = block
+def named(path: tuple[tuple[str, ...], ...]) -> bool | None:
+    """Whether the names in a path tell of the article; None if they tell nothing."""
     article = False
     for element in path:
         if element[0] == "header" and article:
@@ -133,7 +134,27 @@ def told(block: Block) -> bool:
         if any(x in FURNITURE for x in element):
             return False
         article = article or any(x in ARTICLE for x in element)
-    return article or (len(text.split()) >= 10 and linked < 0.5)
+    return article or None
+
+
+def told(page: list[Block]) -> list[bool]:
+    """The teacher's marks: is each block part of the article?"""
+    by_name = [named(path) for _, path, _ in page]
+    long = [name is None and len(text.split()) >= 10 and linked < 0.5 for name, (text, _, linked) in zip(by_name, page, strict=True)]
+    marks = [bool(name) or x for name, x in zip(by_name, long, strict=True)]
+    last: dict[tuple, int] = {}  # the last long block of each parent
+    for i in np.flatnonzero(long).tolist():
+        parent = page[i][1][:-1]
+        for j in range(last.get(parent, i) + 1, i):
+            if by_name[j] is None and page[j][2] < 0.5 and page[j][1][: len(parent)] == parent:
+                marks[j] = True
+        for j in range(i - 1, -1, -1):
+            _, path, linked = page[j]
+            if by_name[j] is not None or linked >= 0.5 or not path or path[:-1] != parent or path[-1][0] not in HEADINGS:
+                break
+            marks[j] = True
+        last[parent] = i
+    return marks
 
 
 def crc(word: str) -> int:
@@ -290,7 +311,7 @@ def varied(page: list[Block], spare: list[Block], rng: np.random.Generator) -> l
             as_div[element] = element if pool is None or rng.random() < 0.4 else (str(rng.choice(["div", "section"])), str(rng.choice(pool)))
         return as_div[element]
 
-    rows = [((t, tuple(renamed(e) for e in path), link), told((t, path, link))) for t, path, link in page]
+    rows = [((t, tuple(renamed(e) for e in path), link), mark) for (t, path, link), mark in zip(page, told(page), strict=True)]
     inner = [path for (_, path, _), mark in rows if mark]
     for _ in range(int(rng.integers(1, 4))):
         name, tag = str(rng.choice(furniture)), str(rng.choice(["div", "section", "ul"]))
@@ -309,7 +330,7 @@ def trained(pages: list[str]) -> Labeller:
     rng = np.random.default_rng(5)
     read = [b for b in map(blocks, pages) if b]
     spare = [b for page in read for b in page]
-    marked = [[(b, told(b)) for b in page] for page in read]
+    marked = [list(zip(page, told(page), strict=True)) for page in read]
     marked += [varied(page, spare, rng) for _ in range(VARIANTS) for page in read]
     x = [vectors([b for b, _ in page]) for page in marked]
     y = [np.array([m for _, m in page], np.float32) for page in marked]

@@ -241,6 +241,33 @@ def test_raw_text_runs_to_the_end_and_many_open_elements_are_read():
     assert len(pages.blocks("<svg><p>x" * 20_000)) == 20_000
 
 
+def nameless(seed):
+    """A page whose wrappers have no telling names, and the blocks of its article."""
+    rng = random.Random(seed)
+    line = lambda least, most: " ".join(plain_words(rng.random(), rng.randint(least, most))).capitalize() + "."
+    links = lambda n: "".join(f"<li><a href=x>{line(1, 3)}</a></li>" for _ in range(n))
+    body = [("h1", line(2, 6)), ("p", line(20, 60))]
+    for _ in range(rng.randint(2, 4)):
+        body += [("h2", line(1, 4)), ("p", line(15, 60)), ("p", line(1, 6)), ("p", line(15, 60))]
+    inner = "".join(f"<{tag}>{text}</{tag}>" for tag, text in body)
+    return (f"<html><body><div><ul>{links(5)}</ul></div><div><div>{inner}</div><div><p>{line(1, 4)}</p><ul>{links(4)}</ul></div></div>"
+            f"<div><p>{line(2, 5)}</p></div></body></html>"), [text for _, text in body]
+
+
+def test_short_paragraphs_of_nameless_pages_stay():
+    for i in range(20):
+        page, article_ = nameless(i)
+        read = pages.blocks(page)
+        assert [b[0] for b, mark in zip(read, pages.told(read)) if mark] == article_
+    net = pages.trained([nameless(i)[0] for i in range(100, 180)])
+    right = 0
+    for i in range(40):
+        page, article_ = nameless(i)
+        read = pages.blocks(page)
+        right += [b[0] for b, mark in zip(read, net.chosen([read])[0]) if mark] == article_
+    assert right >= 36
+
+
 def test_gradients_of_the_labeller():
     rng = np.random.default_rng(0)
     net = pages.Labeller()
