@@ -23,6 +23,7 @@ from rostercast.llm.pu_quality import keep_good
 from rostercast.llm.random_secrets import redact
 
 SHINGLE_WORDS, SIMILAR = 5, 80
+ROW = "_row_of_id_and_text"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +34,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group; documents without an id or without words all stay.
 
-    Rows that repeat an id are one document: the first by text stays.
+    Rows that repeat an id and its text are one document; rows of one id with different texts are
+    documents of their own, by a 64-bit hash of both, which also decides between them in a group.
     """
-    kept = near_duplicates(docs, words=SHINGLE_WORDS, share=SIMILAR).where("kept and doc_id is not null").select("doc_id").distinct()
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    groups = near_duplicates(docs.select(row.alias(ROW), "text"), key=ROW, words=SHINGLE_WORDS, share=SIMILAR)
+    groups = groups.where("doc_id is not null").select(F.col("doc_id").alias(ROW), "component_id").distinct()
+    ids = docs.where("doc_id is not null").select("doc_id", row.alias(ROW)).distinct()
+    kept = ids.join(groups, ROW).groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).alias("least")).select(f"least.{ROW}")
     unnamed = docs.where("doc_id is null")
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").withColumn(ROW, row).join(kept, ROW, "left_semi").dropDuplicates([ROW]).drop(ROW)
     return named.unionByName(unnamed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

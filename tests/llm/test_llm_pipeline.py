@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline as pipeline
 from conftest import SMOKE_DIR
-from llm_rows import no_docs, odd_docs  # noqa: F401
+from llm_rows import no_docs, odd_docs, words  # noqa: F401
 from rostercast.llm import pu_quality, random_secrets
 from rostercast.llm.common import table
 from test_llm_links import brute_groups
@@ -49,3 +49,15 @@ def test_odd_rows_go_through(spark, odd_docs, no_docs, tmp_path):
         assert stage(spark, no_docs, str(tmp_path)).count() == 0
     assert random_secrets.MASK in next(r.text for r in docs.collect() if r.doc_id == 17)
     assert pu_quality.THRESHOLD == 0.7
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark, tmp_path):
+    a, b, c = words(31, 60), words(32, 60), words(33, 60)
+    rows = [(5, a), (5, b), (5, b), (5, b + " x"), (6, a), (7, b + " x"), (8, c), (3, c), *[(9, words(100 + i, 30)) for i in range(40)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = pipeline.one_of_each(spark, docs, str(tmp_path))
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert got[5, a] == 1 and got[3, c] == 1 and got[5, b] + got[5, b + " x"] == 1  # one of each group, ids least
+    assert got == Counter({k: 1 for k in got}) and len(got) == 43
+    placed = pipeline.packed(spark, pipeline.masked(spark, out, str(tmp_path)), str(tmp_path))
+    assert placed.where("piece = 0 and doc_id = 9").count() == 40
