@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rostercast.session import shared_dir
@@ -41,6 +41,26 @@ def spread(df: DataFrame, rows_each: int, rows: int) -> int:
     return max(partitions(df.sparkSession), math.ceil(rows / rows_each))
 
 
+def placed(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``df`` with ``idx`` (from 0, by ``order``) and ``n`` (rows) within ``group``.
+
+    Ranges of (group, order) are counted, so a group of any size is dealt over many tasks; a row's place is its place in its range
+    plus the rows of the group in earlier ranges.
+    """
+    tied = staged(df.withColumn("_tie", F.monotonically_increasing_id()), "tied")
+    keys = [group, *order, "_tie"]
+    ranged = staged(tied.repartitionByRange(partitions(df.sparkSession), *keys)
+                    .withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_here"))  # ranges + groups rows at most
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumns({"_before": F.coalesce(F.sum("_here").over(earlier), F.lit(0)),
+                                 "n": F.sum("_here").over(Window.partitionBy(group))}).drop("_here")
+    local = F.row_number().over(Window.partitionBy("_part", group).orderBy(*order, "_tie"))
+    return (ranged.withColumn("_local", local).join(starts, ["_part", group])
+            .withColumn("idx", F.col("_before") + F.col("_local") - 1)
+            .drop("_part", "_tie", "_local", "_before"))
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Union-find as Spark joins: ``(node, root)`` for every node of ``edges``; root is the smallest node.
 

@@ -27,10 +27,10 @@ their length; columns other than the five are not read, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostercast.llm.common import partitions, staged, table
+from rostercast.llm.common import placed, staged, table
 
 FANOUT = 8
 BROADCAST_NODES = 20_000   # at most about 30 MB with the siblings of ten levels
@@ -65,26 +65,6 @@ def leaves(docs: DataFrame, **payload: Column) -> DataFrame:
                        *[c.alias(name) for name, c in payload.items()])
 
 
-def placed(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``df`` with ``idx`` (from 0, by ``order``) and ``n`` (rows) within ``group``.
-
-    Ranges of (group, order) are counted; a row's place is its place in its range
-    plus the rows of the group in earlier ranges.
-    """
-    tied = staged(df.withColumn("_tie", F.monotonically_increasing_id()), "tied")
-    keys = [group, *order, "_tie"]
-    ranged = staged(tied.repartitionByRange(partitions(df.sparkSession), *keys)
-                    .withColumn("_part", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_here"))  # ranges + groups rows at most
-    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumns({"_before": F.coalesce(F.sum("_here").over(earlier), F.lit(0)),
-                                 "n": F.sum("_here").over(Window.partitionBy(group))}).drop("_here")
-    local = F.row_number().over(Window.partitionBy("_part", group).orderBy(*order, "_tie"))
-    return (ranged.withColumn("_local", local).join(starts, ["_part", group])
-            .withColumn("idx", F.col("_before") + F.col("_local") - 1)
-            .drop("_part", "_tie", "_local", "_before"))
-
-
 def runs_of(nodes: DataFrame, *payload: str) -> DataFrame:
     """Runs of ``FANOUT`` nodes: ``(g, up, n, kids, digest)``; a lone node is its own parent, not hashed again."""
     runs = nodes.groupBy("g", F.expr(f"idx div {FANOUT}").alias("up")).agg(
