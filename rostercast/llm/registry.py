@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rostercast.llm import block_labeller, fit_packing, merkle_manifest, minhash_dedup, pfor_files, prefix_decontamination, pu_quality, random_secrets, range_dedup, ring_shards, sampled_pieces, tree_search
+from rostercast.llm import block_labeller, conversation_repair, fit_packing, merkle_manifest, minhash_dedup, pfor_files, prefix_decontamination, pu_quality, random_secrets, range_dedup, ring_shards, sampled_pieces, tree_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sampled_pieces": sampled_pieces.op1_sampled_pieces,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pu_quality": pu_quality.op10_pu_quality,
     "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
     "op12_prefix_decontamination": prefix_decontamination.op12_prefix_decontamination,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE: dict[str, str] = {
     "op9_range_dedup": range_dedup.SQL,
     "op11_merkle_manifest": merkle_manifest.SQL,
     "op12_prefix_decontamination": prefix_decontamination.SQL,
+    "op13_conversation_repair": conversation_repair.SQL,
 }
