@@ -2,32 +2,37 @@
 
 The reference fits a Bayesian structural model (piecewise-linear trend,
 Fourier seasonalities, extra regressors) per input series.  Here the same
-structure is a penalised linear model fitted per series:
+structure is fitted to its posterior maximum:
 
 * every basis column is a Spark expression (F5 Fourier terms, F6 trend hinges,
   standardised regressors), so design matrices are built where the data lives;
-* the priors become a ridge penalty per column, ``σ² / prior_scale²`` with σ
-  re-estimated from the residuals (Gaussian for all blocks; the changepoint
-  prior is Laplace in the original — documented approximation); the intercept
-  is unpenalised and the slope almost so;
-* multiplicative mode is fitted on ``log1p(y)`` and transformed back;
-* the solve runs per series with ``groupBy(keys).applyInPandas``.  A group is
-  one series' daily history (bounded by the number of days, not by the size of
-  the order tables) and the output is one coefficient row per series;
+* trend changes have a Laplace prior: an L1 penalty, solved by coordinate descent on
+  the normal equations, so most changes are exactly 0; the other columns have
+  Gaussian priors (the intercept a flat one).  The noise variance is re-estimated once;
+* additive mode is one linear solve.  Multiplicative mode fits
+  ``trend * (1 + seasonality + regressors)`` itself: both parts are solved together,
+  linearised at the present ones, until the posterior no longer improves;
+* the solve needs nothing but moments of the basis (``XᵀX``, ``Xᵀy``, at most about 120 columns).
+  With keys they are taken per series in ``groupBy(keys).applyInPandas``: a group is one series'
+  daily history, bounded by the number of days.  Without keys every task sums the moments of its
+  own rows, and only those sums meet;
 * prediction is a Spark-side dot product of the same basis with the
   coefficients (``zip_with`` + ``aggregate``), so scoring stays JVM-side.
 
-Intervals are ``ŷ ± z·σ_resid`` of the fit (no trend simulation).
+Intervals hold the residual noise and the trend changes that may yet come: at the history's rate
+and mean size, their variance grows with the cube of the time since the history's end.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,7 +171,7 @@ def trend_basis(df: DataFrame, history: DataFrame, keys: list[str] | None = None
 # --- fit parameters per series --------------------------------------------------------------------
 
 def _series_params(history: DataFrame, keys: list[str], spec: ForecastSpec, ds: str, y: str) -> DataFrame:
-    yv = F.log1p(F.col(y).cast("double")) if spec.mode == "multiplicative" else F.col(y).cast("double")
+    yv = F.col(y).cast("double")
     aggs = [F.min(ds).alias("_ds0"), F.max(ds).alias("_ds1"), F.max(F.abs(yv)).alias("_yscale")]
     for r in spec.regressors:
         x = F.col(r).cast("double")
@@ -193,8 +198,21 @@ def _design(df: DataFrame, params: DataFrame, keys: list[str], spec: ForecastSpe
     return joined.withColumn("_x", F.array(F.lit(1.0), t, *hinges, *seas, *regs))
 
 
+# --- the posterior maximum from moments ---------------------------------------------------------------
+
+@dataclass
+class Moments:
+    """Sums over rows of a linear model ``target ~ J``: ``JᵀJ``, ``Jᵀtarget``, ``targetᵀtarget``, squared residuals at the given coefficients, rows."""
+
+    gram: np.ndarray
+    cross: np.ndarray
+    square: float
+    sse: float
+    n: float
+
+
 def _prior_scales(spec: ForecastSpec) -> np.ndarray:
-    """Prior standard deviation of every basis column (intercept: flat)."""
+    """Prior scale of every basis column: standard deviations, and the Laplace scale of trend changes (intercept: flat)."""
     scales = [np.inf, spec.trend_prior_scale]
     scales += [spec.changepoint_prior_scale] * spec.n_changepoints
     for s in spec.seasonalities:
@@ -203,31 +221,176 @@ def _prior_scales(spec: ForecastSpec) -> np.ndarray:
     return np.asarray(scales, dtype=float)
 
 
-def _ridge_solver(keys: list[str], prior_scales: np.ndarray, noise_sd: float):
-    """MAP of a Gaussian linear model with independent Gaussian priors.
+def linearised(X: np.ndarray, y: np.ndarray, coef: np.ndarray, spec: ForecastSpec) -> np.ndarray:
+    """``[J, target, residual]`` of the model at ``coef``; solving ``target ~ J`` gives the next coefficients.
 
-    The penalty of column j is ``σ² / s_j²``.  σ starts at ``noise_sd`` (scaled
-    units) and is then re-estimated from the residuals of the first solve
-    (one refinement step), so the priors weigh against the noise the series
-    actually has.
+    Additive: J is X and the target y.  Multiplicative: the derivative of
+    ``trend * (1 + rest)`` by the coefficients, its trend columns times ``1 + rest``
+    and its other columns times the trend.
     """
-    inv_prior = 1.0 / prior_scales ** 2
+    if spec.mode != "multiplicative":
+        return np.column_stack([X, y, y - X @ coef])
+    k = 2 + spec.n_changepoints
+    trend, rest = X[:, :k] @ coef[:k], X[:, k:] @ coef[k:]
+    J = np.column_stack([X[:, :k] * (1.0 + rest)[:, None], X[:, k:] * trend[:, None]])
+    residual = y - trend * (1.0 + rest)
+    return np.column_stack([J, residual + J @ coef, residual])
+
+
+def moments_of(Z: np.ndarray, n: float) -> Moments:
+    """From ``ZᵀZ`` of :func:`linearised` and the number of rows."""
+    return Moments(Z[:-2, :-2], Z[:-2, -2], float(Z[-2, -2]), float(Z[-1, -1]), n)
+
 
+def lasso(Q: np.ndarray, r: np.ndarray, penalty: float, start: np.ndarray, sweeps: int = 2000) -> np.ndarray:
+    """``argmin ½ dᵀQd − rᵀd + penalty·|d|₁`` by coordinate descent.
+
+    Every few sweeps the signs found are tried: the linear system of the columns that are
+    not 0 gives the exact minimum when its signs and the gradients of the others agree.
+    Columns without variance stay 0.
+    """
+    diag = np.diag(Q)
+    live = np.flatnonzero(diag > 1e-12 * max(float(diag.max(initial=0.0)), 1e-300))
+    d = np.zeros(len(r))
+    d[live] = start[live]
+    gradient = r - Q @ d
+    for sweep in range(sweeps):
+        moved = 0.0
+        for j in live:
+            z = gradient[j] + diag[j] * d[j]
+            step = math.copysign(max(abs(z) - penalty, 0.0), z) / diag[j] - d[j]
+            if step:
+                d[j] += step
+                gradient = gradient - Q[:, j] * step
+                moved = max(moved, abs(step) * math.sqrt(diag[j]))
+        if sweep % 10 == 9 or moved <= 1e-14:
+            on = np.flatnonzero(d)
+            exact = np.zeros(len(r))
+            if len(on):
+                exact[on] = np.linalg.lstsq(Q[np.ix_(on, on)], r[on] - penalty * np.sign(d[on]), rcond=None)[0]
+            rest = np.setdiff1d(live, on)
+            g = r - Q @ exact
+            if (np.sign(exact[on]) == np.sign(d[on])).all() and (np.abs(g[rest]) <= penalty * (1 + 1e-9) + 1e-15).all():
+                return exact
+        if moved <= 1e-14:
+            break
+    return d
+
+
+def posterior_maximum(m: Moments, spec: ForecastSpec, sigma2: float, start: np.ndarray) -> np.ndarray:
+    """Coefficients that minimise ``|target − Jβ|² / 2σ²`` and the priors' penalties.
+
+    The columns with Gaussian priors are eliminated (Schur complement); what is left
+    is an L1 problem in the trend changes.
+    """
+    scales = _prior_scales(spec)
+    laplace = np.arange(len(scales))[2:2 + spec.n_changepoints]
+    smooth = np.setdiff1d(np.arange(len(scales)), laplace)
+    A = m.gram[np.ix_(smooth, smooth)] + np.diag(sigma2 / scales[smooth] ** 2)
+    coef = np.zeros(len(scales))
+    if not len(laplace):
+        coef[smooth] = np.linalg.solve(A, m.cross[smooth])
+        return coef
+    mixed = m.gram[np.ix_(smooth, laplace)]
+    solved = np.linalg.solve(A, np.column_stack([mixed, m.cross[smooth]]))
+    Q = m.gram[np.ix_(laplace, laplace)] - mixed.T @ solved[:, :-1]
+    r = m.cross[laplace] - mixed.T @ solved[:, -1]
+    coef[laplace] = lasso((Q + Q.T) / 2, r, sigma2 / spec.changepoint_prior_scale, start[laplace])
+    coef[smooth] = solved[:, -1] - solved[:, :-1] @ coef[laplace]
+    return coef
+
+
+def penalty(coef: np.ndarray, spec: ForecastSpec) -> float:
+    """Minus the logarithm of the priors at ``coef``, up to a constant."""
+    k = 2 + spec.n_changepoints
+    scaled = coef / _prior_scales(spec)
+    return float((np.delete(scaled, np.s_[2:k]) ** 2).sum() / 2 + np.abs(scaled[2:k]).sum())
+
+
+def fit_moments(moments: Callable[[np.ndarray], Moments], spec: ForecastSpec, most: int = 40) -> tuple[np.ndarray, float, float, float]:
+    """``(coefficients, residual sd, noise sd the priors were weighed with, rows)``.
+
+    σ starts at ``noise_sd`` (scaled units) and is then re-estimated from the residuals of the
+    first solution (one refinement step), so the priors weigh against the noise the series
+    actually has.  ``moments`` gives the moments at given coefficients.
+    """
+    coef, sigma2 = np.zeros(len(_prior_scales(spec))), spec.noise_sd ** 2
+    here = moments(coef)
+    for _ in range(2):
+        used = sigma2
+        if spec.mode != "multiplicative":
+            coef = posterior_maximum(here, spec, sigma2, coef)
+            sse = here.square - 2 * coef @ here.cross + coef @ here.gram @ coef
+        else:
+            value = here.sse / (2 * sigma2) + penalty(coef, spec)
+            for _ in range(most):
+                step = posterior_maximum(here, spec, sigma2, coef) - coef
+                length, better = 1.0, False
+                while length > 1e-3 and not better:
+                    there = moments(coef + length * step)
+                    new = there.sse / (2 * sigma2) + penalty(coef + length * step, spec)
+                    better = new <= value
+                    length /= 2
+                if not better:
+                    break
+                gain, value = value - new, new
+                coef, here = coef + 2 * length * step, there
+                if gain <= 1e-10 * max(abs(value), 1.0):
+                    break
+            sse = here.sse
+        sigma2 = max(float(sse) / here.n, 1e-12)
+    return coef, math.sqrt(sigma2), math.sqrt(used), here.n
+
+
+def _series_solver(keys: list[str], spec: ForecastSpec):
+    """The fit of one series whose basis rows are in memory (its daily history)."""
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         X = np.vstack(pdf["_x"].to_numpy())
-        yv = pdf["_ys"].to_numpy(dtype=float)
-        xtx, xty = X.T @ X, X.T @ yv
-        sigma2 = noise_sd ** 2
-        for _ in range(2):
-            beta = np.linalg.solve(xtx + np.diag(sigma2 * inv_prior), xty)
-            resid = yv - X @ beta
-            sigma2 = max(float(np.mean(resid ** 2)), 1e-12)
+        y = pdf["_ys"].to_numpy(dtype=float)
+
+        def moments(coef: np.ndarray) -> Moments:
+            Z = linearised(X, y, coef, spec)
+            return moments_of(Z.T @ Z, len(y))
+
+        coef, sd, noise, n = fit_moments(moments, spec)
         out = {k: [pdf[k].iloc[0]] for k in keys}
-        out.update({"coef": [beta.tolist()], "resid_sd": [float(np.sqrt(sigma2))], "n_obs": [len(yv)]})
+        out.update({"coef": [coef.tolist()], "resid_sd": [sd], "noise_sd": [noise], "n_obs": [int(n)]})
         return pd.DataFrame(out)
     return solve
 
 
+MOMENT_GROUPS = 32
+
+
+def summed_moments(design: DataFrame, spec: ForecastSpec, coef: np.ndarray, grouped: bool) -> Moments:
+    """Moments over all rows of ``design`` ``(_x, _ys)`` as a distributed sum.
+
+    Every task sums its own rows to one matrix; with ``grouped`` (more than ``MOMENT_GROUPS`` tasks)
+    Spark sums those of ``MOMENT_GROUPS`` groups.  That many matrices of at most about 120 columns reach the driver.
+    """
+    p = len(coef) + 2
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((p, p)), 0
+        for batch in batches:
+            if batch.num_rows:
+                X = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+                Z = linearised(X, batch.column(1).to_numpy(), coef, spec)
+                total, n = total + Z.T @ Z, n + batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "sums": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
+
+    def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [int(pdf["n"].sum())], "sums": [np.sum(np.vstack(pdf["sums"].to_numpy()), axis=0).tolist()]})
+
+    parts = design.select("_x", "_ys").mapInArrow(of_task, "n long, sums array<double>")
+    if grouped:
+        parts = (parts.withColumn("group", F.spark_partition_id() % MOMENT_GROUPS).groupBy("group")
+                 .applyInPandas(of_group, "n long, sums array<double>"))
+    rows = parts.collect()
+    return moments_of(np.sum([np.asarray(r["sums"]) for r in rows], axis=0).reshape(p, p), sum(r["n"] for r in rows))
+
+
 @dataclass
 class ForecastModel:
     """A fitted per-series forecast: parameters + coefficients, both DataFrames."""
@@ -238,58 +401,86 @@ class ForecastModel:
     ds: str = "ds"
 
 
+FITTED = [T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("resid_sd", T.DoubleType()),
+          T.StructField("noise_sd", T.DoubleType()), T.StructField("n_obs", T.LongType())]
+
+
 def fit_forecast(history: DataFrame, spec: ForecastSpec, keys: list[str] | None = None,
                  ds: str = "ds", y: str = "y") -> ForecastModel:
-    """fit one penalised structural model per series (eager, like an
-    estimator's ``fit``).
+    """fit one structural model per series (eager, like an estimator's ``fit``).
 
-    Without keys the whole history is one series (a constant group key).
+    Without keys the whole history is one series: its moments are a distributed sum and
+    the small solve runs on the result.
     """
     keys = list(keys or [])
     # the history is read by the parameter aggregate, the changepoint window and the
     # design join: materialise the (series × days) frame once in the shared folder
     history = cut_lineage(history.select(*keys, ds, y, *spec.regressors))
     params = _series_params(history, keys, spec, ds, y)
-    yv = F.log1p(F.col(y).cast("double")) if spec.mode == "multiplicative" else F.col(y).cast("double")
     design = _design(history.where(F.col(y).isNotNull()), params, keys, spec, ds)
-    design = design.withColumn("_ys", yv / F.coalesce(F.when(F.col("_yscale") > 0, F.col("_yscale")), F.lit(1.0)))
-    # the solve needs a group key; a single series is one constant group
-    gkeys = keys or ["_g"]
-    if not keys:
-        design = design.withColumn("_g", F.lit(0))
-    types = {f.name: f.dataType for f in design.schema.fields}
-    schema = T.StructType([T.StructField(k, types[k]) for k in gkeys]
-                          + [T.StructField("coef", T.ArrayType(T.DoubleType())),
-                             T.StructField("resid_sd", T.DoubleType()), T.StructField("n_obs", T.LongType())])
-    coefs = (design.select(*gkeys, "_x", "_ys")
-             .groupBy(*gkeys).applyInPandas(_ridge_solver(gkeys, _prior_scales(spec), spec.noise_sd), schema))
-    full = attach_scalars(params, coefs if keys else coefs.drop("_g"), keys)
+    design = design.withColumn("_ys", F.col(y).cast("double") / F.coalesce(F.when(F.col("_yscale") > 0, F.col("_yscale")), F.lit(1.0)))
+    if keys:
+        types = {f.name: f.dataType for f in design.schema.fields}
+        schema = T.StructType([T.StructField(k, types[k]) for k in keys] + FITTED)
+        coefs = design.select(*keys, "_x", "_ys").groupBy(*keys).applyInPandas(_series_solver(keys, spec), schema)
+    else:
+        rows = cut_lineage(design.select("_x", "_ys"))  # read once for every linearisation
+        spark = history.sparkSession
+        fitted = []
+        if not rows.isEmpty():
+            grouped = rows.rdd.getNumPartitions() > MOMENT_GROUPS
+            coef, sd, noise, n = fit_moments(lambda c: summed_moments(rows, spec, c, grouped), spec)
+            fitted = [(coef.tolist(), sd, noise, int(n))]
+        coefs = spark.createDataFrame(fitted, T.StructType(FITTED))
+    full = attach_scalars(params, coefs, keys)
     # a fitted model is an artefact: one row per series, materialised like any estimator fit
     return ForecastModel(spec, keys, cut_lineage(full), ds)
 
 
+def _dot(x: Column, coef: Column) -> Column:
+    return F.aggregate(F.zip_with(x, coef, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def trend_variance(t: Column, changes: Column, n_changepoints: int) -> Column:
+    """variance of the trend at scaled time ``t`` by changes after the history (t > 1).
+
+    Changes come at the history's rate, ``n_changepoints`` in a unit of t, each Laplace with the
+    history's mean size λ: the sum over a Poisson process of ``2λ² (t − c)²``, that is
+    ``n · 2λ² · (t − 1)³ / 3``.
+    """
+    if not n_changepoints:
+        return F.lit(0.0)
+    size = F.aggregate(changes, F.lit(0.0), lambda acc, v: acc + F.abs(v)) / F.lit(float(n_changepoints))
+    ahead = F.greatest(t - F.lit(1.0), F.lit(0.0))
+    return F.lit(float(n_changepoints)) * F.lit(2.0) * size * size * ahead * ahead * ahead / F.lit(3.0)
+
+
 def predict_forecast(model: ForecastModel, future: DataFrame) -> DataFrame:
     """``(keys…, ds, yhat, yhat_lower, yhat_upper)`` for the rows of ``future``.
 
     ``future`` carries the keys, the date and the regressor columns.  The fitted
     parameters are one row per series; they are joined on the keys (broadcast
-    when AQE measures them small) and scoring is a native dot product.
+    when AQE measures them small) and scoring is a native dot product.  The band is
+    ``yhat ± z·sd`` at the interval's normal quantile z, with the variance of the residuals and
+    :func:`trend_variance` (times the squared factor ``1 + rest`` in multiplicative mode).
     """
     spec, ds, keys = model.spec, model.ds, model.keys
     scored = _design(future, model.params, keys, spec, ds)
-    dot = F.aggregate(F.zip_with("_x", "coef", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     scale = F.coalesce(F.when(F.col("_yscale") > 0, F.col("_yscale")), F.lit(1.0))
     z = NormalDist().inv_cdf((1.0 + spec.interval_width) / 2.0)
-    mid = dot
-    lo = dot - F.lit(z) * F.col("resid_sd")
-    hi = dot + F.lit(z) * F.col("resid_sd")
+    k, p = 2 + spec.n_changepoints, len(_prior_scales(spec))
+    variance = trend_variance(F.get("_x", F.lit(1)), F.slice("coef", 3, spec.n_changepoints), spec.n_changepoints)
+    noise = F.col("resid_sd") * F.col("resid_sd")
     if spec.mode == "multiplicative":
-        back = lambda c: F.expm1(c * scale)
+        factor = F.lit(1.0) + _dot(F.slice("_x", k + 1, p), F.slice("coef", k + 1, p))
+        mid = _dot(F.slice("_x", 1, k), F.slice("coef", 1, k)) * factor
+        variance = variance * factor * factor
     else:
-        back = lambda c: c * scale
+        mid = _dot(F.col("_x"), F.col("coef"))
     passthrough = [c for c in future.columns if c not in keys and c != ds]
-    return scored.select(*keys, ds, *passthrough, back(mid).alias("yhat"), back(lo).alias("yhat_lower"),
-                         back(hi).alias("yhat_upper"))
+    staged = scored.withColumns({"_mid": mid * scale, "_half": F.lit(z) * F.sqrt(noise + variance) * scale})
+    return staged.select(*keys, ds, *passthrough, F.col("_mid").alias("yhat"), (F.col("_mid") - F.col("_half")).alias("yhat_lower"),
+                         (F.col("_mid") + F.col("_half")).alias("yhat_upper"))
 
 
 # --- F1 / F8 / F9 / A4 ------------------------------------------------------------------------------
