@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostercast.functions.scalars import attach_scalars
+from rostercast.functions.scalars import attach_scalars, join_on_keys
 
 
 # --- V3 / D5: splits ------------------------------------------------------------------------------
@@ -53,11 +53,36 @@ def chrono_split(df: DataFrame, test_fraction: float = 0.2, keys: list[str] | No
 
 # --- W6: contiguous folds ---------------------------------------------------------------------------
 
+def day_positions(df: DataFrame, keys: list[str] | None = None, order_col: str = "date") -> DataFrame:
+    """``(keys…, date, before, n)``: rows of the series before each day, and its rows in all.
+
+    Prefix sums of per-day counts in two steps: months of a series (one array of month totals a series, bounded
+    by the calendar), then days within their month.  No window ever spans a whole series.
+    """
+    keys = keys or []
+    days = df.groupBy(*keys, order_col).agg(F.count(F.lit(1)).alias("_here")).withColumn("_month", F.trunc(order_col, "month"))
+    months = days.groupBy(*keys, "_month").agg(F.sum("_here").alias("_sum"))
+    series = months.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_month", "_sum"))).alias("_m"), F.sum("_sum").alias("n"))
+    starts = series.select(*keys, "n", F.expr(
+        "inline(transform(_m, (x, i) -> struct(x._month as _month, aggregate(slice(_m, 1, i), 0L, (a, y) -> a + y._sum) as _start)))"))
+    earlier = Window.partitionBy(*keys, "_month").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = days.withColumn("_earlier", F.coalesce(F.sum("_here").over(earlier), F.lit(0)))
+    return (join_on_keys(local, starts, [*keys, "_month"])
+            .select(*keys, order_col, (F.col("_start") + F.col("_earlier")).alias("before"), "n"))
+
+
 def fold_ids(df: DataFrame, k: int = 5, keys: list[str] | None = None, order_col: str = "date",
              out_col: str = "fold") -> DataFrame:
-    """Unshuffled contiguous folds 0…k−1; the first ``n mod k`` folds are one larger."""
-    w = Window.partitionBy(*(keys or [])).orderBy(order_col)
-    return df.withColumn(out_col, (F.ntile(k).over(w) - 1).cast("int"))
+    """Unshuffled contiguous folds 0…k−1 of whole days; the first ``n mod k`` folds are one larger.
+
+    A day belongs to the fold of its first row, so rows of one day are never
+    dealt to two folds; with one row a day these are the folds of ``ntile``.
+    """
+    keys = keys or []
+    q, r, at = F.expr(f"greatest(n div {k}, 1)"), F.expr(f"n % {k}"), F.col("before")
+    fold = F.when(at < r * (F.expr(f"n div {k}") + 1), F.floor(at / (F.expr(f"n div {k}") + 1))).otherwise(r + F.floor((at - r * (q + 1)) / q))
+    folds = day_positions(df, keys, order_col).select(*keys, order_col, fold.cast("int").alias(out_col))
+    return join_on_keys(df, folds, [*keys, order_col])
 
 
 def learning_sizes(n_train: int, start: float = 0.1, stop: float = 1.0, num: int = 5) -> list[int]:

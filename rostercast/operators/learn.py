@@ -27,7 +27,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rostercast.operators.evaluate import fold_ids, learning_sizes, regression_metrics
+from rostercast.functions.scalars import join_on_keys
+from rostercast.operators.evaluate import day_positions, fold_ids, learning_sizes, regression_metrics
 from rostercast.session import cut_lineage
 
 # The feature list of the reference's model search (this order), the
@@ -168,7 +169,7 @@ def grid_search(train: DataFrame, features: list[str], candidate: Candidate, lab
         builder = builder.addGrid(est.getParam(name), values)
     maps = builder.build()
     # every grid point re-reads the folds k times: materialise them once
-    data = cut_lineage(fold_ids(with_label(train, label), k, order_col="date", out_col="_fold"))
+    data = cut_lineage(fold_ids(cut_lineage(with_label(train, label)), k, order_col="date", out_col="_fold"))
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, numFolds=k, foldCol="_fold",
                         evaluator=RegressionEvaluator(labelCol="_label", predictionCol="prediction", metricName="mse"),
                         parallelism=parallelism, seed=SEED)
@@ -254,14 +255,13 @@ def learning_curve(spark: SparkSession, train: DataFrame, features: list[str], m
 
     The frame is checkpointed once (shared checkpoint folder) before the
     ``k × sizes`` fits, which are independent Spark jobs submitted from
-    ``parallelism`` driver threads (as ``CrossValidator`` does).  Folds and the
-    date position come from one window pass over the training rows (one
-    series' days, or a pooled set ordered by date); each fit's training prefix
-    is a plain filter.  Returns ``(train_size, train_mse, val_mse)``.
+    ``parallelism`` driver threads (as ``CrossValidator`` does).  Folds and
+    positions come from prefix sums of per-day counts, days are taken whole; each fit's training
+    prefix is a plain filter.  Returns ``(train_size, train_mse, val_mse)``.
     """
-    ordered = fold_ids(with_label(train, label), k, order_col="date", out_col="_fold")
-    ordered = ordered.withColumn("_pos", F.row_number().over(Window.orderBy("date")) - 1)
-    data = cut_lineage(ordered)
+    train = cut_lineage(with_label(train, label))
+    ordered = fold_ids(train, k, order_col="date", out_col="_fold")
+    data = cut_lineage(join_on_keys(ordered, day_positions(train).select("date", F.col("before").alias("_pos")), ["date"]))
     # fold sizes are k numbers: the prefix of "all other folds in date order" then
     # becomes a filter on the global position, with no window per fit
     sizes_by_fold = dict(data.groupBy("_fold").count().collect())

@@ -8,7 +8,7 @@ from rostercast.plans.catalog import ORACLE, QUERIES
 
 QUERY_MODULES = ["rostercast.plans.queries_core", "rostercast.plans.queries_explore",
                  "rostercast.plans.queries_learn", "rostercast.plans.queries_given",
-                 "rostercast.plans.queries_forecast"]
+                 "rostercast.plans.queries_forecast", "rostercast.plans.queries_boost"]
 
 
 def load_all():
