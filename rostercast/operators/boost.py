@@ -93,30 +93,37 @@ class Tree:
 
 
 class Rows:
-    """Binned rows and their residuals; histograms of any groups of rows."""
+    """Binned rows; histograms of any groups of rows, the bins of all features side by side."""
 
-    def __init__(self, bins: np.ndarray, width: int):
-        self.bins, self.width, self.features = bins, width, bins.shape[1]
-        self.codes = bins + np.arange(self.features) * width
+    def __init__(self, bins: np.ndarray, widths: list[int]):
+        self.bins, self.features, self.size = bins, len(widths), int(sum(widths))
+        self.starts = np.cumsum([0, *widths[:-1]])
+        self.feature_of = np.repeat(np.arange(len(widths)), widths)
+        self.last = np.zeros(self.size, bool)
+        self.last[np.cumsum(widths) - 1] = True  # nothing lies right of a feature's last bin
+        self.codes = bins + self.starts
 
     def histograms(self, rows: np.ndarray, group: np.ndarray, groups: int, residual: np.ndarray) -> np.ndarray:
-        """Sums of residuals and counts, ``(2, groups, features, bins)``."""
-        size = self.features * self.width
-        codes = (self.codes[rows] + (group * size)[:, None]).ravel()
-        shape = (groups, self.features, self.width)
-        return np.stack([np.bincount(codes, np.repeat(residual[rows], self.features), groups * size).reshape(shape),
-                         np.bincount(codes, minlength=groups * size).astype(float).reshape(shape)])
-
-
-def gains(hist: np.ndarray, spec: Boosting) -> np.ndarray:
-    """Gain of every split ``(groups, features, bins - 1)``; minus infinity where a side has too few rows."""
-    left = np.cumsum(hist, axis=3)
-    total = left[:, :, :, -1:]
-    (gl, hl), (g, h) = left[:, :, :, :-1], total
-    gr, hr = g - gl, h - hl
-    side = lambda s, n: np.where(n > 0, s * s / np.maximum(n + spec.l2, 1e-300), 0.0)
-    out = 0.5 * (side(gl, hl) + side(gr, hr) - side(g, h)) - spec.gamma
-    return np.where((hl >= spec.min_rows) & (hr >= spec.min_rows), out, -np.inf)
+        """Sums of residuals and counts, ``(2, groups, bins of all features)``."""
+        codes = (self.codes[rows] + (group * self.size)[:, None]).ravel()
+        shape = (groups, self.size)
+        return np.stack([np.bincount(codes, np.repeat(residual[rows], self.features), groups * self.size).reshape(shape),
+                         np.bincount(codes, minlength=groups * self.size).astype(float).reshape(shape)])
+
+    def place(self, code: int) -> tuple[int, int]:
+        f = int(self.feature_of[code])
+        return f, int(code - self.starts[f])
+
+    def gains(self, hist: np.ndarray, spec: Boosting) -> np.ndarray:
+        """Gain of the split after every bin ``(groups, bins)``; minus infinity where a side has too few rows."""
+        running = np.cumsum(hist, axis=2)
+        before = np.concatenate([np.zeros((2, hist.shape[1], 1)), running], axis=2)[:, :, self.starts]
+        (gl, hl) = running - before[:, :, self.feature_of]
+        g, h = hist[:, :, self.feature_of == 0].sum(axis=2, keepdims=True)
+        gr, hr = g - gl, h - hl
+        side = lambda s, n: np.where(n > 0, s * s / np.maximum(n + spec.l2, 1e-300), 0.0)
+        out = 0.5 * (side(gl, hl) + side(gr, hr) - side(g, h)) - spec.gamma
+        return np.where((hl >= spec.min_rows) & (hr >= spec.min_rows) & ~self.last, out, -np.inf)
 
 
 def weight(g, h, spec: Boosting):
@@ -132,13 +139,12 @@ def grow_level(rows: Rows, residual: np.ndarray, spec: Boosting) -> tuple[Tree,
         slot = np.full(len(tree.feature), -1)
         slot[live] = np.arange(len(live))
         here = np.flatnonzero(slot[leaf] >= 0)
-        best = gains(rows.histograms(here, slot[leaf[here]], len(live), residual), spec).reshape(len(live), -1)
+        best = rows.gains(rows.histograms(here, slot[leaf[here]], len(live), residual), spec)
         choice = best.argmax(axis=1)
         new = []
         for i, at in enumerate(live):
             if best[i, choice[i]] > 1e-12:
-                f, b = divmod(int(choice[i]), rows.width - 1)
-                new += tree.split(at, f, b)
+                new += tree.split(at, *rows.place(choice[i]))
         if not new:
             break
         leaf = descend(tree, rows.bins, leaf)
@@ -153,10 +159,10 @@ def grow_leaf(rows: Rows, residual: np.ndarray, spec: Boosting) -> tuple[Tree, n
     queue: list = []
 
     def offer(at: int, members: np.ndarray, hist: np.ndarray) -> None:
-        best = gains(hist, spec).reshape(-1)
+        best = rows.gains(hist, spec)[0]
         c = int(best.argmax())
         if best[c] > 1e-12:
-            heapq.heappush(queue, (-best[c], at, *divmod(c, rows.width - 1), members, hist))
+            heapq.heappush(queue, (-best[c], at, *rows.place(c), members, hist))
 
     def hist_of(members: np.ndarray) -> np.ndarray:
         return rows.histograms(members, np.zeros(len(members), int), 1, residual)
@@ -186,12 +192,11 @@ def grow_oblivious(rows: Rows, residual: np.ndarray, spec: Boosting) -> tuple[Tr
     for _ in range(spec.depth):
         slot = np.full(len(tree.feature), -1)
         slot[live] = np.arange(len(live))
-        each = gains(rows.histograms(every, slot[leaf], len(live), residual), replace(spec, min_rows=0))
-        total = each.sum(axis=0).reshape(-1)
+        total = rows.gains(rows.histograms(every, slot[leaf], len(live), residual), replace(spec, min_rows=0)).sum(axis=0)
         c = int(total.argmax())
         if total[c] <= 1e-12:
             break
-        f, b = divmod(c, rows.width - 1)
+        f, b = rows.place(c)
         live = [child for at in live for child in tree.split(at, f, b)]
         leaf = descend(tree, rows.bins, leaf)
     set_values(tree, leaf, residual, spec)
@@ -251,15 +256,13 @@ class Ensemble:
 
 def boosted(X: np.ndarray, y: np.ndarray, edges: list[np.ndarray], spec: Boosting) -> Ensemble:
     """Squared-error boosting from the mean; rows stand in the order of the fixed permutation."""
-    width = max((len(e) for e in edges), default=0) + 1
     bins = np.column_stack([np.searchsorted(e, X[:, j], side="left") for j, e in enumerate(edges)])
-    rows, base = Rows(bins, max(width, 2)), float(y.mean()) if len(y) else 0.0
+    rows, base = Rows(bins, [len(e) + 1 for e in edges]), float(y.mean()) if len(y) else 0.0
     present, trees = np.full(len(y), base), []
     for _ in range(spec.rounds if len(y) else 0):
         residual = y - present
         tree, leaf = GROW[spec.growth](rows, residual, spec)
         present = present + (earlier_values(leaf, residual, spec) if spec.ordered else np.asarray(tree.value)[leaf])
-        # bins beyond a feature's last edge hold nothing, so a split there was never taken
         tree.threshold = [float(edges[f][b]) if f >= 0 else 0.0 for f, b in zip(tree.feature, tree.threshold, strict=True)]
         trees.append(tree)
     return Ensemble(base, trees)
