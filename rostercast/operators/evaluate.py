@@ -156,6 +156,25 @@ def regression_metrics(df: DataFrame, y: str = "y", pred: str = "prediction", by
     return out.select(*by, "n", "mae", "mse", F.sqrt("mse").alias("rmse"), r2.alias("r2"))
 
 
+def matched_metrics(truth: DataFrame, predicted: DataFrame, keys: list[str] | None = None, date_col: str = "date",
+                    y: str = "y", pred: str = "prediction", by_keys: bool = True) -> DataFrame:
+    """Truth and predictions joined on ``(keys…, date)``, with their metrics; days that only one side has raise.
+
+    The reference compares by position; here a missing or a surplus day is an error and never a shorter comparison.
+    """
+    keys = keys or []
+    on = [*keys, date_col]
+    a = truth.select(*on, F.col(y).cast("double").alias("_y"), F.lit(1).alias("_a"))
+    b = predicted.select(*on, F.col(pred).cast("double").alias("_p"), F.lit(1).alias("_b"))
+    b = b.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    cond = [a[c].eqNullSafe(b[f"_right_{c}"]) for c in on]
+    both = a.join(b, cond, "full").select(*[F.coalesce(c, f"_right_{c}").alias(c) for c in on], "_y", "_p", "_a", "_b")
+    alone = F.col("_a").isNull() | F.col("_b").isNull()
+    message = F.concat(F.lit("no counterpart on "), F.coalesce(F.col(date_col).cast("string"), F.lit("null")))
+    checked = both.withColumn("_p", F.when(alone, F.raise_error(message)).otherwise(F.col("_p")).cast("double"))
+    return regression_metrics(checked, "_y", "_p", keys if by_keys else None)
+
+
 def residual_table(df: DataFrame, y: str, pred: str, keys: list[str] | None = None,
                    model: str | None = None, order_col: str = "date") -> DataFrame:
     """A5/V6: ``(model?, keys…, date, y, y_pred, residual)`` long table."""

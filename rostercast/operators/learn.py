@@ -143,9 +143,13 @@ def importance(spark: SparkSession, train: DataFrame, features: list[str], label
     """Forest importances on unscaled features, ``(feature, importance, rank)`` sorted desc."""
     model = fit(train, features, _rf(numTrees=num_trees, maxDepth=max_depth), label, scale=False)
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    rows = sorted(zip(features, imp), key=lambda r: (-r[1], r[0]))
-    return spark.createDataFrame([(f, float(v), i + 1) for i, (f, v) in enumerate(rows)],
-                                 "feature string, importance double, rank int")
+    return rank_importances(spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double"))
+
+
+def rank_importances(importances: DataFrame) -> DataFrame:
+    """O1: ``(feature, importance, rank)``, the largest first, ties by name (a row for each feature)."""
+    w = Window.orderBy(F.col("importance").desc_nulls_last(), "feature")
+    return importances.select("feature", "importance", F.row_number().over(w).alias("rank"))
 
 
 def top_features(importances: DataFrame, n: int) -> list[str]:
@@ -237,13 +241,27 @@ def search(spark: SparkSession, train: DataFrame, test: DataFrame, config: Searc
     res = spark.createDataFrame(rows, "model string, n_features int, selected_features array<string>, "
                                       "variant string, params map<string,string>, mae double, mse double, "
                                       "rmse double, r2 double, cv_mse double")
-    crit = "mse" if config.select_on == "test" else "cv_mse"
-    # O3: strict arg-min, the first candidate (fewest features, default before tuned) wins ties
-    w = Window.partitionBy("model").orderBy(F.col(crit).asc_nulls_last(), "n_features",
+    return mark_best(res, "mse" if config.select_on == "test" else "cv_mse")
+
+
+def mark_best(candidates: DataFrame, criterion: str) -> DataFrame:
+    """``candidates`` with ``is_best`` and ``key``: the strict arg-min of each model.
+
+    Ties go to fewer features, then to the default before the tuned variant; a missing criterion loses.
+    """
+    w = Window.partitionBy("model").orderBy(F.col(criterion).asc_nulls_last(), "n_features",
                                             F.when(F.col("variant") == "default", 0).otherwise(1))
-    return (res.withColumn("is_best", F.row_number().over(w) == 1)
-            .withColumn("key", F.concat(F.col("model"), F.lit(" ("), F.col("n_features").cast("string"),
-                                        F.lit(" features)"))))
+    return (candidates.withColumn("is_best", F.row_number().over(w) == 1)
+            .withColumn("key", F.concat(F.col("model"), F.lit(" ("), F.col("n_features").cast("string"), F.lit(" features)"))))
+
+
+def stack_results(results: dict[str, DataFrame]) -> DataFrame:
+    """The metric rows of several models as one table, the model's name in front."""
+    out = None
+    for name, rows in results.items():
+        named = rows.select(F.lit(name).alias("model"), "*")
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 # --- V8: learning curve -------------------------------------------------------------------------------

@@ -58,11 +58,12 @@ def training_rows(history: DataFrame, keys: list[str] | None = None, cutoff_day:
     return attach_scalars(history, cut, keys).where(F.col("date") <= F.col("cutoff")).drop("cutoff")
 
 
-def train_full(history: DataFrame, keys: list[str] | None = None, config: RosterConfig | None = None):
-    """The production pipeline (scaler + boosting) fitted on every row up to
+def train_full(history: DataFrame, keys: list[str] | None = None, config: RosterConfig | None = None, estimator=None):
+    """The production pipeline (scaler + learner, boosting by default) fitted on every row up to
     the dynamic cut-off, saved to ``config.model_path`` when given (S5)."""
     config = config or RosterConfig()
-    model = L.fit(training_rows(history, keys, config.cutoff_day, config.cutoff_per_series), config.features, L._gbt(**config.model_params))
+    learner = estimator if estimator is not None else L._gbt(**config.model_params)
+    model = L.fit(training_rows(history, keys, config.cutoff_day, config.cutoff_per_series), config.features, learner)
     if config.model_path:
         L.save_model(model, config.model_path)
     return model
@@ -163,13 +164,19 @@ def holdout_evaluation(spark: SparkSession, history: DataFrame, train_end: str,
                       .select(*keys, "date", F.col("prediction").alias("pred_est")))
         return join_on_keys(true_scored, est_scored, keys + ["date"])  # D8: join on date, not position
 
+    def fitted(rows_: DataFrame):
+        return L.fit(rows_, L.HOLDOUT_FEATURES, L._gbt(**config.model_params))
+
     scenarios = []
+    with ThreadPoolExecutor(max_workers=2) as pool:  # the partial and the full fit are independent Spark jobs
+        full = pool.submit(fitted, train)
+        part = fitted(train.where(~F.col("is_test"))) if partial else None
+        full = full.result()
     if partial:
-        part = L.fit(train.where(~F.col("is_test")), L.HOLDOUT_FEATURES, L._gbt(**config.model_params))
         both = on_holdout(part)
         scenarios += [rows(L.score(part, train.where("is_test")), "prediction", "partial_test"),
                       rows(both, "pred_true", "partial_true_inputs"), rows(both, "pred_est", "partial_estimated_inputs")]
-    frame = on_holdout(L.fit(train, L.HOLDOUT_FEATURES, L._gbt(**config.model_params)))
+    frame = on_holdout(full)
     frame = attach_scalars(frame, R.floor_from_history(train, keys), keys)
     frame = frame.withColumns({
         "roster_true": apply_policy("pred_true", F.col("min_driver"), 1.0),

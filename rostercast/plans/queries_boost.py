@@ -114,6 +114,15 @@ def q_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("variant = 'tuned'").select("point", "params", "rounds", "cv_mse", "mse", "r2", "is_best")
 
 
+@register("l11_feature_counts")
+def q_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three boosting libraries' defaults × all 11 feature counts, in importance order, selected by cross-validation."""
+    train, test = _split(spark, sf_dir)
+    ranked = L.top_features(L.importance(spark, train, L.ALL_FEATURES, max_depth=10), len(L.ALL_FEATURES))
+    models = ["Gradient Boosting Regressor", "XGBoost Regressor", "LightGBM Regressor"]
+    return B.boosting_search(spark, train, test, ranked, models, tune=False).drop("point", "variant")
+
+
 # --- W6: folds of whole days over a pooled table ---------------------------------------------------------------
 
 @register("w6_fold_ids_keyless", with_sql(S.daily_cte(SEGMENT), f"h AS (SELECT series, date FROM daily WHERE date <= DATE '{TRAIN_END}')",

@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from rostercast.operators import evaluate as V
+from rostercast.operators import explore as X
 from rostercast.operators import forecast as FC
 from rostercast.operators import learn as L
 from rostercast.plans import monthly as M
@@ -210,3 +211,102 @@ FROM ex1 JOIN ex2 ON ex2.size = ex1.size AND ex2.held = ex1.held GROUP BY ex1.si
 def q_ols_curve(spark: SparkSession, sf_dir: str):
     train, _ = _split(spark, sf_dir)
     return round4(L.learning_curve(spark, train, ["calls"], L.linear_baseline))
+
+
+# --- J2: truth against given predictions, day by day ------------------------------------------------------------
+
+@register("j2_given_comparison", with_sql(S.modeling_ctes(SEGMENT), f"""e AS (SELECT series, CAST(sby_need AS DOUBLE) AS y, {sql_standin('n_sick')} AS p
+  FROM modeling WHERE {SQL_HOLDOUT})""") + """
+SELECT series, count(*) AS n, ROUND(avg(abs(y - p)), 4) AS mae, ROUND(avg((y - p) * (y - p)), 4) AS mse, ROUND(sqrt(avg((y - p) * (y - p))), 4) AS rmse,
+  ROUND(CASE WHEN var_pop(y) > 0 THEN 1 - avg((y - p) * (y - p)) / var_pop(y) WHEN avg((y - p) * (y - p)) = 0 THEN 1 ELSE 0 END, 4) AS r2 FROM e GROUP BY series""")
+def q_given_comparison(spark: SparkSession, sf_dir: str):
+    m = cut_lineage(modeling(spark, sf_dir, segment=True, columns=["sby_need", "n_sick", "n_sby"]).where(IN_HOLDOUT))
+    given = m.select("series", "date", standin("n_sick").alias("prediction"))
+    return round4(V.matched_metrics(m.withColumnRenamed("sby_need", "y"), given, ["series"]))
+
+
+# --- U1, O1, L10, O3: candidates given by their predictions ------------------------------------------------------
+
+# model, number of features, variant, factor of the stand-in prediction (the third and fourth tie)
+GIVEN = [("a", 1, "default", 0.020), ("a", 1, "tuned", 0.024), ("a", 2, "default", 0.026), ("a", 3, "tuned", 0.026),
+         ("b", 1, "default", 0.030), ("b", 2, "default", 0.028), ("b", 2, "tuned", 0.028)]
+
+
+@register("l10_given_selection", with_sql(S.modeling_ctes(), "c AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{m}', {n}, '{v}', CAST({f} AS DOUBLE))" for m, n, v, f in GIVEN) + ") t(model, n_features, variant, factor))",
+    f"""met AS (SELECT c.model, c.n_features, c.variant, count(*) AS n, avg(abs(sby_need - calls * factor)) AS mae, avg(power(sby_need - calls * factor, 2)) AS mse
+  FROM modeling, c WHERE {TRAIN} GROUP BY ALL)""",
+    """best AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY mse, n_features, CASE WHEN variant = 'default' THEN 0 ELSE 1 END) = 1 AS is_best,
+  row_number() OVER (ORDER BY mse, model, n_features, variant) AS place FROM met)""") + """
+SELECT model, CAST(n_features AS INTEGER) AS n_features, variant, n, ROUND(mae, 4) AS mae, ROUND(mse, 4) AS mse, is_best,
+  model || ' (' || n_features || ' features)' AS key, CAST(place AS INTEGER) AS place FROM best""")
+def q_given_selection(spark: SparkSession, sf_dir: str):
+    """Metric rows of given predictions, stacked, ranked by error, the best candidate of each model marked."""
+    m = cut_lineage(modeling(spark, sf_dir, columns=["calls", "sby_need", "n_sby"]).where(TRAIN))
+    rows = {}
+    for i, (_, _, _, factor) in enumerate(GIVEN):
+        given = m.select("date", F.col("sby_need").alias("y"), (F.col("calls") * F.lit(factor)).alias("prediction"))
+        rows[str(i)] = V.regression_metrics(given)
+    named = F.array(*[F.struct(F.lit(a).alias("model"), F.lit(n).alias("n_features"), F.lit(v).alias("variant")) for a, n, v, _ in GIVEN])
+    stacked = L.stack_results(rows).withColumn("c", F.get(named, F.col("model").cast("int"))).drop("model").select("c.*", "n", "mae", "mse")
+    marked = L.mark_best(stacked, "mse")
+    ranked = V.best_per_group(marked, [], ["mse", "model", "n_features", "variant"], "place")
+    return round4(ranked.select("model", "n_features", "variant", "n", "mae", "mse", "is_best", "key", "place"))
+
+
+# --- O1, O2, L8: given importances ---------------------------------------------------------------------------------
+
+@register("o2_given_importance", with_sql(S.modeling_ctes(), "i AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(corr({c}, sby_need)) AS importance FROM modeling WHERE {TRAIN}" for c in ("calls", "month", "n_sick", "week", "year")) + ")") + """
+SELECT feature, ROUND(importance, 4) AS importance, CAST(row_number() OVER (ORDER BY importance DESC NULLS LAST, feature) AS INTEGER) AS rank
+FROM i QUALIFY rank <= 3""")
+def q_given_importance(spark: SparkSession, sf_dir: str):
+    """The three features most correlated with the target, through the ranking and the selection of the model search."""
+    names = ["calls", "month", "n_sick", "week", "year"]
+    m = modeling(spark, sf_dir, columns=["calls", "sby_need", "n_sick", "n_sby"]).where(TRAIN)
+    given = X.corr_long(m, [*names, "sby_need"]).where("y = 'sby_need' and x <> 'sby_need'").select(F.col("x").alias("feature"), F.abs("r").alias("importance"))
+    ranked = cut_lineage(L.rank_importances(given))
+    return round4(ranked.where(F.col("feature").isin(L.top_features(ranked, 3))))
+
+
+# --- P16, L1, L12: least squares on all features, by the normal equations -----------------------------------------
+
+def _least_squares(features: list[str], rows: str, key: str = "date") -> list[str]:
+    """``co``: standardised means, deviations and coefficients (intercept first), by Gauss-Jordan elimination."""
+    n = len(features) + 1
+    z = ["CAST(1 AS DOUBLE)", *[f"(({f} - mu[{i + 1}]) / sd[{i + 1}])" for i, f in enumerate(features)]]
+    sums = ", ".join("[" + ", ".join([f"sum({a} * {b})" for b in z] + [f"sum({a} * sby_need)"]) + "]" for a in z)
+    return [f"st AS (SELECT [{', '.join(f'avg({f})' for f in features)}] AS mu, [{', '.join(f'stddev_samp({f})' for f in features)}] AS sd FROM {rows})",
+            f"m0 AS (SELECT [{sums}] AS m FROM {rows}, st)",
+            f"""el AS (SELECT 1 AS k, m FROM m0 UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k
+  THEN list_transform(r, lambda v: v / m[k][k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM el WHERE k <= {n})""",
+            f"co AS (SELECT list_transform(m, lambda r: r[{n + 1}]) AS b, mu, sd FROM el, st WHERE k = {n + 1})"]
+
+
+def _fitted(features: list[str]) -> str:
+    return "b[1] + " + " + ".join(f"b[{i + 2}] * ({f} - mu[{i + 1}]) / sd[{i + 1}]" for i, f in enumerate(features))
+
+
+EXTENDED = f"x AS (SELECT *, CAST(day(date) AS INTEGER) AS day, {S.week_of_month_expr('date')} AS week_of_month FROM modeling)"
+
+
+@register("p16_least_squares", "WITH RECURSIVE " + ",\n".join([
+    S.modeling_ctes(), EXTENDED, f"""sp AS (SELECT *, substr(md5(strftime(date, '%Y-%m-%d') || '|42'), 1, 8) < '33333333' AS is_test FROM x WHERE {TRAIN})""",
+    "tr AS (SELECT * FROM sp WHERE NOT is_test)", *_least_squares(L.ALL_FEATURES, "tr")]) + f"""
+SELECT date, ROUND({_fitted(L.ALL_FEATURES)}, 4) AS prediction FROM sp, co WHERE is_test""")
+def q_least_squares(spark: SparkSession, sf_dir: str):
+    """The linear baseline on the fixed list of 11 features, standardised: test predictions."""
+    m = cut_lineage(V.hash_split(modeling(spark, sf_dir, extended=True).where(TRAIN), ["date"]))
+    model = L.fit(m.where("not is_test"), L.ALL_FEATURES, L.linear_baseline())
+    return round4(L.score(model, m.where("is_test")).select("date", "prediction"))
+
+
+@register("l12_full_training", "WITH RECURSIVE " + ",\n".join([
+    S.modeling_ctes(SEGMENT), "tr AS (SELECT * FROM modeling WHERE date <= (SELECT CAST(date_trunc('month', max(date)) AS DATE) + 13 FROM modeling))",
+    *_least_squares(L.PROD_FEATURES, "tr")]) + f"""
+SELECT series, date, ROUND({_fitted(L.PROD_FEATURES)}, 4) AS prediction FROM modeling, co""")
+def q_full_training(spark: SparkSession, sf_dir: str):
+    """The production pipeline with a least-squares learner, trained on every row up to the dynamic cut-off, on all days."""
+    m = cut_lineage(modeling(spark, sf_dir, segment=True))
+    model = M.train_full(m, ["series"], estimator=L.linear_baseline())
+    return round4(L.score(model, m).select("series", "date", "prediction"))

@@ -197,7 +197,7 @@ def q_model_search(spark: SparkSession, sf_dir: str):
 @register("s5_model_roundtrip")
 def q_model_roundtrip(spark: SparkSession, sf_dir: str):
     train, test = _split(spark, sf_dir)
-    model = L.fit(train, L.PROD_FEATURES, L._gbt(maxIter=10, maxDepth=4))
+    model = L.fit(train, L.PROD_FEATURES, L._gbt(**L.PROD_PARAMS))
     path = os.path.join(ensure_checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
     L.save_model(model, path)
     again = L.load_model(path)
