@@ -41,6 +41,7 @@ from rostercast.llm.tokens import END_ID, vocabulary_path, word_ids
 
 BLOCK = 128
 WIDTH_PERCENTILE = 90
+TEXTS = 200  # texts whose unseen words are looked up together
 SEGMENT_IDS = 1 << 17  # a segment is closed once it holds so many ids
 MAGIC = b"PFOR"
 HEAD = struct.Struct("<4sHQI")
@@ -53,11 +54,16 @@ def bit_length(x: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.uint8)
 
 
-def bits_of(x: np.ndarray, width: int) -> np.ndarray:
-    """The low ``width`` bits of each value along a new last axis, high ones first."""
-    size = 2 if width <= 16 else 4
-    raw = x.astype(f">u{size}").view(np.uint8).reshape(*x.shape, size)
-    return np.unpackbits(raw, axis=-1)[..., 8 * size - width :]
+def packed(x: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each value of a row, high ones first; 8 values are ``width`` bytes."""
+    v = (x & ((1 << width) - 1)).astype(np.uint64).reshape(len(x), -1, 8)
+    out = np.zeros((*v.shape[:2], width), np.uint8)
+    for j in range(width):
+        for k in range(8 * j // width, (8 * j + 7) // width + 1):
+            shift = (k + 1) * width - 8 * (j + 1)
+            part = v[:, :, k] >> np.uint64(shift) if shift >= 0 else v[:, :, k] << np.uint64(-shift)
+            out[:, :, j] |= (part & np.uint64(255)).astype(np.uint8)
+    return out.reshape(len(x), -1)
 
 
 def values_of(raw: np.ndarray, width: int, block: int) -> np.ndarray:
@@ -86,21 +92,18 @@ def pack_image(doc_ids: list, lengths: list, ids: np.ndarray) -> bytes:
     index["low"], index["width"], index["odd"] = low, width, odd.sum(axis=1)
     sizes = width.astype(np.uint64) * (BLOCK // 8) + index["odd"].astype(np.uint64) * ODD.itemsize
     index["start"] = np.cumsum(sizes) - sizes
-    data = bytearray(int(sizes.sum()))
+    data = np.zeros(int(sizes.sum()), np.uint8)
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
         if w:
-            packed = np.packbits(bits_of(diff[own], int(w)).reshape(len(own), -1), axis=1)
-            for i, row in zip(own.tolist(), packed, strict=True):
-                at = int(index["start"][i])
-                data[at : at + len(row)] = row.tobytes()
+            data[index["start"][own].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)] = packed(diff[own], int(w))
     for i in np.flatnonzero(index["odd"]).tolist():
         where = np.flatnonzero(odd[i])
         patch = np.zeros(len(where), ODD)
         patch["at"], patch["value"] = where, diff[i, where]
         at = int(index["start"][i]) + int(width[i]) * (BLOCK // 8)
-        data[at : at + patch.nbytes] = patch.tobytes()
-    return HEAD.pack(MAGIC, BLOCK, n, len(docs)) + docs.tobytes() + index.tobytes() + bytes(data)
+        data[at : at + patch.nbytes] = patch.view(np.uint8)
+    return HEAD.pack(MAGIC, BLOCK, n, len(docs)) + docs.tobytes() + index.tobytes() + data.tobytes()
 
 
 def read_image(image: bytes, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -147,16 +150,18 @@ def write_token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str
                                                "image": pa.array([image], pa.binary())})
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = store.encode(t.as_py() or "") + end
-                keys.append(k)
-                counts.append(len(ids) // 4)
-                held.append(ids)
-                size += counts[-1]
-                if size >= SEGMENT_IDS:
-                    yield close()
-                    before, number = before + size, number + 1
-                    keys, counts, held, size = [], [], [], 0
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                encoded = store.encode_many([t or "" for t in some.column(1).to_pylist()])
+                for k, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
+                    keys.append(k)
+                    counts.append(len(ids) // 4 + 1)
+                    held += (ids, end)
+                    size += counts[-1]
+                    if size >= SEGMENT_IDS:
+                        yield close()
+                        before, number = before + size, number + 1
+                        keys, counts, held, size = [], [], [], 0
         if keys:
             yield close()
 
@@ -166,8 +171,11 @@ def write_token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str
      .mapInArrow(segments, SEGMENTS).write.parquet(path))
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, ids)`` of every document in the files; ids as little-endian unsigned 32-bit bytes."""
+def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """``(doc_id, start, ids)`` of every document in the files; ids as little-endian unsigned 32-bit bytes.
+
+    Without ``ids``, their number and the CRC-32 of these bytes instead: ``(doc_id, start, n_tokens, ids_crc32)``.
+    """
     files = spark.read.schema(SEGMENTS).parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each partition written
     starts = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
@@ -175,24 +183,27 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, before, image in zip(*(batch.column(i) for i in range(3)), strict=True):
-                docs, ids = read_image(image.as_py())
+                docs, values = read_image(image.as_py())
                 ends = np.cumsum(docs["n"].astype(np.int64))
                 starts = ends - docs["n"]
-                raw = ids.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array(np.full(len(docs), part.as_py(), np.int32)),
-                    "doc_id": pa.array(docs["id"], mask=docs["known"] == 0),
-                    "start": pa.array(starts + before.as_py()),
-                    "ids": pa.array([raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())})
-
+                raw = memoryview(values.astype("<u4").tobytes())
+                own = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                out = {"part": pa.array(np.full(len(docs), part.as_py(), np.int32)),
+                       "doc_id": pa.array(docs["id"], mask=docs["known"] == 0), "start": pa.array(starts + before.as_py())}
+                if ids:
+                    out["ids"] = pa.array([bytes(x) for x in own], pa.binary())
+                else:
+                    out |= {"n_tokens": pa.array(ends - starts), "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64())}
+                yield pa.RecordBatch.from_pydict(out)
+
+    values = ["ids binary"] if ids else ["n_tokens long", "ids_crc32 long"]
     return (files.select("part", "before", "image")
-            .mapInArrow(documents, "part int, doc_id long, start long, ids binary")
+            .mapInArrow(documents, ", ".join(["part int", "doc_id long", "start long", *values]))
             .join(F.broadcast(starts), "part")
-            .select("doc_id", (F.col("start") + F.col("part_start")).alias("start"), "ids"))
+            .select("doc_id", (F.col("start") + F.col("part_start")).alias("start"), *[v.split()[0] for v in values]))
 
 
 def op8_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
-    return read_token_files(spark, path).select(
-        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(spark, path, ids=False)

@@ -8,12 +8,12 @@ import numpy as np
 import pytest
 
 from conftest import SMOKE_DIR
-from llm_rows import no_docs, odd_docs  # noqa: F401
+from llm_rows import no_docs, odd_docs, words  # noqa: F401
 from rostercast.llm import fit_packing as packing
 from rostercast.llm import pfor_files as files
 from rostercast.llm import sampled_pieces as pieces
 from rostercast.llm.common import new_folder, table
-from rostercast.llm.tokens import vocabulary_path, word_ids
+from rostercast.llm.tokens import WordIds, vocabulary_path, word_ids
 
 
 @pytest.fixture(scope="module")
@@ -187,3 +187,10 @@ def test_token_file_query(spark, store):
         r = rows[d.doc_id]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_many_texts_at_once_equal_the_library(odd_docs):
+    texts = [r.text or "" for r in odd_docs.collect()] + [words(i, 200) + ", " + words(i + 1, 50) + "." for i in range(30)] + ["Größe naïve ª º straße. x", " a  b", "a b"]
+    store = WordIds(vocabulary_path())
+    want = [store.encode_whole(t) for t in texts]
+    assert WordIds(vocabulary_path()).encode_many(texts) == want == [store.encode(t) for t in texts]
