@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,13 @@ def placed(df: DataFrame, group: str, order: list[str]) -> DataFrame:
             .drop("_part", "_tie", "_local", "_before"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most ``rows`` rows, so that a worker works on few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Union-find as Spark joins: ``(node, root)`` for every node of ``edges``; root is the smallest node.
 

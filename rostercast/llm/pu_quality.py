@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rostercast.llm.common import table
+from rostercast.llm.common import sliced, table
 
 MAX_ROWS = 16_000  # of either sample, on average; a few hundred more can come by chance
 THRESHOLD = 0.7
@@ -167,16 +168,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, net: Network | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``(doc, score)``: the columns ``keep`` of every row (all by default) as a struct, and its score."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), F.col(text).alias("t"))
+    kept = list(keep or docs.columns)
+    # the text travels once: inside the struct where that holds it
+    inside = kept.index(text) if text in kept else None
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), *([F.col(f"`{text}`").alias("t")] if inside is None else []))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             s = np.full(b.num_rows, THRESHOLD)
-            if net is not None and b.num_rows:
-                s = net.scores(np.stack([features(t.as_py() or "") for t in b.column(1)]))
+            if net is not None:
+                texts = b.column(1) if inside is None else b.column(0).field(inside)
+                s = net.scores(np.stack([features(t.as_py() or "") for t in texts]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc", "score"])
 
-    return row.mapInArrow(scores, f"doc {row.schema['doc'].dataType.simpleString()}, score double")
+    return row.mapInArrow(scores, T.StructType([T.StructField("doc", row.schema["doc"].dataType), T.StructField("score", T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

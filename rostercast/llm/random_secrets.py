@@ -31,13 +31,15 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rostercast.llm.common import staged, table
+from rostercast.llm.common import sliced, staged, table
 
 MIN_RUN = 20
 FLOOR = 0.01
@@ -181,11 +183,12 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 TRIAL = "array<struct<start:int,end:int,class:int,bin:int,decoy:boolean>>"
 
 
-def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def scan(batches: Iterator[pa.RecordBatch], inside: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Base spans and trials of every text: the second column, or the struct's field ``inside``."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     trial = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.int32()), ("bin", pa.int32()), ("decoy", pa.bool_())]))
-    for batch in batches:
-        texts = [t.as_py() or "" for t in batch.column(1)]
+    for batch in sliced(batches):
+        texts = [t.as_py() or "" for t in (batch.column(1) if inside is None else batch.column(0).field(inside))]
         base = [base_spans(t) for t in texts]
         runs, kinds, of = [], [], []
         for i, t in enumerate(texts):
@@ -227,9 +230,12 @@ def thresholds(trials: DataFrame) -> dict[int, int]:
 
 def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``(doc, spans)``: the columns ``keep`` of every row (all by default) as a struct, and its spans ``(start, kind, end)`` in order."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), F.col(text).alias("t"))
-    kind = row.schema["doc"].dataType.simpleString()
-    found = staged(row.mapInArrow(scan, f"doc {kind}, base {SPAN}, trials {TRIAL}"), "secrets")
+    kept = list(keep or docs.columns)
+    # the text travels once: inside the struct where that holds it
+    inside = kept.index(text) if text in kept else None
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), *([F.col(f"`{text}`").alias("t")] if inside is None else []))
+    schema = T.StructType([T.StructField("doc", row.schema["doc"].dataType), *T.StructType.fromDDL(f"base {SPAN}, trials {TRIAL}").fields])
+    found = staged(row.mapInArrow(partial(scan, inside=inside), schema), "secrets")
     least = thresholds(found)
     bound: Column = F.lit(BINS)
     if least:
@@ -251,10 +257,10 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by ``MASK``; all columns stay."""
     found = find_secrets(docs, text)
-    place, kind = docs.columns.index(text), found.schema["doc"].dataType.simpleString()
+    place = docs.columns.index(text)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             doc, texts = batch.column(0), []
             for t, spans in zip(doc.field(place), batch.column(1), strict=True):
                 t, out, at = t.as_py(), [], 0
@@ -266,7 +272,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             fields = [pa.array(texts, doc.field(i).type) if i == place else doc.field(i) for i in range(doc.type.num_fields)]
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(doc.type))], ["doc"])
 
-    return found.mapInArrow(mask, f"doc {kind}").select("doc.*")
+    return found.mapInArrow(mask, T.StructType([found.schema["doc"]])).select("doc.*")
 
 
 def op5_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
