@@ -41,7 +41,6 @@ from rostercast.llm.tokens import END_ID, vocabulary_path, word_ids
 
 BLOCK = 128
 WIDTH_PERCENTILE = 90
-TEXTS = 200  # texts whose unseen words are looked up together
 SEGMENT_IDS = 1 << 17  # a segment is closed once it holds so many ids
 MAGIC = b"PFOR"
 HEAD = struct.Struct("<4sHQI")
@@ -56,14 +55,13 @@ def bit_length(x: np.ndarray) -> np.ndarray:
 
 def packed(x: np.ndarray, width: int) -> np.ndarray:
     """The low ``width`` bits of each value of a row, high ones first; 8 values are ``width`` bytes."""
-    v = (x & ((1 << width) - 1)).astype(np.uint64).reshape(len(x), -1, 8)
-    out = np.zeros((*v.shape[:2], width), np.uint8)
+    v = np.ascontiguousarray((x & x.dtype.type((1 << width) - 1)).reshape(len(x), -1, 8).transpose(2, 0, 1))
+    out = np.zeros((width, *v.shape[1:]), np.uint8)
     for j in range(width):
         for k in range(8 * j // width, (8 * j + 7) // width + 1):
             shift = (k + 1) * width - 8 * (j + 1)
-            part = v[:, :, k] >> np.uint64(shift) if shift >= 0 else v[:, :, k] << np.uint64(-shift)
-            out[:, :, j] |= (part & np.uint64(255)).astype(np.uint8)
-    return out.reshape(len(x), -1)
+            out[j] |= (v[k] >> shift if shift >= 0 else v[k] << -shift).astype(np.uint8)  # the low byte
+    return out.transpose(1, 2, 0).reshape(len(x), -1)
 
 
 def values_of(raw: np.ndarray, width: int, block: int) -> np.ndarray:
@@ -150,18 +148,16 @@ def write_token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str
                                                "image": pa.array([image], pa.binary())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(at, TEXTS)
-                encoded = store.encode_many([t or "" for t in some.column(1).to_pylist()])
-                for k, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
-                    keys.append(k)
-                    counts.append(len(ids) // 4 + 1)
-                    held += (ids, end)
-                    size += counts[-1]
-                    if size >= SEGMENT_IDS:
-                        yield close()
-                        before, number = before + size, number + 1
-                        keys, counts, held, size = [], [], [], 0
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = store.encode(t.as_py() or "")
+                keys.append(k)
+                counts.append(len(ids) // 4 + 1)
+                held += (ids, end)
+                size += counts[-1]
+                if size >= SEGMENT_IDS:
+                    yield close()
+                    before, number = before + size, number + 1
+                    keys, counts, held, size = [], [], [], 0
         if keys:
             yield close()
 

@@ -90,40 +90,12 @@ class WordIds(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit bytes."""
-        return self._joined(text, self._words(text))
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text; the words that none of them found in the store are merged in one call of the library."""
-        split = [self._words(t) for t in texts]
-        self._learn(set().union(*[w[1:] for w in split if w]))
-        return [self._joined(t, w) for t, w in zip(texts, split, strict=True)]
-
-    def _words(self, text: str) -> list[str] | None:
-        """The text at its spaces, or None where its words are not cut there."""
-        if not text or any(s in text for s in BEFORE_SPACE) or any(s in text for s in self.special):
-            return None
-        return text.split(" ")
-
-    def _joined(self, text: str, words: list[str] | None) -> bytes:
-        if words is None:
-            return self.encode_whole(text) if text else b""
-        return (self.encode_whole(words[0]) if words[0] else b"") + b"".join(map(self.__getitem__, words[1:]))
-
-    def _learn(self, words: set[str]) -> None:
-        cores = {w.rstrip(",.") for w in words.difference(self)}
-        cores = [c for c in cores if c not in self and c not in self.older and c.isalpha() and (c.isascii() or max(c) < "ɐ")]
-        if not cores:
-            return
-        found = self.whole.encode(" " + " ".join(cores), add_special_tokens=False)
-        ids, word = np.array(found.ids, dtype="<u4"), np.array(found.word_ids)
-        cut = [0, *(np.flatnonzero(np.diff(word)) + 1).tolist(), len(ids)]
-        if len(cut) != len(cores) + 1:
-            return  # the library cut them elsewhere: they are merged one by one
-        if len(self) + len(cores) >= MAX_WORDS:
-            self.older = dict(self)
-            self.clear()
-        raw = ids.tobytes()
-        self.update((c, raw[4 * a : 4 * b]) for c, a, b in zip(cores, cut[:-1], cut[1:], strict=True))
+        if not text:
+            return b""
+        if any(s in text for s in BEFORE_SPACE) or any(s in text for s in self.special):
+            return self.encode_whole(text)
+        first, *rest = text.split(" ")
+        return (self.encode_whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
