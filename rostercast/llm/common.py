@@ -70,6 +70,19 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def row_sample(rows: DataFrame, most: int) -> DataFrame:
+    """Different rows of ``rows``: ``most`` of them on average, all if there are fewer.
+
+    The draw is a hash of all columns, and the share follows from an estimate of how many different rows there are, so a
+    row or an id that comes a million times neither fills the sample nor empties it.
+    """
+    h = F.xxhash64(F.lit("sample"), *[F.col(f"`{c}`") for c in rows.columns])
+    different = rows.agg(F.approx_count_distinct(h, 0.02)).first()[0]
+    share = min(1.0, most / max(different, 1))
+    drawn = rows.withColumn("_h", h).where(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    return drawn.dropDuplicates(["_h"]).drop("_h")
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Union-find as Spark joins: ``(node, root)`` for every node of ``edges``; root is the smallest node.
 
