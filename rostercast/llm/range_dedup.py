@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostercast.llm.common import connected_components, staged, table
-from rostercast.llm.vectors import hashed_sample, matrix, valid_vectors
+from rostercast.llm.common import connected_components, row_sample, staged, table
+from rostercast.llm.vectors import matrix, valid_vectors
 
 COSINE = 0.95
 BLOCK = 8192
@@ -120,7 +120,7 @@ def range_links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = nodes.count()
     most = min(MAX_PIVOTS, max(1, rows // BLOCK))
     sample: dict[int, list[bytes]] = {}
-    for v in sorted(bytes(r.v) for r in hashed_sample(nodes.select("id", "v"), "id", 4 * most + 64, rows).collect()):  # about that many
+    for v in sorted(bytes(r.v) for r in row_sample(nodes.select("id", "v"), 4 * most + 64).collect()):  # about that many
         sample.setdefault(len(v), []).append(v)
     pivots = {n: spread_pivots(unit(np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1)), most) for n, v in sample.items()}
 
@@ -141,7 +141,7 @@ def range_links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     held = staged(nodes.select("id", "copies", "v").mapInArrow(placed, "id long, copies long, v binary, cell long, home boolean"), "cells")
     # one row for each pivot
     sizes = held.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("homes"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all"))
-    held = held.join(F.broadcast(sizes), "cell").withColumn("at", F.xxhash64("id"))
+    held = held.join(F.broadcast(sizes), "cell").withColumn("at", F.xxhash64("id", "v"))
     # blocks by hash; each of a cell's home blocks meets each block of all its rows
     home = held.where("home").withColumn("i", F.expr("cast(pmod(at, homes) as int)")).withColumn("j", F.explode(F.expr("sequence(0, `all` - 1)")))
     every = held.where("homes > 0").withColumn("j", F.expr("cast(pmod(at, `all`) as int)")).withColumn("i", F.explode(F.expr("sequence(0, homes - 1)")))

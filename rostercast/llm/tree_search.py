@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rostercast.llm.common import staged, table
-from rostercast.llm.vectors import hashed_sample, matrix, valid_vectors
+from rostercast.llm.common import row_sample, staged, table
+from rostercast.llm.vectors import matrix, valid_vectors
 
 SAMPLE = 20_000
 BRANCH, LEAF, LEAST = 8, 1024, 8  # children of a node, rows of a leaf, sample rows that a split needs
@@ -170,7 +170,7 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     valid = valid.where(F.col("size") == usual["size"])
-    sample = sorted(bytes(r.v) for r in hashed_sample(valid.select("id", "v"), "id", SAMPLE, usual["count"]).collect())  # about SAMPLE rows
+    sample = sorted(bytes(r.v) for r in row_sample(valid.select("id", "v"), SAMPLE).collect())  # about SAMPLE rows
     x = np.frombuffer(b"".join(sample), np.float64).reshape(-1, usual["size"] // 8)
     tree = Tree(x if len(x) else np.zeros((1, usual["size"] // 8)), usual["count"] / max(len(x), 1))
 
@@ -182,7 +182,7 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     placed = staged(valid.select("id", "v").mapInArrow(descend, "id long, v binary, leaf long"), "leaves")
     filled = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # the tree's leaves at most
     queries = placed.where(F.col("id") % every == 0).select("id", "v").dropDuplicates(["id"])
-    trials = [(r.id, bytes(r.v)) for r in hashed_sample(queries, "id", TRIALS, queries.count()).orderBy("id").limit(2 * TRIALS).collect()]
+    trials = [(r.id, bytes(r.v)) for r in row_sample(queries, TRIALS).orderBy("id").limit(2 * TRIALS).collect()]
     visits = visits_needed(tree, trials, placed, k) if trials else tree.leaves
 
     def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     # blocks and groups by hash; each of a leaf's groups of queries meets each of its blocks
     visited = (walked.select("query_id", "q", F.explode("leaves").alias("leaf")).join(F.broadcast(blocks), "leaf").withColumn("part", F.expr("cast(pmod(xxhash64(query_id), groups) as int)"))
                .select("leaf", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "part", "query_id", "q"))
-    held = (placed.join(F.broadcast(blocks), "leaf").where("groups > 0").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    held = (placed.join(F.broadcast(blocks), "leaf").where("groups > 0").withColumn("block", F.expr("cast(pmod(xxhash64(id, v), blocks) as int)"))
             .select("leaf", "block", F.explode(F.expr("sequence(0, groups - 1)")).alias("part"), "id", "v"))
     keys = ["leaf", "block", "part"]
 

@@ -42,9 +42,3 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Equal-length vectors, one a row."""
     parts = [x.as_py() for x in column]
     return np.frombuffer(b"".join(parts), np.float64).reshape(len(parts), -1) if parts else np.zeros((0, 0))
-
-
-def hashed_sample(rows: DataFrame, column: str, most: int, count: int) -> DataFrame:
-    """A share of the rows by a hash of ``column``: ``most`` on average, all if there are fewer."""
-    share = min(1.0, most / max(count, 1))
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), column), F.lit(1 << 30)) < int(share * (1 << 30)))

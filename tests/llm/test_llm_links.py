@@ -224,6 +224,17 @@ def test_nearest_of_odd_rows(spark):
     assert search.nearest(vector_table(spark, ODD).limit(0)).count() == 0
 
 
+def test_an_id_with_most_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8))
+    rows = [(7 if i % 3 else 100 * (i % 9), v.tolist()) for i, v in enumerate(x)]
+    got = search.nearest(vector_table(spark, rows)).collect()
+    assert {r.query_id for r in got} == {100 * i for i in range(0, 9, 3)}
+    own = [(7, x[1].tolist()), (7, (2 * x[1]).tolist()), (7, x[2].tolist()), (8, x[2].tolist())] + [(7, v.tolist()) for v in x[:500]]
+    found = {(r.vec_id, r.component_id) for r in ranges.range_duplicates(vector_table(spark, own)).collect()}
+    assert found == {(7, 7), (8, 7)}
+
+
 def test_ties_go_to_the_smaller_id(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 8)
     rows = [(i, [1.0, float(i % 2)]) for i in range(0, 300)]
