@@ -12,8 +12,9 @@ The walk needs counts only, one for each arc (``shards * VNODES`` of them,
 whatever the input): it is one SQL ``aggregate`` over the sorted counts.  It
 yields intervals ``(arc, from, to) -> shard, first slot`` of key ranks inside an
 arc, and rows find their interval by an equi-join on the arc.  Ranks come from
-counts of small cells (an arc's positions split further), so no window covers a
-whole arc; the texts themselves are not shuffled, only their size and checksum.
+counted ranges of (arc, position, id, checksum), so neither a full arc nor an id
+with a third of all rows meets in one task; the texts themselves are not
+shuffled, only their size and checksum.
 
 Null ids lie at the position of the empty string, null texts have 0 bytes, and
 repeated rows count as rows of their own.  No rows give no shards.
@@ -21,16 +22,15 @@ repeated rows count as rows of their own.  No rows give no shards.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostercast.llm.common import staged, table
+from rostercast.llm.common import placed, staged, table
 
 SHARDS = 40
 VNODES = 48
 ROW_BYTES = 16  # counted for a row besides its text
 RING = 1 << 32
-CELLS = 64  # cells of an arc's positions, for ranks
 
 
 def ring_position(key: Column) -> Column:
@@ -111,24 +111,18 @@ def ring_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shards
     slice_ = RING // 4096
     by_slice = points.select("arc", "low", "high", F.explode(F.sequence(
         F.expr(f"low div {slice_}"), F.expr(f"greatest(high - 1, low) div {slice_}"))).alias("_slice"))
-    rows = staged(
+    rows = (
         rows.withColumn("_slice", F.expr(f"_at div {slice_}"))
         .join(F.broadcast(by_slice), "_slice")  # shards * vnodes + 4096 rows at most
         .where("_at >= low and _at < high")
-        .withColumn("_cell", F.expr(f"cast((_at - low) * {CELLS} div (high - low) as int)"))
-        .select("_key", "size", "text_crc32", "_at", "arc", "_cell"), "keys")
-    cells = rows.groupBy("arc", "_cell").agg(F.count(F.lit(1)).alias("n"))  # arcs * CELLS rows at most
-    in_arc = cells.groupBy("arc").agg(F.sort_array(F.collect_list(F.struct("_cell", "n"))).alias("c"), F.sum("n").alias("n"))
-    first = in_arc.select("arc", F.explode(F.expr(
-        "transform(c, (x, i) -> named_struct('_cell', x._cell, 'first', aggregate(slice(c, 1, i), 0L, (a, y) -> a + y.n)))")
-    ).alias("x")).select("arc", "x.*")
-    counts = points.join(in_arc.select("arc", "n"), "arc", "left").select("arc", "owner", F.coalesce("n", F.lit(0)).alias("n"))
+        .select("_key", "size", "text_crc32", "_at", "arc"))
+    ranked = staged(placed(rows, "arc", ["_at", "_key", "text_crc32", "size"]), "ranks")
+    in_arc = ranked.groupBy("arc").agg(F.count(F.lit(1)).alias("n"))
+    counts = points.join(in_arc, "arc", "left").select("arc", "owner", F.coalesce(in_arc.n, F.lit(0)).alias("n"))
     plan = staged(place(counts, shards), "plan")
-    rank = F.row_number().over(Window.partitionBy("arc", "_cell").orderBy("_at", "_key", "text_crc32", "size"))
-    ranked = rows.withColumn("_r", rank).join(F.broadcast(first), ["arc", "_cell"]).withColumn("_r", F.col("_r") - 1 + F.col("first"))
     # the plan has at most 3 * (arcs + 1) intervals
-    return (ranked.join(F.broadcast(plan), "arc").where("_r >= lo and _r < hi")
-            .select(F.col("_key").alias(key), "size", "text_crc32", "shard", (F.col("slot") + F.col("_r") - F.col("lo")).alias("slot")))
+    return (ranked.join(F.broadcast(plan), "arc").where("idx >= lo and idx < hi")
+            .select(F.col("_key").alias(key), "size", "text_crc32", "shard", (F.col("slot") + F.col("idx") - F.col("lo")).alias("slot")))
 
 
 def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
