@@ -6,8 +6,8 @@ cut: into pieces of ``SEQUENCE`` ids, the first one taking what is left over.
 How many pieces of each length there are (``SEQUENCE`` counts at most, whatever
 the input) decides the packing, so it is planned on counts: for each length, from
 long to short, combinations of one, two or three shorter lengths that fill its gap
-exactly are looked up by their sum and consumed as often as all of their lengths
-are available.  What has no exact complement goes, from long to short, to the open
+exactly are looked up by their sum in an index of the singles, pairs and triples that are
+available, and consumed as often as all of their lengths are; the index follows the counts.  What has no exact complement goes, from long to short, to the open
 sequence with the smallest gap that still takes it, and only then to a new one.
 Pairs and triples can spend short pieces that best fit would have used better, so
 the plan is made for combinations of up to three, two and one, and the one with
@@ -49,39 +49,71 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 
 class Complements:
-    """Available lengths, and the combinations of one to three of them with a given sum."""
+    """Available lengths, and an index from a sum to the singles, pairs and triples of them that make it.
+
+    ``n[s]`` counts the single length ``s``.  ``pairs[s, a]`` says that the pair ``(a, s - a)``, a the shorter, is
+    available, and ``longest[s]`` is the largest such ``a`` (0: none).  A triple of sum ``s`` is its shortest
+    length ``c`` with a pair of sum ``s - c`` and no member under ``c``, so ``longest[s - c]`` tells for all ``c`` at
+    once which triples there are.  Only whether a length is there once, twice or three times matters; the index is
+    brought up to date whenever a count crosses one of these.
+    """
 
     def __init__(self, counts: dict[int, int], size: int):
+        self.size = size
         self.n = np.zeros(size + 1, np.int64)
         for length, k in counts.items():
             self.n[length] = k
+        there = self.n > 0
+        total, a = np.arange(size + 1)[:, None], np.arange(size // 2 + 1)[None, :]
+        b = np.maximum(total - a, 0)
+        self.pairs = there[a] & there[b] & (a > 0) & (a <= b) & ((a < b) | (self.n[a] > 1))
+        self.longest = (self.pairs * a).max(axis=1)
+
+    def put(self, x: int, count: int) -> None:
+        """Set the count of length ``x`` and bring the pairs that it is part of up to date."""
+        before, self.n[x] = self.n[x], count
+        if min(before, 2) == min(count, 2):
+            return
+        other = np.arange(1, self.size - x + 1)
+        total, short = other + x, np.minimum(other, x)
+        now = (self.n[other] > 0) & (count > 0) & ((other != x) | (count > 1))
+        gone = total[~now & (self.longest[total] == short) & self.pairs[total, short]]
+        self.pairs[total, short] = now
+        self.longest[total[now]] = np.maximum(self.longest[total[now]], short[now])
+        last = self.pairs[gone, ::-1].argmax(axis=1)
+        self.longest[gone] = np.where(self.pairs[gone].any(axis=1), self.pairs.shape[1] - 1 - last, 0)
 
     def pair(self, total: int, least: int = 1) -> tuple[int, int] | None:
         """The pair with the longest member, no member under ``least``."""
-        a = np.arange(least, total // 2 + 1)
-        free = (self.n[a] > 0) & (self.n[total - a] > 0) & ((a * 2 != total) | (self.n[a] > 1))
-        return (int(total - a[free][0]), int(a[free][0])) if free.any() else None
+        if self.longest[total] < least:
+            return None
+        a = least + int(self.pairs[total, least:].argmax())
+        return total - a, a
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """The triple with the smallest shortest member, and with the longest member among these."""
+        c = np.arange(1, total // 3 + 1)
+        b = total - 2 * c  # the longest of (c, c, b)
+        twice = (self.n[c] > 1) & (self.n[b] > 0) & ((b != c) | (self.n[c] > 2))
+        found = np.flatnonzero((self.n[c] > 0) & ((self.longest[total - c] > c) | twice))
+        if not len(found):
+            return None
+        at = int(found[0])
+        x = int(c[at])
+        return (int(b[at]), x, x) if twice[at] else (*self.pair(total - x, x + 1), x)
 
     def find(self, gap: int, parts: int = 3) -> tuple[int, ...] | None:
         """A combination of at most ``parts`` available lengths whose sum is ``gap``."""
         if gap > 0 and self.n[gap]:
             return (gap,)
-        if parts > 1 and (found := self.pair(gap)):
-            return found
-        for c in () if parts < 3 else np.flatnonzero(self.n[: gap // 3 + 1]).tolist():  # the shortest of three
-            self.n[c] -= 1
-            found = self.pair(gap - c, c)
-            self.n[c] += 1
-            if found:
-                return (*found, c)
-        return None
+        return (self.pair(gap) if parts > 1 else None) or (self.triple(gap) if parts > 2 else None)
 
     def take(self, lengths: tuple[int, ...]) -> int:
         """How often the combination is available; those pieces are used up."""
         need = {x: lengths.count(x) for x in lengths}
         times = min(int(self.n[x]) // k for x, k in need.items())
         for x, k in need.items():
-            self.n[x] -= times * k
+            self.put(x, int(self.n[x]) - times * k)
         return times
 
 
@@ -113,9 +145,10 @@ def plan_with(counts: dict[int, int], size: int, parts: int) -> Patterns:
         patterns.append(((size,), left.take((size,))))
     for length in range(size - 1, 0, -1):
         while left.n[length]:
-            left.n[length] -= 1  # the piece itself is no part of its complement
+            here = int(left.n[length])
+            left.put(length, here - 1)  # the piece itself is no part of its complement
             found = left.find(size - length, parts)
-            left.n[length] += 1
+            left.put(length, here)
             if not found:
                 break
             patterns.append(((length, *found), left.take((length, *found))))
