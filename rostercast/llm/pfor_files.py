@@ -1,7 +1,8 @@
 """Token-id files of patched frame-of-reference blocks.
 
 Documents are put in ascending order of their id by a range partitioning (sorted
-inside each partition), encoded, and written as segments of whole documents.  A
+inside each partition; rows of one id by a hash of the text and their place in
+the table, so that such an id may span partitions), encoded, and written as segments of whole documents.  A
 segment is one binary image::
 
     magic, block length, tokens, documents
@@ -163,7 +164,8 @@ def write_token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     n = partitions(docs.sparkSession)
     (docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-     .repartitionByRange(n, "k").sortWithinPartitions("k", "t")
+     .withColumns({"h": F.xxhash64("t"), "tie": F.monotonically_increasing_id()})
+     .repartitionByRange(n, "k", "h", "tie").sortWithinPartitions("k", "h", "tie").select("k", "t")
      .mapInArrow(segments, SEGMENTS).write.parquet(path))
 
 

@@ -1,11 +1,13 @@
 """Operators on token ids: sampled pieces (1), packing (2), token files (8)."""
 
+import itertools
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMOKE_DIR
 from llm_rows import no_docs, odd_docs  # noqa: F401
@@ -106,6 +108,26 @@ def test_plan_uses_every_piece_once(seed):
     assert sum(k for _, k in plan) <= max(sum(k for _, k in plain), -(-int(lengths.sum()) // size) + 1)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_sum_index_equals_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    size = int(rng.choice([6, 17, 40]))
+    index = packing.Complements({int(x): int(k) for x, k in zip(range(1, size + 1), rng.integers(0, 4, size), strict=True)}, size)
+    for _ in range(60):
+        index.put(int(rng.integers(1, size + 1)), int(rng.integers(0, 5)))
+        there = [x for x in range(1, size + 1) for _ in range(min(3, index.n[x]))]
+        made = {k: {tuple(sorted(c)) for c in itertools.combinations(there, k)} for k in (2, 3)}
+        for total in range(size + 1):
+            pairs, triples = ([c for c in made[k] if sum(c) == total] for k in (2, 3))
+            found = index.pair(total)
+            assert found == (max(pairs, key=lambda c: c[-1])[::-1] if pairs else None)
+            found = index.triple(total)
+            assert (found is None) == (not triples)
+            if triples:
+                assert tuple(sorted(found)) == min(triples, key=lambda c: (c[0], -c[-1]))
+            assert (index.find(total) is None) == (not (pairs or triples or (total and index.n[total])))
+
+
 def check_packing(rows, docs, store, size):
     by_doc = {}
     for r in rows:
@@ -179,6 +201,20 @@ def test_token_files_of_odd_rows(spark, odd_docs, no_docs, store):
         assert Counter((r.doc_id, bytes(r.ids)) for r in got) == want
 
 
+def test_an_id_with_all_rows_spans_partitions(spark, store, tmp_path):
+    docs = spark.createDataFrame([(7, f"text {i % 50} of one id") for i in range(4000)], "doc_id long, text string").repartition(4)
+    path = str(tmp_path / "hot")
+    files.write_token_files(docs, path)
+    parts = [r.n for r in spark.read.parquet(path).groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(parts) == 4000 and max(parts) < 2000
+    got = files.read_token_files(spark, path).collect()
+    assert Counter(bytes(r.ids) for r in got) == Counter(whole_ids(store, d.text).tobytes() for d in docs.collect())
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += len(r.ids) // 4
+
+
 def test_token_file_query(spark, store):
     rows = {r.doc_id: r for r in files.op8_pfor_token_files(spark, SMOKE_DIR).collect()}
     at = 0
