@@ -7,7 +7,7 @@ of link text and place), and a bidirectional LSTM reads the blocks of the whole
 page in both directions before it decides on each one, so a block is judged by
 what surrounds it.
 
-The network is trained on a hashed sample of about ``TRAIN_PAGES`` pages.  A
+The network is trained on about ``TRAIN_PAGES`` different pages, drawn by a hash of their text.  A
 transparent teacher marks their blocks by telling names in the tag path, and by
 length, links and place where the path says nothing: long unlinked blocks, the blocks
 between two of them in the same parent, and headings right above; variants of the pages with renamed
@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rostercast.llm.common import table
+from rostercast.llm.common import row_sample, table
 
 TRAIN_PAGES = 250
 VARIANTS = 3
@@ -349,15 +350,13 @@ def trained(pages: list[str]) -> Labeller:
     return net
 
 
-def main_text(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
-    """``pages`` with a column ``text`` in place of ``page``."""
-    rows = pages.count()
-    share = min(1.0, TRAIN_PAGES / max(rows, 1))
-    by_hash = F.pmod(F.xxhash64(F.lit("train"), F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = sorted(r.h for r in pages.where(by_hash).select(F.col(page).alias("h")).where("h is not null").collect())  # about TRAIN_PAGES
+def main_text(pages: DataFrame, page: str = "html") -> DataFrame:
+    """``pages`` with a column ``text`` in place of ``page``; an older column ``text`` gives way, all others stay whatever their names."""
+    sample = sorted(r.h for r in row_sample(pages.select(F.col(f"`{page}`").alias("h")).where("h is not null"), TRAIN_PAGES).collect())  # about TRAIN_PAGES
     net = trained(sample) if sample else Labeller()
     others = [c for c in pages.columns if c not in (page, "text")]
-    row = pages.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(page).alias("h"))
+    row = pages.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{page}`").alias("h"))
+    out = T.StructType([T.StructField("row", row.schema["row"].dataType), T.StructField("text", T.StringType())])
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -367,7 +366,7 @@ def main_text(pages: DataFrame, key: str = "page_id", page: str = "html") -> Dat
                 texts = ["\n\n".join(b[0] for b, mark in zip(page_, marks) if mark) for page_, marks in zip(read, net.chosen(read), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    return row.mapInArrow(extracted, f"row {row.schema['row'].dataType.simpleString()}, text string").select("row.*", "text")
+    return row.mapInArrow(extracted, out).select("row.*", "text")
 
 
 def op4_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
