@@ -6,7 +6,7 @@ A small network minimises the non-negative unbiased risk
 
     prior * R+(P) + max(0, R-(U) - prior * R-(P))
 
-over hashed samples of both (``MAX_ROWS`` rows each, the documented bound).  The class
+over hashed samples of both (``MAX_ROWS`` different rows of id and text each, the documented bound).  The class
 prior is estimated first: a network that tells P from U ranks held-back halves of
 both, and the least ratio of the shares of U and P above a score, over all scores
 with enough positives, bounds the share of positives in U.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostercast.llm.common import sliced, table
+from rostercast.llm.common import row_sample, sliced, table
 
 MAX_ROWS = 16_000  # of either sample, on average; a few hundred more can come by chance
 THRESHOLD = 0.7
@@ -135,12 +135,6 @@ def crc(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")), F.lit(0))
 
 
-def sampled(key: str, rows: int) -> Column:
-    """True for a hashed share of the rows, ``MAX_ROWS`` of ``rows`` on average."""
-    share = min(1.0, MAX_ROWS / max(rows, 1))
-    return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < int(share * (1 << 30))
-
-
 def feature_rows(texts: DataFrame) -> np.ndarray:
     """Features of a sample's texts, ordered so that equal samples give equal arrays."""
 
@@ -156,11 +150,10 @@ def feature_rows(texts: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Network | None:
     """The classifier for ``docs``, or None without trusted positives."""
     train_fold = crc(F.col(key)) % FOLDS != HELD_OUT
-    trusted = labels.where((F.col("quality") == 1) & train_fold).select(key).distinct()
-    trusted = trusted.where(sampled(key, trusted.count()))  # about MAX_ROWS ids
+    trusted = row_sample(labels.where((F.col("quality") == 1) & train_fold).select(key), MAX_ROWS)  # about MAX_ROWS ids
     texts = docs.select(F.col(key), F.col(text).alias("t"))
-    p = feature_rows(texts.join(F.broadcast(trusted), key).select("t"))
-    u = feature_rows(texts.where(sampled(key, texts.count()) & train_fold).select("t"))
+    p = feature_rows(row_sample(texts.join(F.broadcast(trusted), key), MAX_ROWS).select("t"))
+    u = feature_rows(row_sample(texts.where(train_fold), MAX_ROWS).select("t"))
     if not len(p) or not len(u):
         return None
     return train(p, u, class_prior(p, u))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMOKE_DIR
 from llm_rows import no_docs, odd_docs  # noqa: F401
@@ -16,7 +17,7 @@ from rostercast.llm import block_labeller as pages
 from rostercast.llm import pu_quality as quality
 from rostercast.llm import random_secrets as secrets
 from rostercast.llm import ring_shards as ring
-from rostercast.llm.common import table
+from rostercast.llm.common import row_sample, table
 
 
 # 5: secrets
@@ -179,6 +180,16 @@ def test_shards_of_odd_rows(odd_docs, no_docs):
     assert ring.ring_shards(no_docs).count() == 0
 
 
+def test_an_id_with_all_rows_is_ranked_in_many_tasks(spark):
+    docs = spark.createDataFrame([(7 if i % 4 else i, "x" * (i % 90)) for i in range(6000)], "doc_id long, text string").repartition(4)
+    got = ring.ring_shards(docs, shards=5)
+    rows = got.collect()
+    check_shards(rows, 5)
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter((d.doc_id, len(d.text) + 16) for d in docs.collect())
+    want = brute_ring([(int(hashlib.md5(str(d.doc_id).encode()).hexdigest()[:8], 16), d.doc_id) for d in docs.collect()], 5, ring.VNODES)
+    assert sum(want.values()) == len(rows)
+
+
 def test_one_more_row_moves_little(spark):
     docs = spark.range(4000).selectExpr("id as doc_id", "'x' as text")
     a = {r.doc_id: r.shard for r in ring.ring_shards(docs, shards=8).collect()}
@@ -292,6 +303,29 @@ def test_odd_pages(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_pages_of_one_id_and_odd_column_names(spark):
+    d = "/root/testdata/sf0.01"
+    whole = table(spark, d, "pages")
+    want = {r.html: r.text for r in pages.main_text(whole.select("html", F.col("html").alias("again"))).select(F.col("again").alias("html"), "text").collect()}
+    for one in (7, 125):
+        df = whole.select(F.lit(one).alias("page_id"), "html", F.col("html").alias("a b"), F.lit(1).alias("a-b"), F.lit("old").alias("text"))
+        got = pages.main_text(df)
+        assert got.columns == ["page_id", "a b", "a-b", "text"]
+        assert all(r.text == want[r["a b"]] for r in got.collect())
+    # one page many times, and one page only: the labeller is trained all the same
+    copies = spark.range(300).select("id", F.lit(OTHER).alias("html"))
+    assert len({r.text for r in pages.main_text(copies).collect()}) == 1
+
+
+def test_samples_take_different_rows(spark):
+    hot = spark.range(20_000).select(F.lit(5).alias("id"), F.lit("copy").alias("t"))
+    rare = spark.range(3000).select(F.lit(5).alias("id"), F.concat(F.lit("t"), "id").alias("t"))
+    assert row_sample(hot, 100).count() == 1
+    assert 60 < row_sample(hot.union(rare), 100).count() < 150
+    assert row_sample(rare, 10_000).count() == 3000
+    assert row_sample(rare.limit(0), 10).count() == 0
+
+
 # 10: quality
 
 def test_quality_on_the_held_out_fold(spark):
@@ -320,3 +354,11 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     nothing = quality.keep_good(odd_docs, labels.limit(0))
     assert nothing.schema == odd_docs.schema and nothing.count() == odd_docs.count()
     assert quality.keep_good(no_docs, labels).count() == 0
+
+
+def test_quality_of_one_id_and_odd_column_names(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select(F.lit(1).alias("doc_id"), "text", F.col("text").alias("a b"), F.lit(2).alias("a-b"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.keep_good(docs, labels)
+    assert got.columns == docs.columns and got.count() <= docs.count()
+    assert quality.fit(docs, labels) is not None
