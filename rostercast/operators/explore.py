@@ -34,21 +34,23 @@ def pearson(x: str, y: str) -> F.Column:
 def corr_long(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
     """Long ``(keys…, x, y, r)`` with both triangles and the diagonal.
 
-    One aggregate with one expression per column pair (i < j): a single pass,
-    partial aggregation everywhere, no pair explosion of the rows.
+    Every row comes once for each column x and is aggregated by x, with one
+    expression for each column y: the aggregate is as wide as the list of columns,
+    not as their pairs, and after the map-side combine a task hands on one row for
+    each column (and key).  An empty table has no correlations.
     """
     keys = keys or []
-    aggs, entries = [], []
-    for i, ci in enumerate(cols):
-        aggs.append(F.when(F.stddev_pop(F.col(ci).cast("double")) > 0, F.lit(1.0)).alias(f"_d{i}"))
-        entries.append(F.struct(F.lit(ci).alias("x"), F.lit(ci).alias("y"), F.col(f"_d{i}").alias("r")))
-        for j in range(i + 1, len(cols)):
-            cj = cols[j]
-            aggs.append(pearson(ci, cj).alias(f"_r{i}_{j}"))
-            entries.append(F.struct(F.lit(ci).alias("x"), F.lit(cj).alias("y"), F.col(f"_r{i}_{j}").alias("r")))
-            entries.append(F.struct(F.lit(cj).alias("x"), F.lit(ci).alias("y"), F.col(f"_r{i}_{j}").alias("r")))
-    grouped = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    return grouped.select(*keys, F.inline(F.array(*entries)))
+    values = [F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(cols)]
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_v{i}").alias("_x")) for i in range(len(cols))]))
+    long = df.select(*keys, *values).select("*", each)
+    by_x = long.groupBy(*keys, "_i").agg(*[pearson("_x", f"_v{j}").alias(f"_r{j}") for j in range(len(cols))])
+    upper = by_x.select(*keys, "_i", F.posexplode(F.array(*[f"_r{j}" for j in range(len(cols))])).alias("_j", "r")).where("_j >= _i")
+    # a column's correlation with itself is 1, whatever the rounding; other pairs come both ways with the same value
+    name = lambda i: F.element_at(F.array(*[F.lit(c) for c in cols]), F.col(i) + 1)
+    pair = lambda i, j, r: F.struct(name(i).alias("x"), name(j).alias("y"), r.alias("r"))
+    r = F.col("r")
+    return upper.select(*keys, F.inline(F.when(F.col("_i") == F.col("_j"), F.array(pair("_i", "_j", F.when(r.isNotNull(), F.lit(1.0)))))
+                                        .otherwise(F.array(pair("_i", "_j", r), pair("_j", "_i", r)))))
 
 
 # --- G2-G6: group means and pivots ---------------------------------------------------------------------
