@@ -46,6 +46,7 @@ ROWS, MISS = 5, 1e-7
 CHUNK = 100_000  # shingles that go through SuperMinHash together
 GROWTH = 8
 RARE = 64
+HEAVY = 4096  # a bucket with this part of all members or more is heavy; there are at most so many
 
 FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -188,6 +189,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                   .select("a", "b", "x", "y").mapInArrow(meet, "a long, b long"), "links")
 
 
+def with_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``members`` joined with the one row of their bucket; ``buckets`` has ``band`` and ``size``, its number of members.
+
+    Heavy buckets, ``HEAVY`` at most as their sizes sum to the members, are broadcast and their members stay where they
+    are; only those of the other buckets are shuffled, so no task gets a large part of the rows.
+    """
+    heavy = staged(buckets.where(F.col("size") * HEAVY >= members.count()), "heavy")
+    light = members.join(F.broadcast(heavy.select("band")), "band", "left_anti").join(buckets, "band")
+    return members.join(F.broadcast(heavy), "band").unionByName(light)
+
+
 def rare_shingles(ids: DataFrame, sets: DataFrame) -> DataFrame:
     """``(doc_id, s)``: the shingles of documents ``ids`` that ``RARE`` of them have at most, staged."""
 
@@ -215,7 +227,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # buckets of several documents, and the least document of each
     least = (members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("b"), F.min_by("n", "doc_id").alias("nb"))
              .where("size > 1"))
-    members = staged(members.join(least, "band"), "buckets")
+    members = staged(with_bucket(members, staged(least, "least")), "buckets")
     sets = shingle_sets(docs, members.select(F.col("doc_id").alias("id")).distinct(), key, text, words)
     stars = members.where(f"doc_id <> b and {close}").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
     done = staged(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
@@ -242,10 +254,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     def still_open(rows: DataFrame) -> DataFrame:
         """The members of buckets that hold several components, with their roots."""
-        own = with_root(rows)
+        own = staged(with_root(rows), "rooted")
         several = (own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
                    .where("r0 <> r1").select("band", "size"))
-        return staged(own.join(several, "band"), "open")
+        return staged(with_bucket(own, staged(several, "several")), "open")
 
     open_ = still_open(members.select("doc_id", "n", "band"))
     if not open_.isEmpty():

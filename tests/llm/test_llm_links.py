@@ -105,6 +105,20 @@ def test_group_around_a_base_with_noisy_copies(spark):
     check_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
 
 
+def test_members_of_heavy_and_light_buckets_meet_their_row(spark, monkeypatch):
+    monkeypatch.setattr(near, "HEAVY", 4)
+    rows = [(i, i % 5 + 1, 0 if i % 3 == 0 else i // 2) for i in range(300)]
+    members = spark.createDataFrame(rows, "doc_id long, n long, band long")
+    size = defaultdict(int)
+    for _, _, band in rows:
+        size[band] += 1
+    buckets = spark.createDataFrame([(b, c) for b, c in size.items() if c > 1], "band long, size long")
+    assert max(size.values()) * 4 >= len(rows)
+    got = near.with_bucket(members, buckets).select("doc_id", "n", "band", "size")
+    assert sorted(map(tuple, got.collect())) == sorted((*r, size[r[2]]) for r in rows if size[r[2]] > 1)
+    assert near.with_bucket(members.limit(0), buckets.limit(0)).count() == 0
+
+
 def test_superminhash_estimates_the_similarity():
     rng = np.random.default_rng(1)
     seen = []
@@ -187,6 +201,18 @@ def test_boundary_replication_loses_no_neighbour():
 
 # 7: nearest neighbours
 
+def test_pivots_only_where_they_keep_cells_apart():
+    rng = np.random.default_rng(5)
+    eps, rows = np.sqrt(2 - 2 * ranges.COSINE), 1_000_000
+    even = ranges.unit(rng.normal(size=(2000, 64)))
+    centre = ranges.unit(rng.normal(size=(32, 64)))
+    apart = ranges.unit(centre[rng.integers(0, 32, 2000)] + rng.normal(size=(2000, 64)) * 0.005)
+    assert ranges.pivot_count(even, ranges.spread_pivots(even, 100), eps, rows) == 1
+    pivots = ranges.spread_pivots(apart, 100)
+    assert ranges.pivot_count(apart, pivots, eps, rows) >= 32
+    assert ranges.pivot_count(apart[:1], pivots[:1], eps, 1) == 1
+
+
 def test_tree_recall_and_scores(spark):
     rows = table(spark, "/root/testdata/sf0.1", "embeddings")
     data = sorted((r.vec_id, r.embedding) for r in rows.collect())
