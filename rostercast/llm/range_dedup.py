@@ -7,6 +7,8 @@ cell is nearer to p than to h, so by the triangle inequality x must satisfy
 ``d(x, p) <= d(x, h) + 2 EPS``, and in Euclidean space even
 ``(d(x, p)^2 - d(x, h)^2) / (2 d(p, h)) <= EPS``: x is replicated to exactly those
 cells.  Every cell then joins alone: its own vectors against all that it holds.
+Pivots that do not keep cells apart only multiply rows, so more are used only
+where the shares of a sample that the cells hold promise a clearly lower cost.
 
 Cells are cut into blocks of about ``BLOCK`` rows and joined block by block, so a
 cell with any share of the rows is many tasks of bounded size.  A task counts the
@@ -38,6 +40,10 @@ BLOCK = 8192
 MAX_PIVOTS = 1024  # the pivots' own bound; cells that stay large have more blocks
 STRIPE = 512  # rows of a block that are compared at a time
 SLACK = 1e-9
+SAMPLE = 4096  # vectors that the pivots are taken from and measured on, on average
+COMPARED = 1000  # comparisons that cost as much as a row that is shuffled
+WORTH = 0.8  # more pivots must bring the cost under this part of that of fewer
+STAGED = 4  # shuffled rows that cost as much as a row of the cells' table, which is written once and read three times
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -64,6 +70,22 @@ def cells_of(u: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray,
     return home, needs
 
 
+def pivot_count(sample: np.ndarray, pivots: np.ndarray, eps: float, rows: int) -> int:
+    """How many of ``pivots`` (1, 2, 4, … or all) are worth their rows for ``rows`` vectors that lie as the sample does.
+
+    A cell with a share h of the vectors at home that holds a share a of them stages a of the rows, sends h of them to every
+    block of a and a of them to every block of h, and compares h with a.
+    """
+    best, least = 1, math.inf
+    for k in sorted({min(1 << i, len(pivots)) for i in range(len(pivots).bit_length() + 1)}):
+        home, needs = cells_of(sample, pivots[:k], eps)
+        h, a = rows * np.bincount(home, minlength=k) / len(sample), rows * needs.mean(axis=0)
+        cost = (STAGED * a + h * np.ceil(a / BLOCK) + a * np.ceil(h / BLOCK) + h * a / COMPARED).sum()
+        if cost < WORTH * least:
+            best, least = k, cost
+    return best
+
+
 class Forest:
     """Union-find over local numbers, for arrays of links."""
 
@@ -120,9 +142,14 @@ def range_links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = nodes.count()
     most = min(MAX_PIVOTS, max(1, rows // BLOCK))
     sample: dict[int, list[bytes]] = {}
-    for v in sorted(bytes(r.v) for r in row_sample(nodes.select("id", "v"), 4 * most + 64).collect()):  # about that many
+    for v in sorted(bytes(r.v) for r in row_sample(nodes.select("id", "v"), SAMPLE).collect()):  # about that many
         sample.setdefault(len(v), []).append(v)
-    pivots = {n: spread_pivots(unit(np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1)), most) for n, v in sample.items()}
+    drawn = sum(map(len, sample.values()))
+    pivots = {}
+    for n, v in sample.items():
+        u = unit(np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1))
+        taken = spread_pivots(u, most)
+        pivots[n] = taken[: pivot_count(u, taken, eps, rows * len(v) // drawn)]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
