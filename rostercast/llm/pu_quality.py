@@ -95,6 +95,16 @@ class Network:
             self.w[i] -= RATE * (self.m[i] / (1 - 0.9**self.t)) / (np.sqrt(self.v[i] / (1 - 0.999**self.t)) + 1e-8)
 
 
+def risk_slope(sp: np.ndarray, su: np.ndarray, prior: float | None) -> np.ndarray:
+    """Slopes of the risk in the logits of the scores ``sp`` of positives and ``su`` of unlabelled rows."""
+    if prior is None:
+        return np.concatenate([(sp - 1) / len(sp), su / len(su)])
+    negative = -np.log(np.maximum(1 - su, 1e-12)).mean() - prior * -np.log(np.maximum(1 - sp, 1e-12)).mean()
+    if negative >= 0:
+        return np.concatenate([prior * ((sp - 1) - sp) / len(sp), su / len(su)])
+    return np.concatenate([prior * sp / len(sp), -su / len(su)])  # the risk on negatives must not fall under 0: step back from there
+
+
 def train(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int = EPOCHS, seed: int = 7) -> Network:
     """Non-negative risk with ``prior``; plain P against U if that is None."""
     net, rng = Network(u.mean(0), u.std(0) + 1e-3, seed), np.random.default_rng(seed)
@@ -104,15 +114,7 @@ def train(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int = EPOCH
             xu = u[order[a : a + BATCH]]
             xp = p[rng.integers(0, len(p), min(BATCH, len(p)))]
             s = net.scores(np.concatenate([xp, xu]))
-            sp, su = s[: len(xp)], s[len(xp) :]
-            if prior is None:
-                slope = np.concatenate([(sp - 1) / len(xp), su / len(xu)])
-            else:
-                negative = -np.log(np.maximum(1 - su, 1e-12)).mean() - prior * -np.log(np.maximum(1 - sp, 1e-12)).mean()
-                if negative >= 0:
-                    slope = np.concatenate([prior * ((sp - 1) - sp) / len(xp), su / len(xu)])
-                else:  # the risk on negatives must not fall under 0: step back from there
-                    slope = np.concatenate([prior * sp / len(xp), -su / len(xu)])
+            slope = risk_slope(s[: len(xp)], s[len(xp) :], prior)
             net.step(slope)
     return net
 

@@ -116,6 +116,21 @@ def test_every_encoding_has_decoys_and_finds_long_keys(spark):
     assert 1 / secrets.BINS == secrets.FLOOR
 
 
+def test_thresholds_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(c), int(b), bool(d)) for c, b, d in zip(rng.choice([3, 41, 70], 4000), (rng.random(4000) ** 0.3 * 100).astype(int), rng.random(4000) < 0.5)]
+    rows = [r for r in rows if not (r[2] and r[0] == 41 and r[1] >= 30) and not (r[2] and r[0] == 70 and r[1] >= 90)] + [(5, 99, True)]
+    trials = spark.createDataFrame([([(0, 1, *r) for r in rows[i::7]],) for i in range(7)], f"trials {secrets.TRIAL}")
+    expected = {}
+    for c in {r[0] for r in rows}:
+        for bin_ in range(int(secrets.FLOOR * secrets.BINS), secrets.BINS):
+            runs, decoys = (sum(r[0] == c and r[1] >= bin_ and r[2] is is_decoy for r in rows) for is_decoy in (False, True))
+            if runs and decoys <= secrets.FDR * runs:
+                expected[c] = bin_
+                break
+    assert set(expected) == {41, 70} and secrets.thresholds(trials) == expected
+
+
 def test_redaction_keeps_rows_and_columns(odd_docs, no_docs):
     got = secrets.redact(odd_docs)
     assert got.schema == odd_docs.schema and got.count() == odd_docs.count()
@@ -338,6 +353,31 @@ def test_quality_on_the_held_out_fold(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
 
 
+@pytest.mark.parametrize("prior", [None, 0.3, 0.9])
+def test_slopes_are_those_of_the_risk(prior):
+    rng = np.random.default_rng(4)
+    z, n = rng.normal(size=9) - (2 if prior == 0.9 else 0), 4
+
+    def loss(z):
+        s = 1 / (1 + np.exp(-z))
+        p, u = s[:n], s[n:]
+        if prior is None:
+            return -np.log(p).mean() - np.log(1 - u).mean()
+        negative = -np.log(1 - u).mean() + prior * np.log(1 - p).mean()
+        return -prior * np.log(p).mean() + negative if negative >= 0 else -negative
+
+    s = 1 / (1 + np.exp(-z))
+    steps = np.eye(len(z)) * 1e-6
+    numeric = [(loss(z + d) - loss(z - d)) / 2e-6 for d in steps]
+    assert np.allclose(quality.risk_slope(s[:n], s[n:], prior), numeric, atol=1e-7)
+
+
+def test_slopes_step_back_where_the_risk_on_negatives_is_negative():
+    sp, su = np.array([0.9, 0.8]), np.array([0.1, 0.2, 0.1])
+    assert -np.log(1 - su).mean() + 0.5 * np.log(1 - sp).mean() < 0
+    assert np.allclose(quality.risk_slope(sp, su, 0.5), [0.225, 0.2, -0.1 / 3, -0.2 / 3, -0.1 / 3])
+
+
 def test_prior_is_estimated():
     rng = np.random.default_rng(2)
     p = rng.normal(1, 0.5, (3000, quality.WIDTH)).astype(np.float32)
