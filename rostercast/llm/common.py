@@ -64,10 +64,15 @@ def placed(df: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in slices of at most ``rows`` rows, so that a worker works on few texts at a time."""
+    """Arrow batches in slices of at most ``rows`` rows, so that a worker works on few texts at a time.
+
+    Memory of a batch that is done goes back to the system, as workers outlive their tasks.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        batch = None
+        pa.default_memory_pool().release_unused()
 
 
 def row_sample(rows: DataFrame, most: int) -> DataFrame:

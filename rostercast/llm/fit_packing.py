@@ -36,8 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rostercast.llm.common import staged, table
-from rostercast.llm.tokens import END_ID, vocabulary_path, word_ids
+from rostercast.llm.common import sliced, staged, table
+from rostercast.llm.tokens import END_ID, MAX_WORDS, vocabulary_path, word_ids
 
 SEQUENCE = 1024
 
@@ -197,12 +197,12 @@ def plan_intervals(patterns: Patterns) -> dict[int, np.ndarray]:
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 
 
-def piece_table(docs: DataFrame, key: str, text: str, size: int, vocabulary: str) -> DataFrame:
+def piece_table(docs: DataFrame, key: str, text: str, size: int, vocabulary: str, stored: int = MAX_WORDS) -> DataFrame:
     """Every piece with its place ``nth`` among the pieces of its length in its task ``part``."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, part, end, seen = word_ids(vocabulary), TaskContext.get().partitionId(), struct.pack("<I", END_ID), defaultdict(int)
-        for batch in batches:
+        store, part, end, seen = word_ids(vocabulary, stored), TaskContext.get().partitionId(), struct.pack("<I", END_ID), defaultdict(int)
+        for batch in sliced(batches):
             out: list[tuple] = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = store.encode(t.as_py() or "") + end
@@ -218,9 +218,12 @@ def piece_table(docs: DataFrame, key: str, text: str, size: int, vocabulary: str
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SEQUENCE,
-                   vocabulary: str | None = None) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` for every piece."""
-    pieces = piece_table(docs, key, text, size, vocabulary or vocabulary_path())
+                   vocabulary: str | None = None, stored: int = MAX_WORDS) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` for every piece.
+
+    ``stored`` words in each of two generations keep their ids in a Python worker: fewer take less memory and more time.
+    """
+    pieces = piece_table(docs, key, text, size, vocabulary or vocabulary_path(), stored)
     each = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     base = each.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     counts = {r.length: r.n for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # ``size`` rows at most

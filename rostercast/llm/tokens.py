@@ -22,7 +22,7 @@ MAX_WORDS = 600_000  # words in each of the two generations that a Python worker
 # white space before a space: the run is one word to the library, and not cut at its spaces
 BEFORE_SPACE = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 
-_stores: dict[str, "WordIds"] = {}
+_stores: dict[tuple[str, int], "WordIds"] = {}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -35,10 +35,11 @@ def _byte_letters() -> dict[int, int]:
 class WordIds(dict):
     """Maps a word that followed one space to its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MAX_WORDS):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.most = most
         self.whole = Tokenizer.from_file(path)
         self.merge = self.whole.model.tokenize
         self.letters = _byte_letters()
@@ -46,7 +47,7 @@ class WordIds(dict):
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MAX_WORDS:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         if (got := self.older.get(word)) is not None:
@@ -104,8 +105,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def word_ids(path: str) -> WordIds:
-    """The worker's store for the vocabulary at ``path``."""
-    if path not in _stores:
-        _stores[path] = WordIds(path)
-    return _stores[path]
+def word_ids(path: str, most: int = MAX_WORDS) -> WordIds:
+    """The worker's store for the vocabulary at ``path``, of at most ``most`` words in a generation."""
+    if (path, most) not in _stores:
+        _stores[path, most] = WordIds(path, most)
+    return _stores[path, most]

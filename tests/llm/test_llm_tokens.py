@@ -108,6 +108,14 @@ def test_plan_uses_every_piece_once(seed):
     assert sum(k for _, k in plan) <= max(sum(k for _, k in plain), -(-int(lengths.sum()) // size) + 1)
 
 
+def test_a_small_store_forgets_words_and_keeps_the_ids():
+    texts = [" ".join(random.Random(i).choices(["alpha", "beta,", "gamma.", "Straße", "x1", "d\ne", "öl,", "ZZ"], k=40)) for i in range(20)]
+    small = word_ids(vocabulary_path(), 3)
+    for t in texts:
+        assert small.encode(t) == small.encode_whole(t)
+        assert len(small.older) <= 3 + 2 and len(small) <= 3 + 2  # a word may bring its core and its signs
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_sum_index_equals_brute_force(seed):
     rng = np.random.default_rng(seed)
