@@ -24,6 +24,7 @@ from rostercast.llm.random_secrets import redact
 
 SHINGLE_WORDS, SIMILAR = 5, 80
 ROW = "_row_of_id_and_text"
+STORED = 150_000  # words whose ids a worker keeps: here it shares an executor with what the stages before have left
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``."""
-    return pack_documents(docs)
+    return pack_documents(docs, stored=STORED)
 
 
 STAGES = [("quality", quality), ("near_duplicates", one_of_each), ("secrets", masked), ("packing", packed)]
