@@ -193,11 +193,13 @@ def with_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
     """``members`` joined with the one row of their bucket; ``buckets`` has ``band`` and ``size``, its number of members.
 
     Heavy buckets, ``HEAVY`` at most as their sizes sum to the members, are broadcast and their members stay where they
-    are; only those of the other buckets are shuffled, so no task gets a large part of the rows.
+    are; only those of the other buckets are shuffled, so no task gets a large part of the rows.  The hashes of the heavy
+    buckets filter the others' members by value; without heavy buckets one join does.
     """
     heavy = staged(buckets.where(F.col("size") * HEAVY >= members.count()), "heavy")
-    light = members.join(F.broadcast(heavy.select("band")), "band", "left_anti").join(buckets, "band")
-    return members.join(F.broadcast(heavy), "band").unionByName(light)
+    hashes = [r["band"] for r in heavy.select("band").collect()]
+    light = members.where(~F.col("band").isin(hashes)).join(buckets, "band")
+    return members.join(F.broadcast(heavy), "band").unionByName(light) if hashes else light
 
 
 def rare_shingles(ids: DataFrame, sets: DataFrame) -> DataFrame:

@@ -119,6 +119,17 @@ def test_members_of_heavy_and_light_buckets_meet_their_row(spark, monkeypatch):
     assert near.with_bucket(members.limit(0), buckets.limit(0)).count() == 0
 
 
+def test_light_members_are_not_joined_to_be_kept(spark, monkeypatch):
+    monkeypatch.setattr(near, "HEAVY", 4)
+    members = spark.createDataFrame([(i, 1, 0 if i % 3 == 0 else i // 2) for i in range(300)], "doc_id long, n long, band long")
+    buckets = members.groupBy("band").count().select("band", near.F.col("count").alias("size"))
+    for size, heavy in (("size", True), ("1L", False)):
+        got = near.with_bucket(members, buckets.selectExpr("band", f"{size} as size"))
+        assert got.count() == 300 and got.select("doc_id").distinct().count() == 300
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plan and plan.count("Join Inner") == 1 + heavy
+
+
 def test_superminhash_estimates_the_similarity():
     rng = np.random.default_rng(1)
     seen = []
