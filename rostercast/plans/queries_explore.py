@@ -189,7 +189,7 @@ FROM daily WHERE date <= DATE '{TRAIN_END}'""")
 def q_fold_ids(spark: SparkSession, sf_dir: str):
     d = (daily_ops(spark, sf_dir, SEGMENT, columns=[]).where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
          .select("series", "date"))
-    d = X.row_position(d, ["series"])
+    d = cut_lineage(X.row_position(d, ["series"]))
     return V.fold_ids(d, 5, ["series"]).withColumn("position", F.col("position").cast("long"))
 
 
