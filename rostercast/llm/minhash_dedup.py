@@ -13,9 +13,11 @@ pair at the threshold shares none under ``MISS``.
 
 Candidates are confirmed on the full shingle sets.  Inside a bucket only stars are
 compared, never all pairs: first every document with that least document of its
-buckets with which it shares most of them, and then, in buckets that still hold
-several components, with a hashed share of the members that grows eightfold each
-round until it holds all of them.  Before these rounds,
+buckets with which it shares most of them, then, in buckets that still hold several
+components, once more with that document which a hash draws from each bucket, and
+after that with a hashed share of the members that grows eightfold each round until
+it holds all of them.  The hashes are of the document alone, so the many buckets that
+a group of copies has draw the same members, not others in each bucket.  Before these,
 pairs that share a rare shingle (one that at most ``RARE`` of the documents in such
 buckets have) are compared; any other pair can have in common only what is left
 after both lose their rare shingles.  Pairs are left out if they are known to be
@@ -202,6 +204,12 @@ def with_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
     return members.join(F.broadcast(heavy), "band").unionByName(light) if hashes else light
 
 
+def nearest(stars: DataFrame) -> DataFrame:
+    """``(a, b)`` from rows ``(a, b)`` for each bucket that two documents share: for each ``a`` that ``b`` with which it shares most."""
+    return (stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+            .groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
+
+
 def rare_shingles(ids: DataFrame, sets: DataFrame) -> DataFrame:
     """``(doc_id, s)``: the shingles of documents ``ids`` that ``RARE`` of them have at most, staged."""
 
@@ -231,15 +239,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
              .where("size > 1"))
     members = staged(with_bucket(members, staged(least, "least")), "buckets")
     sets = shingle_sets(docs, members.select(F.col("doc_id").alias("id")).distinct(), key, text, words)
-    stars = members.where(f"doc_id <> b and {close}").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
-    done = staged(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    done = staged(nearest(members.where(f"doc_id <> b and {close}").select(F.col("doc_id").alias("a"), "b"))
                   .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = confirmed(done, sets, share)
-    root = connected_components(links, "a", "b")
+    root = connected_components(confirmed(done, sets, share), "a", "b")
 
     def joined(pairs: DataFrame) -> None:
         """Confirm pairs of different components that were not compared before, and join what is linked."""
-        nonlocal done, links, root
+        nonlocal done, root
         new = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                      .join(done, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
@@ -247,18 +253,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         found = confirmed(new, sets, share)
         done = done.union(new)
         if not found.isEmpty():
-            links = links.union(found)
-            root = connected_components(links, "a", "b")
+            # what was linked before stands as one edge for each node, not as all its links
+            root = connected_components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), "a", "b")
 
     def with_root(rows: DataFrame) -> DataFrame:
         return (rows.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
                 .withColumn("root", F.coalesce("root", "doc_id")))
 
-    def still_open(rows: DataFrame) -> DataFrame:
-        """The members of buckets that hold several components, with their roots."""
+    def still_open(rows: DataFrame, hubs: bool = False) -> DataFrame:
+        """The members of buckets that hold several components, with their roots; if asked for, ``hub`` is a member drawn by its hash."""
         own = staged(with_root(rows), "rooted")
-        several = (own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-                   .where("r0 <> r1").select("band", "size"))
+        hub = [F.min_by(F.struct(*own.columns), F.xxhash64("doc_id", F.lit("hub"))).alias("hub")] * hubs
+        several = (own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"), *hub)
+                   .where("r0 <> r1").drop("r0", "r1"))
         return staged(with_bucket(own, staged(several, "several")), "open")
 
     open_ = still_open(members.select("doc_id", "n", "band"))
@@ -278,16 +285,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         # the others share none: what is left after their rare shingles must do
         rest = staged(open_.select("doc_id", "band").join(known.drop("root"), "doc_id").where(f"100 * (n - r) >= {share} * n"), "rest")
         most = "least(n - r, nb - rb)"
+        may_link = f"root <> rootb and 100 * {most} >= {share} * (n + nb - {most})"
+        stars = still_open(rest, hubs=True).select(F.col("doc_id").alias("a"), "n", "r", "root", F.col("hub.doc_id").alias("b"),
+                                                   F.col("hub.n").alias("nb"), F.col("hub.r").alias("rb"), F.col("hub.root").alias("rootb"))
+        joined(nearest(stars.where(may_link).select("a", "b")))
         share_of = GROWTH
         while True:
             open_ = still_open(rest)
             largest = open_.agg(F.max("size")).first()[0]
             if largest is None:
                 break
-            chance = F.pmod(F.xxhash64("doc_id", "band"), F.lit(1 << 20)) * F.col("size") < share_of * (1 << 20)
+            chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("size") < share_of * (1 << 20)
             some = open_.where(chance).select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("root").alias("rootb"))
-            joined(open_.join(some, "band").where(f"root <> rootb and 100 * {most} >= {share} * (n + nb - {most})")
-                   .select(F.col("doc_id").alias("a"), "b"))
+            joined(open_.join(some, "band").where(may_link).select(F.col("doc_id").alias("a"), "b"))
             if share_of >= largest:
                 break
             share_of *= GROWTH

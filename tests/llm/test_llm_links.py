@@ -105,6 +105,33 @@ def test_group_around_a_base_with_noisy_copies(spark):
     check_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
 
 
+def test_pairs_and_edges_of_a_group_of_copies_grow_with_its_size(spark, monkeypatch):
+    """The least documents link with nothing, so the first stars leave all open; of the others, two with three changes each are not linked."""
+    monkeypatch.setattr(near, "RARE", 0)
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(300):
+        words = list(base)
+        for at in rng.choice(200, 6 if i < 10 else 3 if i % 10 < 7 else 2, replace=False):
+            words[at] = f"x{rng.integers(0, 3)}"
+        rows.append((i, " ".join(words)))
+    counts = {"pairs": 0, "edges": 0}
+    confirm, components = near.confirmed, near.connected_components
+
+    def confirmed(pairs, *rest):
+        counts["pairs"] += pairs.count()
+        return confirm(pairs, *rest)
+
+    def joined(edges, *rest):
+        counts["edges"] += edges.count()
+        return components(edges, *rest)
+
+    monkeypatch.setattr(near, "confirmed", confirmed)
+    monkeypatch.setattr(near, "connected_components", joined)
+    check_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert counts["pairs"] < 40 * len(rows) and counts["edges"] < 20 * len(rows)
+
+
 def test_members_of_heavy_and_light_buckets_meet_their_row(spark, monkeypatch):
     monkeypatch.setattr(near, "HEAVY", 4)
     rows = [(i, i % 5 + 1, 0 if i % 3 == 0 else i // 2) for i in range(300)]
